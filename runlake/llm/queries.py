@@ -6,13 +6,25 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+import corpus_pipeline
+from runlake.llm import decontaminate, preference
+from runlake.llm.ann_tree import op1_ann_tree
+from runlake.llm.decontaminate import op3_decontaminate
+from runlake.llm.importance import op4_importance
+from runlake.llm.langid import op7_langid
+from runlake.llm.linkgraph import op5_linkgraph
 from runlake.llm.packing import op9_packing
+from runlake.llm.preference import op10_preference
+from runlake.llm.secrets import op8_secret_scan
+from runlake.llm.simhash_anchor import op2_simhash
 from runlake.llm.token_store import op6_token_store
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op6_token_store, op9_packing)}
+    each = (op1_ann_tree, op2_simhash, op3_decontaminate, op4_importance, op5_linkgraph, op6_token_store, op7_langid, op8_secret_scan, op9_packing, op10_preference)
+    return {f.__name__: f for f in each} | {"pipeline": corpus_pipeline.run}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """Where SQL can express a query; the others are tested against brute force, round trips or held-out rows."""
+    return {"op3_decontaminate": decontaminate.ORACLE, "op10_preference": preference.ORACLE}
