@@ -1,15 +1,287 @@
-"""Queries over the driver's tables, with their SQL."""
+"""Queries over the driver's whole tables, one for each operator of the inventory, with their SQL."""
 
 from __future__ import annotations
 
+import json
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from runlake import schemas
+from runlake.functions import columns, timefmt
+from runlake.operators import canonical, tabulate
+from runlake.plans import pipeline
+from runlake.plans.views import OBS_SQL, RUNS_SQL, T2_SQL, obs, read, runs
+from runlake.sources import lake, publish
+from runlake.sources.files import Files
+from runlake.sources.manifest import MANIFEST_NAME
 
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+Query = Callable[[SparkSession, str], DataFrame]
+_FOUND: dict[str, tuple[Query, str | None]] = {}
+
+
+def query(sql: str | None = None) -> Callable[[Query], Query]:
+    def add(f: Query) -> Query:
+        _FOUND[f.__name__] = (f, sql)
+        return f
+
+    return add
+
+
+def queries() -> dict[str, Query]:
+    return {name: f for name, (f, _) in _FOUND.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {name: sql for name, (_, sql) in _FOUND.items() if sql}
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new folder in the place that driver and executors share."""
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
+    return f"{root.rstrip('/')}/runlake-tables/{name}-{uuid.uuid4().hex}"
+
+
+@query(f"WITH {OBS_SQL}, {T2_SQL} SELECT * FROM t2")
+def t2_canonical(spark, d):
+    return canonical.build_t2(obs(spark, d))
+
+
+@query(f"WITH {OBS_SQL}, {T2_SQL} SELECT * FROM t2")
+def t2_join_form(spark, d):
+    return canonical.build_t2_by_join(obs(spark, d))
+
+
+@query(f"WITH {OBS_SQL} SELECT location, valid_time, max(run_id) AS latest_run_id FROM obs WHERE valid_time IS NOT NULL GROUP BY ALL")
+def latest_run_per_key(spark, d):
+    return canonical.latest_runs(obs(spark, d))
+
+
+@query(f"WITH {OBS_SQL} SELECT location, valid_time, count(DISTINCT kindex) FILTER (WHERE kindex IS NOT NULL) AS n_values, count(DISTINCT kindex) > 1 AS flag FROM obs WHERE valid_time IS NOT NULL GROUP BY ALL")
+def disagreement_flag(spark, d):
+    return canonical.disagreements(obs(spark, d))
+
+
+@query(f"WITH {OBS_SQL}, {T2_SQL} SELECT location, count(*) AS n_flagged FROM t2 WHERE flag GROUP BY location")
+def flagged_by_location(spark, d):
+    return canonical.build_t2(obs(spark, d)).where("flag").groupBy("location").agg(F.count("*").alias("n_flagged"))
+
+
+@query(f"WITH {OBS_SQL} SELECT location, valid_time, count(DISTINCT run_id) AS n_runs, count(DISTINCT analysis_time) AS n_analysis_times FROM obs GROUP BY location, valid_time HAVING n_runs > 1 ORDER BY n_runs DESC")
+def multi_run_keys(spark, d):
+    return canonical.several_runs(obs(spark, d)).orderBy(F.desc("n_runs"))
+
+
+@query(f"WITH {OBS_SQL} SELECT * FROM obs WHERE valid_time IS NULL")
+def null_key_audit(spark, d):
+    return canonical.sentinels(obs(spark, d))
+
+
+@query(f"WITH {OBS_SQL} SELECT location, valid_time, count(*) AS n FROM obs GROUP BY location, valid_time HAVING valid_time IS NULL")
+def null_key_groups(spark, d):
+    return canonical.sentinels(obs(spark, d)).groupBy("location", "valid_time").agg(F.count("*").alias("n"))
+
+
+@query(f"WITH {OBS_SQL}, {T2_SQL} SELECT location, valid_time, count(*) AS n_rows FROM t2 GROUP BY ALL HAVING n_rows > 1")
+def duplicate_key_audit(spark, d):
+    return canonical.duplicate_keys(canonical.build_t2(obs(spark, d)))
+
+
+@query(f"WITH {OBS_SQL} " + "SELECT " + ", ".join(f"CAST(coalesce(sum(CASE WHEN {c} IS NULL THEN 1 ELSE 0 END), 0) AS BIGINT) AS {c}" for c in schemas.T1.names) + " FROM obs")
+def null_profile(spark, d):
+    return obs(spark, d).agg(*[columns.count_null(c) for c in schemas.T1.names])
+
+
+@query(f"WITH {OBS_SQL} SELECT DISTINCT run_id FROM obs WHERE run_id IS NOT NULL")
+def distinct_run_ids(spark, d):
+    return obs(spark, d).where("run_id is not null").select("run_id").distinct()
+
+
+@query(f"WITH {OBS_SQL} SELECT DISTINCT location, valid_time, kindex, run_id FROM obs")
+def drop_duplicate_rows(spark, d):
+    return obs(spark, d).select("location", "valid_time", "kindex", "run_id").distinct()
+
+
+@query(f"WITH {OBS_SQL} SELECT DISTINCT location, run_id FROM obs")
+def drop_duplicates_subset(spark, d):
+    return obs(spark, d).dropDuplicates(["location", "run_id"]).select("location", "run_id")
+
+
+@query(f"WITH {OBS_SQL} SELECT count(*) AS n_rows, count(DISTINCT run_id) AS n_runs, count(DISTINCT location) AS n_locations FROM obs")
+def row_and_value_counts(spark, d):
+    return obs(spark, d).agg(F.count("*").alias("n_rows"), F.countDistinct("run_id").alias("n_runs"), F.countDistinct("location").alias("n_locations"))
+
+
+@query(f"WITH {OBS_SQL}, {RUNS_SQL} SELECT r.location, o.valid_time, o.analysis_time, o.kindex, r.run_id FROM runs r LEFT JOIN obs o ON r.run_id = o.run_id WHERE r.status = 'SUCCESS'")
+def t1_left_join_sentinel(spark, d):
+    return tabulate.build_t1(runs(spark, d), obs(spark, d).drop("location"))
+
+
+@query(f"WITH {OBS_SQL}, {RUNS_SQL} SELECT r.location, o.valid_time, o.analysis_time, o.kindex, r.run_id FROM runs r LEFT JOIN obs o ON r.run_id = o.run_id WHERE r.status = 'SUCCESS'")
+def t1_without_shuffle(spark, d):
+    return tabulate.build_t1(runs(spark, d), obs(spark, d).drop("location"), n_runs=7)
+
+
+@query(f"WITH {OBS_SQL}, {RUNS_SQL} SELECT r.location, valid_time, analysis_time, kindex, run_id FROM obs o JOIN runs r USING (run_id)")
+def inner_run_join(spark, d):
+    return tabulate.inner_runs(runs(spark, d), obs(spark, d).drop("location")).select(*schemas.T1.names)
+
+
+@query(f"WITH {OBS_SQL}, {RUNS_SQL} SELECT r.run_id, r.status, count(o.run_id) AS n FROM runs r LEFT JOIN obs o ON r.run_id = o.run_id JOIN (SELECT run_id FROM runs WHERE status = 'SUCCESS') s ON r.run_id = s.run_id GROUP BY ALL")
+def left_then_inner_chain(spark, d):
+    every, good = runs(spark, d), runs(spark, d).where("status = 'SUCCESS'").select("run_id")
+    per_run = obs(spark, d).groupBy("run_id").agg(F.count("*").alias("n"))
+    return every.join(per_run, "run_id", "left").join(good, "run_id").select("run_id", "status", F.coalesce("n", F.lit(0)).alias("n"))
+
+
+@query(f"WITH {OBS_SQL}, {RUNS_SQL} SELECT run_id, location, status FROM runs r WHERE status = 'SUCCESS' AND NOT EXISTS (SELECT 1 FROM obs o WHERE o.run_id = r.run_id)")
+def unprocessed_runs(spark, d):
+    return tabulate.unprocessed(runs(spark, d), obs(spark, d))
+
+
+@query(f"WITH {OBS_SQL}, {RUNS_SQL} SELECT coalesce(min(run_id), '') AS run_id FROM runs r WHERE status = 'SUCCESS' AND NOT EXISTS (SELECT 1 FROM obs o WHERE o.run_id = r.run_id)")
+def oldest_unprocessed_run(spark, d):
+    return tabulate.oldest(tabulate.unprocessed(runs(spark, d), obs(spark, d)))
+
+
+@query(f"WITH {RUNS_SQL} SELECT run_id, status FROM runs WHERE status = 'SUCCESS' ORDER BY run_id")
+def successful_runs_sorted(spark, d):
+    return runs(spark, d).where("status = 'SUCCESS'").select("run_id", "status").orderBy("run_id")
+
+
+@query(f"WITH {RUNS_SQL} SELECT location, count(*) AS n FROM runs GROUP BY location HAVING n > 1")
+def duplicate_runs(spark, d):
+    return runs(spark, d).groupBy("location").agg(F.count("*").alias("n")).where("n > 1")
+
+
+@query("SELECT event_id, regexp_extract('/lake/run_id=' || CAST(user_id AS VARCHAR) || '/chunk_' || CAST(event_id AS VARCHAR) || '.jsonl', '.*/run_id=([^/]+)/.*', 1) AS run_id FROM events")
+def run_id_from_path(spark, d):
+    path = F.concat(F.lit("/lake/run_id="), F.col("user_id").cast("string"), F.lit("/chunk_"), F.col("event_id").cast("string"), F.lit(".jsonl"))
+    return read(spark, d, "events").select("event_id", columns.run_id_of(path).alias("run_id"))
+
+
+@query("SELECT page_id, regexp_extract(url, '.*/run_id=([^/]+)/.*', 1) AS run_id, regexp_extract(url, '.+://([^/]+)/.+', 1) AS host FROM pages")
+def regexp_on_urls(spark, d):
+    return read(spark, d, "pages").select("page_id", columns.run_id_of(F.col("url")).alias("run_id"), F.regexp_extract("url", ".+://([^/]+)/.+", 1).alias("host"))
+
+
+@query("SELECT DISTINCT run_id FROM (SELECT CASE WHEN event_id % 3 = 0 THEN CAST(user_id AS VARCHAR) ELSE '20240201T00000' || CAST(user_id % 5 AS VARCHAR) || 'Z' END AS run_id FROM events) WHERE NOT regexp_full_match(run_id, '[0-9]{8}T[0-9]{6}Z')")
+def suspicious_run_ids(spark, d):
+    e = read(spark, d, "events")
+    odd = e.select(F.when(F.col("event_id") % 3 == 0, F.col("user_id").cast("string")).otherwise(F.concat(F.lit("20240201T00000"), (F.col("user_id") % 5).cast("string"), F.lit("Z"))).alias("run_id"))
+    return canonical.suspicious_runs(odd, columns.sound_run_id)
+
+
+@query("SELECT event_id, strftime(ts, '%Y-%m-%d %H:%M:%S') AS told, strftime(ts, '%Y%m%dT%H%M%SZ') AS token FROM events")
+def time_format_roundtrip(spark, d):
+    ts = F.col("ts").cast("timestamp_ntz")
+    return read(spark, d, "events").select("event_id", timefmt.text_column(ts).alias("told"), timefmt.token_column(ts).alias("token"))
+
+
+@query("SELECT event_id, strftime(timezone('Australia/Melbourne', timezone('UTC', ts)), '%Y-%m-%d %H:%M:%S') AS wall_time FROM events")
+def melbourne_wall_time(spark, d):
+    return read(spark, d, "events").select("event_id", timefmt.text_column(timefmt.local_column(F.col("ts").cast("timestamp_ntz"))).alias("wall_time"))
+
+
+@query("WITH r AS (SELECT event_type, date_trunc('hour', min(ts)) AS low, date_trunc('hour', max(ts)) AS high FROM events GROUP BY event_type) SELECT event_type, s AS chunk_start, least(s + INTERVAL 3 DAY, high) AS chunk_end FROM r, LATERAL (SELECT unnest(generate_series(low, greatest(low, high - INTERVAL 1 MICROSECOND), INTERVAL 3 DAY)) AS s)")
+def chunk_grid(spark, d):
+    ranges = read(spark, d, "events").groupBy("event_type").agg(timefmt.hour_column(F.min("ts")).alias("low"), timefmt.hour_column(F.max("ts")).alias("high"))
+    return ranges.select("event_type", F.explode(timefmt.steps_column(F.col("low"), F.col("high"), 3)).alias("c")).select("event_type", "c.chunk_start", "c.chunk_end")
+
+
+@query("SELECT event_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events")
+def json_props_projection(spark, d):
+    return read(spark, d, "events").select("event_id", F.from_json("props", "k bigint")["k"].alias("k"))
+
+
+@query(f"WITH {OBS_SQL} SELECT run_id, '{{\"location\":\"' || location || '\",\"run_id\":\"' || run_id || '\"}}' AS line FROM obs")
+def json_row_serialise(spark, d):
+    return obs(spark, d).select("run_id", F.to_json(F.struct("location", "run_id")).alias("line"))
+
+
+@query("SELECT CAST(NULL AS VARCHAR) AS run_id, CAST(NULL AS TIMESTAMP) AS valid_time, CAST(NULL AS TIMESTAMP) AS analysis_time, CAST(NULL AS INTEGER) AS kindex WHERE FALSE")
+def typed_empty_relation(spark, d):
+    return lake.empty_observations(spark)
+
+
+@query("SELECT event_id, CAST(event_id AS VARCHAR) AS as_text, CAST(event_id % 2 AS BOOLEAN) AS as_bool, CAST(NULL AS TIMESTAMP) AS none FROM events")
+def casts_and_typed_nulls(spark, d):
+    return read(spark, d, "events").select("event_id", F.col("event_id").cast("string").alias("as_text"), (F.col("event_id") % 2).cast("boolean").alias("as_bool"), F.lit(None).cast("timestamp_ntz").alias("none"))
+
+
+@query(f"WITH {OBS_SQL} SELECT location, valid_time, kindex, CAST(NULL AS TIMESTAMP) AS analysis_time FROM obs UNION ALL BY NAME SELECT location, analysis_time FROM obs WHERE kindex IS NULL")
+def union_by_name(spark, d):
+    own = obs(spark, d)
+    first = own.select("location", "valid_time", "kindex")
+    return first.unionByName(own.where("kindex is null").select("location", "analysis_time"), allowMissingColumns=True)
+
+
+@query("SELECT * FROM (VALUES (1, 'a', NULL), (2, NULL, 3)) AS t(id, name, n)")
+def inline_values(spark, d):
+    return spark.sql("SELECT * FROM VALUES (1, 'a', CAST(NULL AS INT)), (2, CAST(NULL AS STRING), 3) AS t(id, name, n)")
+
+
+@query(f"WITH {OBS_SQL} SELECT location, CASE WHEN valid_time IS NULL THEN NULL ELSE strftime(valid_time, '%Y-%m-%d %H:%M:%S') END AS told, kindex FROM obs")
+def case_formatted(spark, d):
+    return obs(spark, d).select("location", F.when(F.col("valid_time").isNull(), F.lit(None)).otherwise(timefmt.text_column(F.col("valid_time"))).alias("told"), "kindex")
+
+
+@query(f"WITH {OBS_SQL} SELECT location, valid_time, analysis_time, kindex, run_id FROM obs")
+def t1_roundtrip_partitioned(spark, d):
+    path = publish.write_t1(obs(spark, d), scratch(spark, "t1"), "overwrite")
+    return lake.read_t1(spark, path)
+
+
+@query(f"WITH {OBS_SQL} SELECT location, valid_time, analysis_time, kindex, run_id FROM obs WHERE run_id = '20240201T000002Z'")
+def t1_partition_pruned(spark, d):
+    """One run's partition, by folder; appending it again changes nothing."""
+    path = publish.write_t1(obs(spark, d), scratch(spark, "t1"), "append")
+    publish.write_t1(obs(spark, d).where("run_id = '20240201T000002Z'"), path, "append")
+    return lake.read_t1(spark, path).where("run_id = '20240201T000002Z'")
+
+
+@query(f"WITH {OBS_SQL}, {T2_SQL} SELECT * FROM t2")
+def t2_roundtrip_single_file(spark, d):
+    return lake.read_t2(spark, publish.write_t2(canonical.build_t2(obs(spark, d)), scratch(spark, "t2")))
+
+
+@query(f"WITH {OBS_SQL}, {T2_SQL} SELECT location, valid_time, kindex, flag FROM t2")
+def t2_roundtrip_partitioned(spark, d):
+    path = publish.write_t2(canonical.build_t2(obs(spark, d)), scratch(spark, "t2"), ("location",))
+    return lake.read_t2(spark, path).select(*schemas.T2.names)
+
+
+def raw_lake(spark: SparkSession, d: str) -> str:
+    """A raw lake from ``events``: the seven runs' folders, the observations of five as JSON lines, a manifest each."""
+    root, files = scratch(spark, "raw"), Files(spark)
+    lines = obs(spark, d).select("run_id", timefmt.text_column(F.col("valid_time")).alias("valid_time"), timefmt.text_column(F.col("analysis_time")).alias("analysis_time"), F.col("kindex").alias("index"))
+    lines.write.partitionBy("run_id").json(root)
+    for run in runs(spark, d).collect():  # seven
+        files.write(f"{root}/run_id={run.run_id}/{MANIFEST_NAME}", json.dumps({"created_at_utc": run.run_id, "location": run.location, "status": run.status}))
+    return root
+
+
+_LAKE_SQL = f"""{OBS_SQL.replace("obs AS", "seen AS")}, {RUNS_SQL},
+obs AS (SELECT r.location, s.valid_time, date_trunc('second', s.analysis_time) AS analysis_time, s.kindex, r.run_id FROM runs r LEFT JOIN seen s ON r.run_id = s.run_id WHERE r.status = 'SUCCESS')"""
+
+
+@query(f"WITH {_LAKE_SQL} SELECT * FROM obs")
+def lake_to_t1(spark, d):
+    path = pipeline.rebuild(spark, raw_lake(spark, d), scratch(spark, "t1"), pattern="*.json")
+    return lake.read_t1(spark, path)
+
+
+@query(f"WITH {_LAKE_SQL} SELECT * FROM obs")
+def lake_to_t1_by_increments(spark, d):
+    raw, path = raw_lake(spark, d), scratch(spark, "t1")
+    while pipeline.increment(spark, raw, path, pattern="*.json"):
+        pass
+    return lake.read_t1(spark, path)
+
+
+@query(f"WITH {_LAKE_SQL}, {T2_SQL} SELECT * FROM t2")
+def lake_to_t2(spark, d):
+    t1 = pipeline.rebuild(spark, raw_lake(spark, d), scratch(spark, "t1"), pattern="*.json")
+    return lake.read_t2(spark, pipeline.transform(spark, t1, scratch(spark, "t2")))
