@@ -210,7 +210,7 @@ def visits(tree: Tree, queries: list[tuple[int, bytes, np.ndarray]], leaves: dic
 FOUND = "query_id long, query_class binary, vec_id long, score double"
 
 
-def search(embeddings: DataFrame, is_query: F.Column, k: int = 5, recall: float = 0.97, sample: int = 32_768, branch: int = 8, leaf: int = 128, calibrate: int = 256, part: int = 4_096) -> DataFrame:
+def search(embeddings: DataFrame, is_query: F.Column | str, k: int = 5, recall: float = 0.97, sample: int = 32_768, branch: int = 8, leaf: int = 128, calibrate: int = 256, part: int = 4_096) -> DataFrame:
     """For the rows of ``embeddings`` (vec_id, embedding) that fulfil ``is_query``: query_id, rank, vec_id, score of the k nearest found."""
     spark = embeddings.sparkSession
     rows = usable(embeddings)
@@ -293,4 +293,4 @@ def search(embeddings: DataFrame, is_query: F.Column, k: int = 5, recall: float
 
 
 def op1_ann_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return search(common.table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
+    return search(common.table(spark, sf_dir, "embeddings"), "vec_id % 50 = 0")

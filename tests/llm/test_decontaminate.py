@@ -1,0 +1,57 @@
+from __future__ import annotations
+
+import random
+
+import brute
+import pytest
+from conftest import edge_texts
+
+from runlake.llm import decontaminate
+
+
+def told(df):
+    return sorted(((r.doc_id, r.n_words, r.n_hit, r.n_items, r.items_sha256, r.contaminated) for r in df.collect()), key=str)
+
+
+def wanted(rows, items):
+    return sorted(((i, *brute.contamination(t, items)) for i, t in rows), key=str)
+
+
+def bench(spark, items):
+    return spark.createDataFrame([(i, t, 1) for i, t in items], "item_id long, text string, doc_id int")
+
+
+@pytest.mark.parametrize("most_words", [2_000_000, 30])
+@pytest.mark.parametrize("seed", range(3))
+def test_against_brute_force_in_one_block_or_many(spark, docs, seed, most_words):
+    rng = random.Random(seed)
+    word = lambda: rng.choice(["a", "B", "cc", "Dé", "e1"])
+    items = [(n, rng.choice(["-", " ", ", "]).join(word() for _ in range(rng.choice([0, 1, 2, 5, 13, 14, 20])))) for n in range(12)] + [(3, "repeat of three"), (None, "cc cc e1"), (99, None)]
+    rows = [(n, " ".join(word() for _ in range(rng.randrange(60)))) for n in range(40)]
+    rows += [(100, f"lead {items[4][1]} tail"), (101, None), (102, ""), (100, f"lead {items[4][1]} tail"), (103, "repeat OF three")]
+    assert told(decontaminate.judge(docs(rows), bench(spark, items), most_words)) == wanted(rows, items)
+
+
+def test_edges_and_empty_tables(spark, docs):
+    items = [(1, "one two"), (2, "a b c a b c a b c a b c a b"), (3, ""), (4, "東京")]
+    assert told(decontaminate.judge(docs(edge_texts()), bench(spark, items))) == wanted(edge_texts(), items)
+    assert told(decontaminate.judge(docs(edge_texts()), bench(spark, []))) == wanted(edge_texts(), [])
+    assert told(decontaminate.judge(docs([]), bench(spark, items))) == []
+
+
+@pytest.mark.parametrize("most_words", [2_000_000, 3])
+def test_clean_drops_just_the_contaminated(spark, docs, most_words):
+    items = [(1, "alpha beta gamma"), (2, "delta epsilon")]
+    rows = [(1, "alpha beta gamma"), (2, "x " * 57 + "alpha beta gamma"), (3, "x " * 58 + "alpha beta gamma"), (4, None), (5, "beta gamma"), (6, "x " * 96 + "alpha beta gamma delta epsilon"), (4, None)]
+    kept = decontaminate.clean(docs(rows), bench(spark, items), most_words)
+    assert kept.columns == docs(rows).columns
+    want = [i for i, t in rows if not brute.contamination(t, items)[4]]
+    assert 1 not in want and 2 not in want and 3 in want and want.count(4) == 2
+    assert sorted(r.doc_id for r in kept.collect()) == sorted(want)
+
+
+def test_long_document_with_many_hits(spark, docs):
+    items = [(1, " ".join(f"w{k % 3}" for k in range(40)))]
+    text = " ".join(f"w{k % 3}" for k in range(20_000))
+    (r,) = decontaminate.judge(docs([(1, text)]), bench(spark, items)).collect()
+    assert (r.n_words, r.n_hit, r.contaminated) == (20_000, 20_000, True)
