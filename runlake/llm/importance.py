@@ -6,8 +6,9 @@ log ratio of the two, and documents are drawn without replacement by Gumbel top-
 is its log weight (divided by a temperature) plus Gumbel noise, and the k largest keys are taken.
 
 N-grams, each counted once a text: words, word pairs, the first four letters of words, word shapes
-(letters and digits as A, a, 0, runs shortened, other marks as they are) alone and in pairs, and one
-for a word that comes three times in a row. Each kind is hashed into buckets of its own (``SIZES``).
+(letters and digits as A, a, 0, runs shortened, other marks as they are) alone and in pairs, and a
+word's own repetition (one for each power of two that its longest run in a row exceeds). Each kind
+is hashed into buckets of its own (``SIZES``).
 Raw holds target, so no n-gram of ordinary good text has a ratio above log(raw / good); log ratios
 are shrunk towards zero by ``SHRINK`` standard errors and a ``MARGIN``, so that buckets that tell nothing
 add no noise, however long the document is.
@@ -40,9 +41,9 @@ from pyspark.sql.types import DoubleType, StructField, StructType
 
 from runlake.llm import common
 
-#: Buckets for words, word beginnings, word pairs, shapes.
-SIZES = (1 << 18, 1 << 16, 1 << 16, 1 << 14)
-STARTS = (0, SIZES[0], SIZES[0] + SIZES[1], SIZES[0] + SIZES[1] + SIZES[2])
+#: Buckets for words, word beginnings, word pairs, shapes, runs.
+SIZES = (1 << 18, 1 << 16, 1 << 16, 1 << 14, 16)
+STARTS = tuple(sum(SIZES[:k]) for k in range(len(SIZES)))
 BUCKETS = sum(SIZES)
 SHRINK, MARGIN, LOSS = 3.0, 0.6, 1.5
 WEIGHTED = "doc_id long, log_weight double, n_words long"
@@ -79,10 +80,10 @@ def features(text: str | None, hashes: Hashes) -> np.ndarray:
         return np.empty(0, np.int32)
     word, start, shape = np.array(list(map(hashes.__getitem__, words)), np.uint64).T
     pair = word[:-1] * np.uint64(3) + word[1:]
-    again = word[:-1] == word[1:]
+    runs = np.diff(np.flatnonzero(np.r_[True, word[:-1] != word[1:], True]))
+    repeated = np.arange(1, min(16, int(runs.max() - 1).bit_length()), dtype=np.int32)
     shapes = shape[:-1] * np.uint64(5) + shape[1:] + np.uint64(11)
-    thrice = np.full(int((again[:-1] & again[1:]).any()), 7, np.uint64)
-    return np.unique(np.concatenate([_mix(word, 0), _mix(start, 1), _mix(pair, 2), _mix(np.concatenate([shape, shapes, thrice]), 3)]))
+    return np.unique(np.concatenate([_mix(word, 0), _mix(start, 1), _mix(pair, 2), _mix(np.concatenate([shape, shapes]), 3), repeated + STARTS[4]]))
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
