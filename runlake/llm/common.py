@@ -34,7 +34,13 @@ def shared_root(spark: SparkSession) -> str:
 
 
 def fresh_uri(spark: SparkSession, name: str) -> str:
-    return f"{shared_root(spark)}/runlake/{name}-{uuid.uuid4().hex}"
+    """A new place for a table of this application."""
+    return f"{shared_root(spark)}/runlake/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
+
+
+def sweep(spark: SparkSession) -> None:
+    """Delete all that this application has put into the shared folder; results that still read it must be written before."""
+    discard(spark, f"{shared_root(spark)}/runlake/{spark.sparkContext.applicationId}")
 
 
 def materialise(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:

@@ -212,7 +212,6 @@ def select(docs: DataFrame, labels: DataFrame, temperature: float = 0.05, most_l
 def keep(docs: DataFrame, labels: DataFrame, temperature: float = 0.05, most_labelled: int = 200_000, seed: int = 17) -> DataFrame:
     """The rows of ``docs`` that the resampling keeps, with all their columns; weighs again rather than join."""
     keyed, ratios, limit = draw(docs, labels, temperature, most_labelled, seed)
-    common.discard(docs.sparkSession, getattr(keyed, "_runlake_uri", None))
     shared = docs.sparkSession.sparkContext.broadcast(ratios.astype(np.float32))
     at = docs.columns.index("text")
 
