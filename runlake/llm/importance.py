@@ -30,6 +30,7 @@ from __future__ import annotations
 
 import math
 import re
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -47,57 +48,117 @@ STARTS = tuple(sum(SIZES[:k]) for k in range(len(SIZES)))
 BUCKETS = sum(SIZES)
 SHRINK, MARGIN, LOSS = 3.0, 0.6, 1.5
 WEIGHTED = "doc_id long, log_weight double, n_words long"
-_SHAPES = re.compile(r"[A-ZÀ-ÖØ-Þ]+|[a-zß-öø-ÿ]+|[0-9]+")
+_SHAPES = re.compile(r"[^\W\d_]+|[0-9]+")
 _REPEATED = re.compile(r"(.)\1+")
 _MULTIPLY = np.uint64(0x9E3779B97F4A7C15)
+_ENDS = ".,;:!?"
+
+
+def _cased(letters: str) -> str:
+    if letters.islower():
+        return "a"
+    return "AA" if letters.isupper() and len(letters) > 1 else "Aa"
 
 
 def _shape(word: str) -> str:
-    out = _SHAPES.sub(lambda m: "0" if m[0][0].isdigit() else "a" if m[0][0].islower() else "A" if len(m[0]) == 1 else "AA", word[:64])
+    """Letters as a, Aa or AA, digits as 0, other marks as they are, at most two of a kind."""
+    bare = word.rstrip(_ENDS)
+    if bare.isalpha():
+        return _cased(bare) + _REPEATED.sub(r"\1\1", word[len(bare) :])[:8] if len(bare) < len(word) else _cased(bare)
+    out = _SHAPES.sub(lambda m: "0" if m[0].isdecimal() else _cased(m[0]), word[:64])
     return _REPEATED.sub(r"\1\1", out)[:12]
 
 
-class Hashes(dict):
-    """Word to the hashes of itself, its beginning and its shape; starts afresh when full."""
-
-    def __missing__(self, word: str) -> tuple[int, int, int]:
-        if len(self) >= 250_000:
-            self.clear()
-        bare = word.lower().strip(".,;:!?")
-        value = self[word] = tuple(xxhash.xxh64_intdigest(x.encode("utf-8", "surrogatepass"), k) for k, x in enumerate((bare, bare[:4], _shape(word))))
-        return value
+class Words(dict):
+    """Word to its row in three lists of hashes: of itself, its beginning and its shape. Starts afresh when full."""
+
+    def __init__(self, most: int = 300_000) -> None:
+        super().__init__()
+        self.most, self.parts = most, ({}, {})
+        self.lists = (array("Q"), array("Q"), array("Q"))
+
+    def _part(self, kind: int, text: str) -> int:
+        """The hash of a beginning or a shape, of which there are few."""
+        held = self.parts[kind]
+        found = held.get(text)
+        if found is None:
+            if len(held) >= 100_000:
+                held.clear()
+            found = held[text] = xxhash.xxh64_intdigest(text.encode("utf-8", "surrogatepass"), kind + 1)
+        return found
+
+    def __missing__(self, word: str) -> int:
+        bare = word.lower()
+        if bare == word and word.isalpha():
+            shape = "a"
+        else:
+            bare, shape = bare.strip(_ENDS), _shape(word)
+        whole, start, form = self.lists
+        whole.append(xxhash.xxh64_intdigest(bare.encode("utf-8", "surrogatepass"), 0))
+        start.append(self._part(0, bare[:4]))
+        form.append(self._part(1, shape))
+        self[word] = row = len(whole) - 1
+        return row
+
+    def hashes(self, words: list[str]) -> list[np.ndarray]:
+        """The three hashes of each word, in portions, between which the lists may start afresh."""
+        out = [[], [], []]
+        for at in range(0, len(words), self.most):
+            part = words[at : at + self.most]
+            if len(self) > self.most:
+                self.clear()
+                self.lists = (array("Q"), array("Q"), array("Q"))
+            rows = np.array(list(map(self.__getitem__, part)), np.int32)
+            for own, held in zip(out, self.lists, strict=True):
+                own.append(np.array(held, np.uint64)[rows])
+        return [np.concatenate(own) for own in out]
 
 
 def _mix(h: np.ndarray, kind: int) -> np.ndarray:
     h = (h ^ (h >> np.uint64(29))) * _MULTIPLY
-    return ((h ^ (h >> np.uint64(32))) % np.uint64(SIZES[kind])).astype(np.int32) + STARTS[kind]
-
-
-def features(text: str | None, hashes: Hashes) -> np.ndarray:
-    """The buckets of a text's n-grams, each once."""
-    words = text.split() if text else []
-    if not words:
-        return np.empty(0, np.int32)
-    word, start, shape = np.array(list(map(hashes.__getitem__, words)), np.uint64).T
-    pair = word[:-1] * np.uint64(3) + word[1:]
-    runs = np.diff(np.flatnonzero(np.r_[True, word[:-1] != word[1:], True]))
-    repeated = np.arange(1, min(16, int(runs.max() - 1).bit_length()), dtype=np.int32)
-    shapes = shape[:-1] * np.uint64(5) + shape[1:] + np.uint64(11)
-    return np.unique(np.concatenate([_mix(word, 0), _mix(start, 1), _mix(pair, 2), _mix(np.concatenate([shape, shapes]), 3), repeated + STARTS[4]]))
+    return ((h ^ (h >> np.uint64(32))) % np.uint64(SIZES[kind])).astype(np.int64) + STARTS[kind]
+
+
+def _once(keys: np.ndarray) -> np.ndarray:
+    """Sorted, each once."""
+    keys = np.sort(keys)
+    return keys[np.r_[True, keys[1:] != keys[:-1]]] if len(keys) else keys
+
+
+def features(texts: list[str | None], known: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(text, bucket) of the texts' n-grams, each once a text, and the texts' numbers of words."""
+    split = [t.split() if t else [] for t in texts]
+    sizes = np.array([len(w) for w in split], np.int64)
+    if not sizes.sum():
+        return np.empty(0, np.int64), np.empty(0, np.int64), sizes
+    word, start, shape = known.hashes([w for own in split for w in own])
+    text = np.repeat(np.arange(len(texts)), sizes)
+    inside = text[1:] == text[:-1]  # pairs don't cross texts
+    key = lambda of, bucket: _once(of * BUCKETS + bucket)
+    pair = (word[:-1] * np.uint64(3) + word[1:])[inside]
+    shapes = (shape[:-1] * np.uint64(5) + shape[1:] + np.uint64(11))[inside]
+    ends = np.flatnonzero(np.r_[True, ~inside | (word[1:] != word[:-1]), True])
+    runs, run_text = np.diff(ends), text[ends[:-1]]
+    keys = [key(text, _mix(word, 0)), key(text, _mix(start, 1)), key(text[1:][inside], _mix(pair, 2)), key(text, _mix(shape, 3)), key(text[1:][inside], _mix(shapes, 3))]
+    for level in range(1, SIZES[4]):
+        long = run_text[runs > 1 << level]
+        if not len(long):
+            break
+        keys.append(key(long, STARTS[4] + level))
+    keys = np.concatenate(keys)
+    return keys // BUCKETS, keys % BUCKETS, sizes
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(text, good) to the counts of each bucket in all of a partition's texts and in its good ones; bucket -1 counts the texts."""
-    hashes, raw, target = Hashes(), np.zeros(BUCKETS, np.int64), np.zeros(BUCKETS, np.int64)
+    known, raw, target = Words(), np.zeros(BUCKETS, np.int64), np.zeros(BUCKETS, np.int64)
     n_raw = n_target = 0
     for batch in common.slices(batches):
-        for text, good in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            own = features(text, hashes)
-            raw[own] += 1
-            n_raw += 1
-            if good:
-                target[own] += 1
-                n_target += 1
+        good = np.asarray(batch.column(1).to_numpy(zero_copy_only=False), bool)
+        text, bucket, _ = features(batch.column(0).to_pylist(), known)
+        raw += np.bincount(bucket, minlength=BUCKETS)
+        target += np.bincount(bucket[good[text]], minlength=BUCKETS)
+        n_raw, n_target = n_raw + len(good), n_target + int(good.sum())
     at = np.flatnonzero(raw)
     yield pa.RecordBatch.from_pydict({"bucket": pa.array(np.r_[-1, at], pa.int32()), "raw": pa.array(np.r_[n_raw, raw[at]], pa.int64()), "target": pa.array(np.r_[n_target, target[at]], pa.int64())})
 
@@ -135,18 +196,20 @@ def held_back() -> F.Column:
     return F.pmod(F.xxhash64("doc_id", F.lit(3)), F.lit(4)) == 0
 
 
+def weights_of(texts: list[str | None], ratios: np.ndarray, known: Words) -> tuple[np.ndarray, np.ndarray]:
+    """The texts' log weights, rounded to a millionth, and their numbers of words."""
+    text, bucket, sizes = features(texts, known)
+    return np.round(np.bincount(text, ratios[bucket].astype(np.float64), minlength=len(texts)), 6) + 0.0, sizes
+
+
 def weigh(marked: DataFrame, ratios: np.ndarray) -> DataFrame:
     """All columns of ``marked`` but the text, and log_weight, n_words."""
     shared = marked.sparkSession.sparkContext.broadcast(ratios.astype(np.float32))  # BUCKETS numbers
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table, hashes = shared.value.astype(np.float64), Hashes()
+        table, known = shared.value, Words()
         for batch in common.slices(batches):
-            weights, words = [], []
-            for text in batch.column(1).to_pylist():
-                own = features(text, hashes)
-                weights.append(round(float(table[own].sum()), 6))
-                words.append(len(text.split()) if text else 0)
+            weights, words = weights_of(batch.column(1).to_pylist(), table, known)
             yield pa.RecordBatch.from_pydict({"doc_id": batch.column(0), "_good": batch.column(2), "log_weight": pa.array(weights, pa.float64()), "n_words": pa.array(words, pa.int64())})
 
     schema = "doc_id long, _good boolean, " + WEIGHTED.split(", ", 1)[1]
@@ -216,9 +279,9 @@ def keep(docs: DataFrame, labels: DataFrame, temperature: float = 0.05, most_lab
     at = docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table, hashes = shared.value.astype(np.float64), Hashes()
+        table, known = shared.value, Words()
         for batch in common.slices(batches):
-            weights = [round(float(table[features(t, hashes)].sum()), 6) for t in batch.column(at).to_pylist()]
+            weights, _ = weights_of(batch.column(at).to_pylist(), table, known)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(weights, pa.float64())], [*batch.schema.names, "_log_weight"])
 
     schema = StructType([*docs.schema.fields, StructField("_log_weight", DoubleType())])

@@ -63,12 +63,21 @@ def test_ratios_follow_the_counts():
 
 
 def test_features_by_hand():
-    h = importance.Hashes()
-    count = lambda t: len(importance.features(t, h))
-    assert count(None) == count("") == count(" \n") == 0
-    assert count("word") == 3
-    assert set(importance.features("a b", h)) <= set(importance.features("a b a b", h))
-    assert count("no no no") == count("no no") + 1 and count("no " * 9) == count("no no") + 3
+    known = importance.Words(most=12)  # starts afresh again and again
+
+    def of(*texts):
+        text, bucket, sizes = importance.features(list(texts), known)
+        assert sizes.tolist() == [len((t or "").split()) for t in texts]
+        return [sorted(bucket[text == k].tolist()) for k in range(len(texts))]
+
+    texts = [None, "", " \n", "word", "a b", "a b a b", "no no", "no no no", "no " * 9, "Big WORD x1!! " * 30, "b a"]
+    each = of(*texts)
+    assert each[:3] == [[], [], []] and len(each[3]) == 3
+    assert set(each[4]) <= set(each[5]) and all(len(e) == len(set(e)) for e in each)
+    assert len(each[7]) == len(each[6]) + 1 and len(each[8]) == len(each[6]) + 3
+    assert [of(t)[0] for t in texts] == each  # a text's features don't depend on its neighbours
+    assert each[4] != each[10]
+    assert [importance._shape(w) for w in ("a", "Ab", "ÀB", "été...", "x1!!!", "1-2", "**a**")] == ["a", "Aa", "AA", "a..", "a0!!", "0-0", "**a**"]
 
 
 def test_kth_largest_with_ties(spark):
