@@ -20,6 +20,7 @@ import re
 import numpy as np
 
 CACHE_ENTRIES = 400_000
+LATIN_END = "\u0250"
 _LOADED: dict[str, "Encoder"] = {}
 
 
@@ -96,10 +97,12 @@ class Encoder(dict):
             self.clear()
             if self.words:
                 self[""] = b""
-        if piece.isalpha() and (piece.isascii() or not self.words):
+        #: Latin letters have no marks apart, so they are normalised, and lower-casing is letter by letter (but for the dotted capital I).
+        plain = not self.words or piece and max(piece) < LATIN_END and "\u0130" not in piece
+        if plain and piece.isalpha():
             ids = self[piece] = self._stem(piece.lower() if self.words else piece, self.space)
             return ids
-        if (m := self.lettered(piece)) and (piece.isascii() or not self.words) and m[1].isalpha():
+        if plain and (m := self.lettered(piece)) and m[1].isalpha():
             seen = m[1] in self
             ids = self[m[1]] + self._mark(m[2])
             if seen:
