@@ -128,7 +128,9 @@ def forest(fps: np.ndarray) -> list[tuple[int, int]]:
 def compare(batches: Iterator[pa.RecordBatch], most: int | None) -> Iterator[pa.RecordBatch]:
     """From (key, fp, home) sorted by key to links (key null) and, past ``most`` members, the members themselves (b null)."""
     schema = pa.schema([("key", pa.int64()), ("a", pa.int64()), ("b", pa.int64())])
-    linked, tail, passing = Forest(), None, None
+    linked = Forest()
+    tail: list[np.ndarray] | None = None
+    passing: int | None = None  # the key of a group that was too large
 
     def links(a: np.ndarray, b: np.ndarray) -> None:
         for x, y in zip(a.view("i8").tolist(), b.view("i8").tolist(), strict=True):
@@ -161,8 +163,8 @@ def compare(batches: Iterator[pa.RecordBatch], most: int | None) -> Iterator[pa.
         now = [np.asarray(batch.column(0)), np.asarray(batch.column(1)).view("u8"), np.asarray(batch.column(2).to_numpy(zero_copy_only=False), bool)]
         if tail is not None:
             now = [np.concatenate(x) for x in zip(tail, now, strict=True)]
-        cut = int(np.searchsorted(now[0], now[0][-1])) if now[0][0] <= now[0][-1] else 0
-        if passing is not None:  # the rest of a group that was too large
+        cut = int(np.searchsorted(now[0], now[0][-1]))  # the last group may go on in the next batch
+        if passing is not None:
             end = int(np.searchsorted(now[0], passing, "right"))
             if end:
                 yield pa.RecordBatch.from_arrays([pa.array(now[0][:end]), pa.array(now[1][:end].view("i8")), pa.nulls(end, pa.int64())], schema=schema)
@@ -170,7 +172,8 @@ def compare(batches: Iterator[pa.RecordBatch], most: int | None) -> Iterator[pa.
             if len(now[0]):
                 passing = None
         if len(now[0]):
-            work(*(x[:cut] for x in now)) if cut else None
+            if cut:
+                work(*(x[:cut] for x in now))
             tail = [x[cut:] for x in now]
             if most is not None and len(tail[0]) > most:
                 passing = int(tail[0][0])

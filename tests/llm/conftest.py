@@ -19,12 +19,3 @@ def docs(spark):
         return spark.createDataFrame(full, DOCS + ", row_id string, fp int")
 
     return make
-
-
-def edge_texts():
-    """Null, empty, no words, one word, long, marks, other scripts, repeats."""
-    return [
-        (0, None), (1, ""), (2, " \n\t "), (3, "Word"), (4, "one two"), (5, "a b c " * 3000), (6, "a b c " * 3000),
-        (7, "Zürich straße ÄÖÜ İstanbul"), (8, "日本語 テキスト。 東京"), (9, "x" * 30_000), (10, "tab\tand\nline\r\nends  double"), (11, "!!! ??? ..."),
-        (12, "same text here twice"), (12, "same text here twice"), (None, "no id at all"), (13, "<|endoftext|> it's  odd \x1c sep"),
-    ]

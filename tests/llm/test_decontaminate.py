@@ -4,7 +4,7 @@ import random
 
 import brute
 import pytest
-from conftest import edge_texts
+from brute import edge_texts
 
 from runlake.llm import decontaminate
 

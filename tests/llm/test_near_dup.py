@@ -5,7 +5,7 @@ import random
 import brute
 import numpy as np
 import pytest
-from conftest import edge_texts
+from brute import edge_texts
 
 from runlake.llm import components, simhash_anchor
 

@@ -8,7 +8,7 @@ import random
 import brute
 import numpy as np
 import pytest
-from conftest import edge_texts
+from brute import edge_texts
 
 import corpus_pipeline
 from runlake.llm import importance, queries

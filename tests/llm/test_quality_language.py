@@ -7,7 +7,7 @@ import zlib
 
 import numpy as np
 import pytest
-from conftest import edge_texts
+from brute import edge_texts
 
 from runlake.llm import importance, langid
 

@@ -4,7 +4,7 @@ import base64
 import random
 
 import brute
-from conftest import edge_texts
+from brute import edge_texts
 
 from runlake.llm import secrets
 

@@ -7,7 +7,6 @@ import random
 import brute
 import numpy as np
 import pytest
-from pyspark.sql import functions as F
 
 from runlake.llm import ann_tree, linkgraph, preference
 
