@@ -1,7 +1,11 @@
 """Secret scans: fixed patterns, and a randomness test battery with length-aware false-discovery control.
 
 Base spans come from three patterns (kinds assign, access, hex). Beside them, every run of 20 or
-more key characters that has letters and digits, or mixes case, is a candidate (kind random):
+more key characters that has letters and digits, or mixes case, is a candidate (kind random). A
+``=`` inside a run parts a name from its value, and each part stands for itself (at the end it is
+padding). What no one alphabet holds, ``/`` or ``+`` beside ``-`` or ``_``, is parted in each of
+three ways, at the first two, at the last two and at all four; every part of 20 or more is a
+candidate, so these may overlap, as base spans do. Of a candidate:
 
 * its encoding is inferred as the smallest alphabet that holds it: hex, base 32, alphanumeric,
   base 64, base 64 for URLs;
@@ -47,6 +51,9 @@ KEYWORDS = (b"password", b"passwd", b"secret", b"token", b"apikey", b"api_key")
 KINDS = ("assign", "access", "hex", "random")
 
 CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{20,}")
+LEAST = 20
+VALUE = re.compile(r"[A-Za-z0-9+/_-]+(?:=+$)?")
+WAYS = tuple(re.compile(f"[A-Za-z0-9{marks}]+(?:=+$)?") for marks in ("_-", "+/", ""))
 _KEY_BYTES = bytes(0x78 if chr(b) in "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-" else 0x20 for b in range(256))
 _HEX_BYTES = bytes(0x78 if chr(b) in "0123456789abcdef" else 0x20 for b in range(256))
 
@@ -125,8 +132,21 @@ def length_class(n: int) -> int:
     return min(12, int(2 * math.log2(n / 16)))
 
 
+def parts(run: str) -> list[tuple[int, int]]:
+    """(start, end) of what is tested of a run of key characters: parts between inner ``=`` that one alphabet holds, or their parts in each way."""
+    out = []
+    for value in VALUE.finditer(run):
+        if len(value[0]) < LEAST:
+            continue
+        if encoding(value[0]) is not None:
+            out.append(value.span())
+        else:
+            out += {(value.start() + m.start(), value.start() + m.end()) for way in WAYS for m in way.finditer(value[0]) if len(m[0]) >= LEAST}
+    return sorted(out)
+
+
 def candidates(text: str, raw: bytes, base: list[tuple[int, int, int]]) -> list[tuple[int, int, str, int]]:
-    """(start, end, family, bin of its p-value) of the runs of key characters that no base span covers."""
+    """(start, end, family, bin of its p-value) of the parts of runs of key characters that no base span touches."""
     if b"x" * 20 not in raw.translate(_KEY_BYTES):
         return []
     out = []
@@ -134,12 +154,14 @@ def candidates(text: str, raw: bytes, base: list[tuple[int, int, int]]) -> list[
         token = m[0]
         if any(a < m.end() and m.start() < b for a, _, b in base):
             continue
-        classes = {_class(c) for c in token}
-        if not (0 in classes and (1 in classes or 2 in classes)) and not (1 in classes and 2 in classes):
-            continue
-        if tested := battery(token):
-            kind, p = tested
-            out.append((m.start(), m.end(), f"{kind}-{length_class(len(token))}", max(0, int(-math.log10(p) * BINS))))
+        for a, b in parts(token):
+            part = token[a:b]
+            classes = {_class(c) for c in part}
+            if not (0 in classes and (1 in classes or 2 in classes)) and not (1 in classes and 2 in classes):
+                continue
+            if tested := battery(part):
+                kind, p = tested
+                out.append((m.start() + a, m.start() + b, f"{kind}-{length_class(len(part))}", max(0, int(-math.log10(p) * BINS))))
     return out
 
 

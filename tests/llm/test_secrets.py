@@ -86,5 +86,37 @@ def test_keys_in_texts_are_found_and_redacted(spark, docs):
     assert by[53].text.startswith("[SECRET]")
 
 
+def candidates_of(text):
+    raw = text.encode()
+    return [text[a:b] for a, b, _, _ in secrets.candidates(text, raw, secrets.base_spans(text, raw))]
+
+
+KEY, URL_KEY, SLASHED = "aZ3kQ9xTb7LmW2pR8vYc4NdF", "aZ3kQ9xTb-7LmW2pR8_vYc4NdF6s", "wJalrXUtnFEMI/K7MDENG+bPxRfiCYzQ4"
+
+
+def test_keys_joined_to_names_are_tested():
+    for text, key in (
+        (f"AWS_SECRET_ACCESS_KEY={SLASHED}", SLASHED), (f"AccountKey={KEY}==", KEY + "=="), (f"?sig={KEY}&x", KEY), (f"STRIPE_KEY=rk_live_{KEY}", "rk_live_" + KEY),
+        (f"={KEY}", KEY), (f"a=b={URL_KEY}", URL_KEY), (f"NAME={KEY}==x", KEY), (KEY, KEY),
+    ):
+        assert candidates_of(f"see {text} end") == [key]
+    assert sorted(candidates_of(f"{KEY}={SLASHED}")) == sorted([KEY, SLASHED]) and candidates_of("=" * 60) == []
+
+
+def test_keys_in_paths_are_tested():
+    for text, key in ((f"host/my-hook/{KEY}/b", KEY), (f"v1/my-hook/{URL_KEY}/b", URL_KEY), (f"my_key-{SLASHED}", SLASHED), (f"a/b-c/x/{KEY}-d-e", KEY), (f"NAME=a/b-c/{KEY}", KEY)):
+        found = candidates_of(f"see {text} end")
+        assert key in found and len(found) == len(set(found))
+
+
+def test_keys_in_assignments_and_paths_are_redacted(spark, docs):
+    rng = random.Random(18)
+    keys = planted_random(rng, 60)
+    forms = ["AWS_SECRET_ACCESS_KEY={}", "AccountKey={}==", "?sig={}", "STRIPE_KEY=rk_live_{}", "host/my-hook-{}"]
+    rows = [(k, f"use {forms[k % 5].format(key)} now, or {name}") for k, (key, name) in enumerate(zip(keys, ordinary(rng, 60), strict=True))]
+    told = {r.doc_id: r.text for r in secrets.redact(docs(rows)).collect()}
+    assert sum(keys[k] not in told[k] for k in range(60)) >= 54
+
+
 def test_empty_tables(spark, docs):
     assert secrets.scan(docs([])).count() == 0 and secrets.redact(docs([])).count() == 0
