@@ -5,7 +5,8 @@ more key characters that has letters and digits, or mixes case, is a candidate (
 ``=`` inside a run parts a name from its value, and each part stands for itself (at the end it is
 padding). What no one alphabet holds, ``/`` or ``+`` beside ``-`` or ``_``, is parted in each of
 three ways, at the first two, at the last two and at all four; every part of 20 or more is a
-candidate, so these may overlap, as base spans do. Of a candidate:
+candidate, so these may overlap, as base spans do. Base spans are cut out of a run first, and what
+is left of it on either side is such a run again. Of a candidate:
 
 * its encoding is inferred as the smallest alphabet that holds it: hex, base 32, alphanumeric,
   base 64, base 64 for URLs;
@@ -145,23 +146,37 @@ def parts(run: str) -> list[tuple[int, int]]:
     return sorted(out)
 
 
+def uncovered(text: str, base: list[tuple[int, int, int]]) -> Iterator[tuple[int, int]]:
+    """(start, end) of the stretches of 20 or more characters that base spans (by start) leave of runs of key characters."""
+    k = 0
+    for m in CANDIDATE.finditer(text):
+        at = m.start()
+        while k < len(base) and base[k][0] < m.end():
+            a, _, b = base[k]
+            if a - at >= LEAST:
+                yield at, a
+            at = max(at, b)
+            if b > m.end():  # goes on beyond this run, so it may reach the next
+                break
+            k += 1
+        if m.end() - at >= LEAST:
+            yield at, m.end()
+
+
 def candidates(text: str, raw: bytes, base: list[tuple[int, int, int]]) -> list[tuple[int, int, str, int]]:
-    """(start, end, family, bin of its p-value) of the parts of runs of key characters that no base span touches."""
+    """(start, end, family, bin of its p-value) of the parts of runs of key characters, base spans cut out."""
     if b"x" * 20 not in raw.translate(_KEY_BYTES):
         return []
     out = []
-    for m in CANDIDATE.finditer(text):
-        token = m[0]
-        if any(a < m.end() and m.start() < b for a, _, b in base):
-            continue
-        for a, b in parts(token):
-            part = token[a:b]
+    for start, stop in uncovered(text, base):
+        for a, b in parts(text[start:stop]):
+            part = text[start + a : start + b]
             classes = {_class(c) for c in part}
             if not (0 in classes and (1 in classes or 2 in classes)) and not (1 in classes and 2 in classes):
                 continue
             if tested := battery(part):
                 kind, p = tested
-                out.append((m.start() + a, m.start() + b, f"{kind}-{length_class(len(part))}", max(0, int(-math.log10(p) * BINS))))
+                out.append((start + a, start + b, f"{kind}-{length_class(len(part))}", max(0, int(-math.log10(p) * BINS))))
     return out
 
 
