@@ -5,8 +5,11 @@ trusted seed is the number of its pages that a rule allows, its distrusted seed
 rule blocks. Links in the pages' html give edges between hosts (weight: how often, links inside a
 host don't count). Two personalised PageRanks run over them, r = (1 - d) * seed + d * sum of
 what neighbours pass on: trust along the links, from trusted seeds; distrust against them, from
-blocked seeds, since who links to a blocked host vouches for it. A host is blocked if its distrust
-exceeds its trust and is at least ``share`` of its own page mass, (1 - d) times its number of pages.
+blocked seeds, since who links to a blocked host vouches for it. Both count in a host's own page
+mass, (1 - d) times its number of pages. What a blocked host passes back is dealt among all that link
+to it, so it thins out with their number; a host's distrust is therefore at least the share of walks
+from its pages along links (going on with d at each step) that meet a blocked page, which no other linker
+changes. A host is blocked if its distrust exceeds its trust and is at least ``share``.
 
 Ranks are whole numbers of ``UNIT``, so sums don't depend on the order of rows. All of it is joins
 and grouped sums per host in Spark; each round is written to the shared folder.
@@ -70,6 +73,21 @@ def propagate(edges: DataFrame, seeds: DataFrame, damping: float, rounds: int) -
     out = edges.groupBy(F.col("src").alias("_src")).agg(F.sum("n").alias("_out"))
     flow = common.materialise(spark, edges.join(out, F.col("src") == F.col("_src")).select("src", "dst", (F.col("n") / F.col("_out") * damping).alias("part")), "flow")
     own = seeds.where("seed > 0").select("host", (F.col("seed") * UNIT * (1 - damping)).cast("long").alias("rank"))
+    return spread(flow, own, rounds)
+
+
+def vouched(edges: DataFrame, hosts: DataFrame, damping: float, rounds: int) -> DataFrame:
+    """(host, rank) from hosts (host, n_pages, blocked): in whole units, the share of walks along edges (src, dst, n) that meet a blocked page."""
+    spark = edges.sparkSession
+    out = edges.groupBy(F.col("src").alias("_src")).agg(F.sum("n").alias("_out"))
+    left = out.join(hosts, F.col("host") == F.col("_src")).select("_src", (damping * (1 - F.coalesce("blocked", F.lit(0)) / F.col("n_pages")) / F.col("_out")).alias("_each"))
+    flow = common.materialise(spark, edges.join(left, F.col("src") == F.col("_src")).select(F.col("dst").alias("src"), F.col("src").alias("dst"), (F.col("n") * F.col("_each")).alias("part")), "flow")
+    return spread(flow, hosts.where("blocked > 0").select("host", F.floor(F.col("blocked") / F.col("n_pages") * UNIT).cast("long").alias("rank")), rounds)
+
+
+def spread(flow: DataFrame, own: DataFrame, rounds: int) -> DataFrame:
+    """(host, rank) after so many rounds of passing ``part`` of the rank from src to dst, beside what is a host's ``own``."""
+    spark = flow.sparkSession
     if not flow.limit(1).count():
         return own
     now = base = common.materialise(spark, own, "rank")
@@ -91,9 +109,10 @@ def filter_urls(pages: DataFrame, rules=RULES, damping: float = 0.85, rounds: in
     trust = propagate(edges, hosts.select("host", F.col("allowed").alias("seed")), damping, rounds)
     against = edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "n")
     distrust = propagate(against, hosts.select("host", F.col("blocked").alias("seed")), damping, rounds)
+    walks = vouched(edges, hosts, damping, rounds)
     mass = F.col("n_pages") * UNIT * (1 - damping)
-    scored = hosts.join(trust.withColumnRenamed("rank", "t"), "host", "left").join(distrust.withColumnRenamed("rank", "d"), "host", "left")
-    scored = scored.select(F.col("host").alias("_host"), (F.coalesce("t", F.lit(0)) / mass).alias("trust"), (F.coalesce("d", F.lit(0)) / mass).alias("distrust"))
+    scored = hosts.join(trust.withColumnRenamed("rank", "t"), "host", "left").join(distrust.withColumnRenamed("rank", "d"), "host", "left").join(walks.withColumnRenamed("rank", "w"), "host", "left")
+    scored = scored.select(F.col("host").alias("_host"), (F.coalesce("t", F.lit(0)) / mass).alias("trust"), F.greatest(F.coalesce("d", F.lit(0)) / mass, F.coalesce("w", F.lit(0)) / UNIT).alias("distrust"))
     bad = (F.col("distrust") > F.col("trust")) & (F.col("distrust") >= share)
     return marked.join(scored, F.col("host") == F.col("_host")).select("page_id", "host", "path", "rule", F.coalesce("verdict", F.when(bad, "block").otherwise("allow")).alias("verdict"), "trust", "distrust")
 

@@ -106,6 +106,16 @@ def test_trust_and_distrust_travel(spark):
     assert linkgraph.filter_urls(pages(spark, [])).count() == 0
 
 
+def test_many_linkers_of_one_blocked_host(spark):
+    link = lambda h: f'<a href="https://{h}/">x</a>'
+    rows = [(0, "https://bad.net/es/1", link("fine.org")), (1, "https://second.org/", link("farm7.org")), (2, "https://passing.org/", link("bad.net") + link("fine.org") * 9), (3, "https://fine.org/", None)]
+    rows += [(10 + k, f"https://farm{k}.org/", link("bad.net")) for k in range(30)]
+    got = {r.host: r for r in linkgraph.filter_urls(pages(spark, rows)).collect()}
+    assert all(got[f"farm{k}.org"].verdict == "block" and abs(got[f"farm{k}.org"].distrust - 0.85) < 1e-3 for k in range(30))
+    assert got["second.org"].verdict == "block" and abs(got["second.org"].distrust - 0.85**2) < 1e-3
+    assert got["passing.org"].verdict == got["fine.org"].verdict == "allow"
+
+
 def test_propagation_by_brute_force(spark):
     rng = random.Random(15)
     hosts = [f"h{k}" for k in range(12)]
