@@ -36,6 +36,9 @@ from pyspark.sql import functions as F
 from runlake.llm import common
 
 
+ROUNDING = 1e-9  #: far more than cosines in double precision are off
+
+
 class Tree:
     """Nodes by number; the root is 0. A node has children or is a leaf with a number of its own."""
 
@@ -118,6 +121,14 @@ def cosine(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return (a * b).sum(axis=1) / (np.sqrt((a * a).sum(axis=1)) * np.sqrt((b * b).sum(axis=1)))
 
 
+def nearest(near: np.ndarray, own: np.ndarray, theirs: np.ndarray, members: list[list[int]], query: int, k: int) -> list[tuple[float, int, int]]:
+    """(-score, id, class) of the k best of all classes whose cosine ``near`` isn't below the k + 1 best by more than rounding: ties are settled by id."""
+    last = len(near) - min(len(near), k + 1)
+    top = np.flatnonzero(near >= np.partition(near, last)[last] - ROUNDING)
+    score = cosine(np.broadcast_to(own, (len(top), len(own))), theirs[top])
+    return heapq.nsmallest(k, ((-s, x, c) for s, c in zip(score.tolist(), top.tolist(), strict=True) for x in members[c] if x != query))
+
+
 def usable(embeddings: DataFrame) -> DataFrame:
     """(vec_id, v): the rows that take part."""
     rows = embeddings.where("vec_id is not null and embedding is not null").select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").alias("v"))
@@ -170,14 +181,15 @@ def exact(found: DataFrame, queries: list[tuple[int, bytes, np.ndarray]], k: int
     shared = found.sparkSession.sparkContext.broadcast((ids, np.stack([q[2] for q in queries])))  # calibrate rows
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, unit = shared.value[0], _unit(shared.value[1])
+        ids, own = shared.value
+        unit = _unit(own)
         for batch in batches:
             if not batch.num_rows:
                 continue
-            near = unit @ _unit(_matrix(batch.column(1))).T
+            theirs = _matrix(batch.column(1))
+            near = unit @ _unit(theirs).T
             members, leaf = batch.column(2).to_pylist(), np.asarray(batch.column(0))
-            top = np.argsort(-near, axis=1, kind="stable")[:, : k + 1]
-            rows = [(q, float(near[q, c]), x, int(leaf[c])) for q in range(len(ids)) for c in top[q] for x in members[c] if x != ids[q]]
+            rows = [(q, -s, x, int(leaf[c])) for q in range(len(ids)) for s, x, c in nearest(near[q], own[q], theirs, members, ids[q], k)]
             yield pa.RecordBatch.from_pydict({"q": pa.array([r[0] for r in rows], pa.int32()), "near": pa.array([r[1] for r in rows], pa.float64()), "vec_id": pa.array([r[2] for r in rows], pa.int64()), "leaf": pa.array([r[3] for r in rows], pa.int32())})
 
     best = W.partitionBy("q").orderBy(F.desc("near"), "vec_id")
@@ -274,13 +286,7 @@ def search(embeddings: DataFrame, is_query: F.Column | str, k: int = 5, recall:
                     block = piece.slice(k_, 512)
                     own, ids, kinds = _matrix(block.column(5)), block.column(3).to_pylist(), block.column(4).to_pylist()
                     near = _unit(own) @ unit.T
-                    few = min(len(unit), 2 * k + 6)
-                    top = np.argpartition(-near, few - 1, axis=1)[:, :few]
-                    out = []
-                    for q in range(len(own)):
-                        score = cosine(np.broadcast_to(own[q], (few, own.shape[1])), theirs[top[q]])
-                        best = sorted((-s, x) for s, c in zip(score.tolist(), top[q].tolist(), strict=True) for x in members[c] if x != ids[q])[:k]
-                        out += [(ids[q], kinds[q], x, -s) for s, x in best]
+                    out = [(ids[q], kinds[q], x, -s) for q in range(len(own)) for s, x, _ in nearest(near[q], own[q], theirs, members, ids[q], k)]
                     yield pa.RecordBatch.from_pydict({"query_id": pa.array([r[0] for r in out], pa.int64()), "query_class": pa.array([r[1] for r in out], pa.binary()), "vec_id": pa.array([r[2] for r in out], pa.int64()), "score": pa.array([r[3] for r in out], pa.float64())})
 
     n_parts = F.element_at(F.create_map(*[F.lit(x) for pair in sorted(parts.items()) for x in pair]), F.col("leaf"))

@@ -31,6 +31,27 @@ def test_search_by_brute_force_with_copies_and_ties(spark):
     assert got == want
 
 
+def test_many_scaled_copies_tie_by_id(spark):
+    rng = np.random.default_rng(16)
+    v = rng.normal(size=8).astype("f4")
+    ids = rng.permutation(80).tolist()
+    rows = [(i, (v * np.float32(2.0 ** (k - 40))).tolist()) for k, i in enumerate(ids)] + [(k, rng.normal(size=8).astype("f4").tolist()) for k in range(80, 120)]
+    got = told(ann_tree.search(vectors(spark, rows), QUERY, recall=1.0, sample=200, leaf=16, branch=4, calibrate=64))
+    assert got == sorted((q, n, i, round(s, 9)) for q, n, i, s in brute.neighbours(rows))
+    assert [i for q, _, i, _ in got if q == 50] == [0, 1, 2, 3, 4]
+
+
+def test_ties_are_settled_by_id_in_any_order():
+    rng = np.random.default_rng(17)
+    v = rng.normal(size=8)
+    for _ in range(20):
+        ids = rng.permutation(80).tolist()
+        theirs = v * 2.0 ** (rng.permutation(80)[:, None] - 40)
+        near = ann_tree._unit(v[None, :]) @ ann_tree._unit(theirs).T
+        best = ann_tree.nearest(near[0], v, theirs, [[i] for i in ids], 3, 5)
+        assert [x for _, x, _ in best] == [0, 1, 2, 4, 5] and all(ids[c] == x for _, x, c in best)
+
+
 def test_recall_on_many_vectors(spark):
     rng = np.random.default_rng(13)
     centres = rng.normal(size=(40, 16))
