@@ -1,14 +1,17 @@
-"""What the operators share: the shared folder, lineage cuts, shipping code, Arrow plumbing.
+"""What the operators share: the shared folder, lineage cuts, skewed joins, shipping code, Arrow plumbing.
 
 Lineage is cut by writing Parquet below the folder named by ``spark.checkpoint.dir`` (shared by
-driver and executors), so that a lost executor costs a re-read and nothing else. No operator uses a
-machine-local folder unless the session names none, as in tests.
+driver and executors), so that a lost executor costs a re-read and nothing else. A session that
+names no such folder gets a temporary one if it runs on one machine, as in tests, and an error on a
+cluster, where a machine-local folder would lose rows.
 """
 
 from __future__ import annotations
 
+import atexit
 import io
 import os
+import shutil
 import tempfile
 import uuid
 import zipfile
@@ -16,17 +19,30 @@ from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 _LOCAL_ROOT: list[str] = []
+#: Rows of an Arrow batch on its way to a Python worker, at most: buffers outside the heap grow with it.
+BATCH_ROWS = 2_000
+
+
+def _own_folder(prefix: str) -> str:
+    """A temporary folder of this process, deleted when it ends."""
+    folder = tempfile.mkdtemp(prefix=prefix)
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    return folder
 
 
 def shared_root(spark: SparkSession) -> str:
     """The URI below which intermediate tables go: ``spark.checkpoint.dir`` where it is set."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         if not _LOCAL_ROOT:
-            _LOCAL_ROOT.append("file://" + tempfile.mkdtemp(prefix="runlake-"))
+            _LOCAL_ROOT.append("file://" + _own_folder("runlake-"))
         root = _LOCAL_ROOT[0]
     if "://" not in root and not root.startswith("file:"):
         root = "file://" + os.path.abspath(root)
@@ -75,7 +91,7 @@ def ship(spark: SparkSession) -> None:
                     if name.endswith(".py"):
                         full = os.path.join(folder, name)
                         z.write(full, os.path.relpath(full, os.path.dirname(package)))
-        target = os.path.join(tempfile.mkdtemp(prefix="runlake-ship-"), "runlake_pkg.zip")
+        target = os.path.join(_own_folder("runlake-ship-"), "runlake_pkg.zip")  # Spark serves it from here to the executors
         with open(target, "wb") as f:
             f.write(body.getvalue())
         sc.addPyFile(target)
@@ -87,12 +103,38 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def map_arrow(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: StructType | str) -> DataFrame:
-    """``mapInArrow`` after shipping the package."""
-    ship(df.sparkSession)
+    """``mapInArrow`` after shipping the package; the session's Arrow batches are kept to ``BATCH_ROWS``."""
+    spark = df.sparkSession
+    ship(spark)
+    if not 0 < int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) <= BATCH_ROWS:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
     return df.mapInArrow(fn, schema)
 
 
-def slices(batches: Iterator[pa.RecordBatch], text: str | None = "text", most_bytes: int = 8 << 20) -> Iterator[pa.RecordBatch]:
+def spare(columns: list[str], *names: str) -> list[str]:
+    """Working names after ``names`` that no column has, whatever its case."""
+    taken = {c.lower() for c in columns}
+    out = []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
+def join_skewed(many: DataFrame, one: DataFrame, key: str, rows: str, parts: int = 1_000) -> DataFrame:
+    """Inner join of ``many`` with ``one`` on ``key``, which ``one`` holds once and not null, with the number of ``many``'s rows in column ``rows``.
+
+    Keys with over 1/``parts`` of all rows are broadcast: there are fewer than ``parts`` of them. The
+    rest is joined by a shuffle, in which no key is large. Both tables are read twice."""
+    total = one.agg(F.sum(rows)).first()[0] or 0
+    heavy = F.broadcast(one.where(F.col(rows) * parts > total).drop(rows))
+    light = one.where(F.col(rows) * parts <= total).drop(rows)
+    return many.join(heavy, key).unionByName(many.join(heavy.select(key), key, "left_anti").join(light, key))
+
+
+def slices(batches: Iterator[pa.RecordBatch], text: str | None = "text", most_bytes: int = 2 << 20) -> Iterator[pa.RecordBatch]:
     """Cut record batches so that no piece holds much more than ``most_bytes`` of text: long documents never pile up."""
     for batch in batches:
         if batch.num_rows == 0:

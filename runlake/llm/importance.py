@@ -1,29 +1,33 @@
 """Quality by importance resampling.
 
-Two generative models of hashed n-grams are fitted: *target*, the labelled documents that are good,
-and *raw*, the whole corpus. A document's log importance weight is the sum over its n-grams of the
-log ratio of the two, and documents are drawn without replacement by Gumbel top-k: a document's key
-is its log weight (divided by a temperature) plus Gumbel noise, and the k largest keys are taken.
-
-N-grams, each counted once a text: words, word pairs, the first four letters of words, word shapes
-(letters and digits as A, a, 0, runs shortened, other marks as they are) alone and in pairs, and a
-word's own repetition (one for each power of two that its longest run in a row exceeds). Each kind
-is hashed into buckets of its own (``SIZES``).
-Raw holds target, so no n-gram of ordinary good text has a ratio above log(raw / good); log ratios
-are shrunk towards zero by ``SHRINK`` standard errors and a ``MARGIN``, so that buckets that tell nothing
-add no noise, however long the document is.
-
-k is the number of documents whose weight is at least a threshold. It is the one that best parts the
-labelled documents of a quarter of the labels, which the target model doesn't see; losing a good one
-counts ``LOSS`` times. Noise comes from a hash of doc_id, so that reruns agree.
-
-The target model and the threshold come from the labels (bound: ``most_labelled`` documents, chosen
-by a hash of doc_id); raw counts, weights, k and the selection cover all documents.
+Two generative models of hashed n-grams are fitted: *raw*, the whole corpus, and *target*, the
+labelled documents that are good. A document's log importance weight is the sum over its n-grams of
+the log ratio of the two, and documents are drawn without replacement by Gumbel top-k: a document's
+key is its log weight, divided by the temperature (1), plus Gumbel noise, and the k largest keys are
+taken. k is the target size: ``share`` of all rows, by default the part of the labelled documents
+that is good. So the draw has the inclusion probabilities of sampling in proportion to the weights,
+and a document near the limit is in with one seed and out with another.
+
+The models: a text is a set of n-grams, each present or not. Raw's chance of an n-gram is its share
+of all texts. Target is sparse and additive over raw: the log of its chance is raw's plus a
+deviation that is zero unless the labels show otherwise, namely the log of seen over expected count,
+drawn towards zero by ``SHRINK`` standard errors and a ``MARGIN`` (the estimate under a Laplace prior).
+Raw holds target, so no n-gram of ordinary good text deviates by more than log(raw / good); without the
+prior the small errors of all ordinary words outweigh, in a long document, the few words that tell.
+
+N-grams: words, word pairs, the first four letters of words, word shapes (letters and digits as A,
+a, 0, runs shortened, other marks as they are) alone and in pairs, and a word's own repetition (one
+for each power of two that its longest run in a row exceeds). Each kind is hashed into buckets of its
+own, whose number grows with the square root of the corpus's length (``sizes_for``).
+
+The target model comes from the labels (bound: ``most_labelled`` documents, chosen by a hash of
+doc_id); raw counts, weights, k and the selection cover all documents. Noise comes from a hash of
+doc_id and a seed, so that reruns agree.
 
 Defined cases: without usable labels every weight is zero and all documents are kept; null text is
 empty and has weight zero; null doc_ids share one noise value; rows with the k-th key are all kept,
 so repeated rows stay together; labels repeated for a document count as good only if all are; labels
-without documents are ignored; an empty table gives no rows; extra columns stay.
+without documents are ignored; an empty table gives no rows; extra columns stay, whatever their names.
 """
 
 from __future__ import annotations
@@ -38,20 +42,34 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType, StructField, StructType
+from pyspark.sql.types import DoubleType, LongType, StructField, StructType
 
 from runlake.llm import common
 
-#: Buckets for words, word beginnings, word pairs, shapes, runs.
-SIZES = (1 << 18, 1 << 16, 1 << 16, 1 << 14, 16)
-STARTS = tuple(sum(SIZES[:k]) for k in range(len(SIZES)))
-BUCKETS = sum(SIZES)
-SHRINK, MARGIN, LOSS = 3.0, 0.6, 1.5
-WEIGHTED = "doc_id long, log_weight double, n_words long"
+SHRINK, MARGIN = 3.0, 0.6
 _SHAPES = re.compile(r"[^\W\d_]+|[0-9]+")
 _REPEATED = re.compile(r"(.)\1+")
 _MULTIPLY = np.uint64(0x9E3779B97F4A7C15)
 _ENDS = ".,;:!?"
+RUNS = 16  #: buckets of the last kind, a word's own repetition
+
+
+def sizes_for(chars: int) -> tuple[int, ...]:
+    """Buckets for words, word beginnings, word pairs, shapes and runs in a corpus of so many characters: 2^18 words up to about 200 million of them, twice as many for each fourfold, 2^22 at most."""
+    words = 1 << min(22, max(18, round(math.log2(18 * math.sqrt(max(1, chars))))))
+    return words, words >> 2, words, 1 << 14, RUNS
+
+
+class Buckets:
+    """Where each kind's buckets begin."""
+
+    def __init__(self, sizes: tuple[int, ...]) -> None:
+        self.sizes, self.total = sizes, sum(sizes)
+        self.starts = tuple(sum(sizes[:k]) for k in range(len(sizes)))
+
+    def of(self, hashes: np.ndarray, kind: int) -> np.ndarray:
+        h = (hashes ^ (hashes >> np.uint64(29))) * _MULTIPLY
+        return ((h ^ (h >> np.uint64(32))) % np.uint64(self.sizes[kind])).astype(np.int64) + self.starts[kind]
 
 
 def _cased(letters: str) -> str:
@@ -114,18 +132,13 @@ class Words(dict):
         return [np.concatenate(own) for own in out]
 
 
-def _mix(h: np.ndarray, kind: int) -> np.ndarray:
-    h = (h ^ (h >> np.uint64(29))) * _MULTIPLY
-    return ((h ^ (h >> np.uint64(32))) % np.uint64(SIZES[kind])).astype(np.int64) + STARTS[kind]
-
-
 def _once(keys: np.ndarray) -> np.ndarray:
     """Sorted, each once."""
     keys = np.sort(keys)
     return keys[np.r_[True, keys[1:] != keys[:-1]]] if len(keys) else keys
 
 
-def features(texts: list[str | None], known: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def features(texts: list[str | None], known: Words, buckets: Buckets) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(text, bucket) of the texts' n-grams, each once a text, and the texts' numbers of words."""
     split = [t.split() if t else [] for t in texts]
     sizes = np.array([len(w) for w in split], np.int64)
@@ -134,100 +147,105 @@ def features(texts: list[str | None], known: Words) -> tuple[np.ndarray, np.ndar
     word, start, shape = known.hashes([w for own in split for w in own])
     text = np.repeat(np.arange(len(texts)), sizes)
     inside = text[1:] == text[:-1]  # pairs don't cross texts
-    key = lambda of, bucket: _once(of * BUCKETS + bucket)
+    key = lambda of, bucket: _once(of * buckets.total + bucket)
     pair = (word[:-1] * np.uint64(3) + word[1:])[inside]
     shapes = (shape[:-1] * np.uint64(5) + shape[1:] + np.uint64(11))[inside]
     ends = np.flatnonzero(np.r_[True, ~inside | (word[1:] != word[:-1]), True])
     runs, run_text = np.diff(ends), text[ends[:-1]]
-    keys = [key(text, _mix(word, 0)), key(text, _mix(start, 1)), key(text[1:][inside], _mix(pair, 2)), key(text, _mix(shape, 3)), key(text[1:][inside], _mix(shapes, 3))]
-    for level in range(1, SIZES[4]):
+    keys = [key(text, buckets.of(word, 0)), key(text, buckets.of(start, 1)), key(text[1:][inside], buckets.of(pair, 2)), key(text, buckets.of(shape, 3)), key(text[1:][inside], buckets.of(shapes, 3))]
+    for level in range(1, RUNS):
         long = run_text[runs > 1 << level]
         if not len(long):
             break
-        keys.append(key(long, STARTS[4] + level))
+        keys.append(key(long, buckets.starts[4] + level))
     keys = np.concatenate(keys)
-    return keys // BUCKETS, keys % BUCKETS, sizes
+    return keys // buckets.total, keys % buckets.total, sizes
 
 
-def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _count(batches: Iterator[pa.RecordBatch], buckets: Buckets) -> Iterator[pa.RecordBatch]:
     """(text, good) to the counts of each bucket in all of a partition's texts and in its good ones; bucket -1 counts the texts."""
-    known, raw, target = Words(), np.zeros(BUCKETS, np.int64), np.zeros(BUCKETS, np.int64)
+    known, raw, target = Words(), np.zeros(buckets.total, np.int32), np.zeros(buckets.total, np.int32)
     n_raw = n_target = 0
     for batch in common.slices(batches):
         good = np.asarray(batch.column(1).to_numpy(zero_copy_only=False), bool)
-        text, bucket, _ = features(batch.column(0).to_pylist(), known)
-        raw += np.bincount(bucket, minlength=BUCKETS)
-        target += np.bincount(bucket[good[text]], minlength=BUCKETS)
+        text, bucket, _ = features(batch.column(0).to_pylist(), known, buckets)
+        for counts, own in ((raw, bucket), (target, bucket[good[text]])):
+            at, n = np.unique(own, return_counts=True)
+            counts[at] += n.astype(np.int32)
         n_raw, n_target = n_raw + len(good), n_target + int(good.sum())
-    at = np.flatnonzero(raw)
-    yield pa.RecordBatch.from_pydict({"bucket": pa.array(np.r_[-1, at], pa.int32()), "raw": pa.array(np.r_[n_raw, raw[at]], pa.int64()), "target": pa.array(np.r_[n_target, target[at]], pa.int64())})
-
-
-def log_ratios(raw: np.ndarray, target: np.ndarray, n_raw: int, n_target: int) -> np.ndarray:
-    """Per bucket: log of target's share over raw's, shrunk towards zero."""
-    if not n_target:
-        return np.zeros(len(raw))
-    expected = raw * (n_target / n_raw)  # what raw's share makes one expect of target
-    ratio = np.log((target + 0.5) / (expected + 0.5))
-    return np.sign(ratio) * np.maximum(0, np.abs(ratio) - SHRINK / np.sqrt(expected + 0.5) - MARGIN)
+    found = np.flatnonzero(raw)
+    yield _counted(np.array([-1]), np.array([n_raw]), np.array([n_target]))
+    for at in range(0, len(found), 1 << 18):
+        here = found[at : at + (1 << 18)]
+        yield _counted(here, raw[here], target[here])
 
 
-def labelled(docs: DataFrame, labels: DataFrame, most_labelled: int) -> DataFrame:
-    """``docs`` with ``_good``: true or false for the labelled documents of the bounded sample, else null."""
-    one = labels.where("doc_id is not null").groupBy(F.col("doc_id").alias("_label_id")).agg(F.min((F.coalesce("quality", F.lit(0)) == 1) & (F.coalesce("toxic", F.lit(0)) == 0)).alias("_good"))
-    n = labels.count()
-    if n > most_labelled:
-        one = one.where(F.pmod(F.xxhash64("_label_id"), F.lit(1 << 20)) < int((1 << 20) * most_labelled / n))
-    return docs.join(F.broadcast(one), F.col("doc_id") == F.col("_label_id"), "left").drop("_label_id")  # at most about most_labelled rows of two short columns
+def _counted(bucket: np.ndarray, raw: np.ndarray, target: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_pydict({"bucket": pa.array(bucket, pa.int32()), "raw": pa.array(raw, pa.int64()), "target": pa.array(target, pa.int64())})
 
 
-def fit(marked: DataFrame) -> np.ndarray:
-    """The log ratios from (doc_id, text, _good) of all documents; a quarter of the labelled ones is left for the threshold."""
-    raw, target = np.zeros(BUCKETS + 1, np.int64), np.zeros(BUCKETS + 1, np.int64)
-    good = F.coalesce(F.col("_good") & ~held_back(), F.lit(False))
-    counts = common.map_arrow(marked.select("text", good.alias("good")), _count, "bucket int, raw long, target long")
-    summed = counts.groupBy("bucket").agg(F.sum("raw").alias("raw"), F.sum("target").alias("target")).toArrow()  # one row for a bucket at most
-    at = summed.column("bucket").to_numpy()
-    raw[at], target[at] = summed.column("raw").to_numpy(), summed.column("target").to_numpy()  # bucket -1 is the last place
-    return log_ratios(raw[:-1], target[:-1], int(raw[-1]), int(target[-1]))
+def deviation(raw: F.Column, target: F.Column, n_raw: int, n_target: int) -> F.Column:
+    """Of one bucket: target's log chance less raw's, under the prior."""
+    expected = raw * (n_target / n_raw)  # what raw's share makes one expect of target
+    ratio = F.log((target + 0.5) / (expected + 0.5))
+    return F.signum(ratio) * F.greatest(F.lit(0.0), F.abs(ratio) - SHRINK / F.sqrt(expected + 0.5) - MARGIN)
 
 
-def held_back() -> F.Column:
-    return F.pmod(F.xxhash64("doc_id", F.lit(3)), F.lit(4)) == 0
+class Model:
+    """The buckets and the deviations of those whose deviation isn't zero, by bucket."""
 
+    def __init__(self, buckets: Buckets, at: np.ndarray, log_ratio: np.ndarray) -> None:
+        order = np.argsort(at)
+        self.buckets, self.at, self.log_ratio = buckets, at[order], log_ratio[order]
 
-def weights_of(texts: list[str | None], ratios: np.ndarray, known: Words) -> tuple[np.ndarray, np.ndarray]:
-    """The texts' log weights, rounded to a millionth, and their numbers of words."""
-    text, bucket, sizes = features(texts, known)
-    return np.round(np.bincount(text, ratios[bucket].astype(np.float64), minlength=len(texts)), 6) + 0.0, sizes
+    def weights(self, texts: list[str | None], known: Words) -> tuple[np.ndarray, np.ndarray]:
+        """The texts' log weights, rounded to a millionth, and their numbers of words."""
+        text, bucket, sizes = features(texts, known, self.buckets)
+        if not len(self.at):
+            return np.zeros(len(texts)), sizes
+        place = np.minimum(np.searchsorted(self.at, bucket), len(self.at) - 1)
+        hit = self.at[place] == bucket
+        return np.round(np.bincount(text[hit], self.log_ratio[place[hit]], minlength=len(texts)), 6) + 0.0, sizes
 
 
-def weigh(marked: DataFrame, ratios: np.ndarray) -> DataFrame:
-    """All columns of ``marked`` but the text, and log_weight, n_words."""
-    shared = marked.sparkSession.sparkContext.broadcast(ratios.astype(np.float32))  # BUCKETS numbers
+def labelled(docs: DataFrame, labels: DataFrame, most_labelled: int, good: str) -> DataFrame:
+    """``docs`` with a column ``good``: true or false for the labelled documents of the bounded sample, else null."""
+    (label_id,) = common.spare([*docs.columns, good], "label_id")
+    sound = (F.coalesce("quality", F.lit(0)) == 1) & (F.coalesce("toxic", F.lit(0)) == 0)
+    one = labels.where("doc_id is not null").groupBy(F.col("doc_id").cast("long").alias(label_id)).agg(F.min(sound).alias(good))
+    n = labels.count()
+    if n > most_labelled:
+        one = one.where(F.pmod(F.xxhash64(label_id), F.lit(1 << 20)) < int((1 << 20) * most_labelled / n))
+    return docs.join(F.broadcast(one), F.col("doc_id").cast("long") == F.col(label_id), "left").drop(label_id)  # at most about most_labelled rows of two short columns
+
+
+def fit(marked: DataFrame, good: str) -> tuple[Model, float]:
+    """The model from all rows of ``marked`` (text, and the mark ``good``), and the part of the marked ones that is good (1 if none is marked)."""
+    told = marked.agg(F.sum(F.length("text")).alias("chars"), F.count(good).alias("n"), F.sum(F.col(good).cast("long")).alias("good")).first()
+    buckets = Buckets(sizes_for(told.chars or 0))
+    counts = common.map_arrow(marked.select("text", F.coalesce(good, F.lit(False)).alias("good")), lambda b: _count(b, buckets), "bucket int, raw long, target long")
+    summed = common.materialise(marked.sparkSession, counts.groupBy("bucket").agg(F.sum("raw").alias("raw"), F.sum("target").alias("target")), "bucket-counts")
+    n = summed.where("bucket = -1").agg(F.max("raw").alias("raw"), F.max("target").alias("target")).first()
+    if not n.target:
+        return Model(buckets, np.empty(0, np.int64), np.empty(0)), 1.0
+    telling = summed.where("bucket >= 0").select("bucket", deviation(F.col("raw"), F.col("target"), n.raw, n.target).alias("d")).where("d <> 0").toArrow()  # fewer rows than buckets, and those are bounded
+    common.discard(marked.sparkSession, summed)
+    return Model(buckets, telling.column("bucket").to_numpy().astype(np.int64), telling.column("d").to_numpy()), told.good / told.n
+
+
+def weigh(docs: DataFrame, model: Model, weight: str, n_words: str) -> DataFrame:
+    """All columns of ``docs``, and the log weight and number of words of each row."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # as many numbers as buckets, at most
+    at = docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table, known = shared.value, Words()
+        own, known = shared.value, Words()
         for batch in common.slices(batches):
-            weights, words = weights_of(batch.column(1).to_pylist(), table, known)
-            yield pa.RecordBatch.from_pydict({"doc_id": batch.column(0), "_good": batch.column(2), "log_weight": pa.array(weights, pa.float64()), "n_words": pa.array(words, pa.int64())})
-
-    schema = "doc_id long, _good boolean, " + WEIGHTED.split(", ", 1)[1]
-    return common.map_arrow(marked.select(F.col("doc_id").cast("long"), "text", "_good"), run, schema)
+            weights, words = own.weights(batch.column(at).to_pylist(), known)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(weights, pa.float64()), pa.array(words, pa.int64())], [*batch.schema.names, weight, n_words])
 
-
-def threshold(weighted: DataFrame, bins: int = 4001, reach: float = 50.0) -> float:
-    """The weight that best parts good from bad labelled documents, from histograms of fixed size."""
-    bin_ = F.floor((F.greatest(F.lit(-reach), F.least(F.lit(reach), "log_weight")) + reach) * ((bins - 1) / (2 * reach))).cast("int")
-    good, bad = np.zeros(bins), np.zeros(bins)
-    for row in weighted.where("_good is not null").where(held_back()).groupBy(bin_.alias("bin"), "_good").count().collect():
-        (good if row._good else bad)[row.bin] += row["count"]
-    if not good.sum() or not bad.sum():
-        return -math.inf
-    #: Keeping bins from t on: share of good kept plus share of bad gone. Of equals, the middle.
-    score = LOSS * np.cumsum(good[::-1])[::-1] / good.sum() + (np.cumsum(bad) - bad) / bad.sum()
-    best = np.flatnonzero(score >= score.max() - 1e-12)
-    return float(best[len(best) // 2] * (2 * reach / (bins - 1)) - reach)
+    schema = StructType([*docs.schema.fields, StructField(weight, DoubleType()), StructField(n_words, LongType())])
+    return common.map_arrow(docs, run, schema)
 
 
 def kth_largest(keys: DataFrame, k: int, few: int = 20_000, bins: int = 2048) -> float:
@@ -251,42 +269,38 @@ def kth_largest(keys: DataFrame, k: int, few: int = 20_000, bins: int = 2048) ->
 
 def noise(seed: int) -> F.Column:
     """Gumbel noise from a hash of doc_id."""
-    unit = (F.shiftrightunsigned(F.xxhash64(F.coalesce("doc_id", F.lit(-1)), F.lit(seed)), 11).cast("double") + 0.5) / float(1 << 53)
+    unit = (F.shiftrightunsigned(F.xxhash64(F.coalesce(F.col("doc_id").cast("long"), F.lit(-1)), F.lit(seed)), 11).cast("double") + 0.5) / float(1 << 53)
     return -F.log(-F.log(unit))
 
 
-def draw(docs: DataFrame, labels: DataFrame, temperature: float, most_labelled: int, seed: int) -> tuple[DataFrame, np.ndarray, float]:
-    """The weighted rows with their keys, the log ratios, and the smallest key that is kept."""
-    marked = labelled(docs.select("doc_id", "text"), labels, most_labelled)
-    ratios = fit(marked)
-    weighted = common.materialise(docs.sparkSession, weigh(marked, ratios), "weights")
-    least = threshold(weighted)
-    keyed = weighted.withColumn("key", F.col("log_weight") / temperature + noise(seed))
-    k = weighted.where(F.col("log_weight") >= least).count()
-    return keyed, ratios, kth_largest(keyed.select("key"), k) if k else math.inf
+def limit_of(weighted: DataFrame, key: F.Column, share: float) -> float:
+    """The smallest key among the ``share`` of the rows with the largest keys."""
+    k = round(weighted.count() * share)
+    return kth_largest(weighted.select(key.alias("key")), k) if k else math.inf
 
 
-def select(docs: DataFrame, labels: DataFrame, temperature: float = 0.05, most_labelled: int = 200_000, seed: int = 17) -> DataFrame:
-    """Per row of ``docs`` (doc_id, text): doc_id, log_weight, n_words, key, kept."""
-    keyed, _, limit = draw(docs, labels, temperature, most_labelled, seed)
-    return keyed.withColumn("kept", F.col("key") >= limit).drop("_good")
+def draw(docs: DataFrame, labels: DataFrame, share: float | None, temperature: float, most_labelled: int, seed: int, names: tuple[str, str], drop: tuple[str, ...] = ()) -> tuple[DataFrame, F.Column, float]:
+    """``docs`` but for ``drop``, with log weights and numbers of words (columns ``names``), written once; the key, and the smallest one that is drawn."""
+    model, part = fit(labelled(docs.select("doc_id", "text"), labels, most_labelled, "good"), "good")
+    weighted = common.materialise(docs.sparkSession, weigh(docs, model, *names).drop(*drop), "weights")
+    key = F.col(names[0]) / temperature + noise(seed)
+    return weighted, key, limit_of(weighted, key, part if share is None else share)
 
 
-def keep(docs: DataFrame, labels: DataFrame, temperature: float = 0.05, most_labelled: int = 200_000, seed: int = 17) -> DataFrame:
-    """The rows of ``docs`` that the resampling keeps, with all their columns; weighs again rather than join."""
-    keyed, ratios, limit = draw(docs, labels, temperature, most_labelled, seed)
-    shared = docs.sparkSession.sparkContext.broadcast(ratios.astype(np.float32))
-    at = docs.columns.index("text")
+def select(docs: DataFrame, labels: DataFrame, share: float | None = None, temperature: float = 1.0, most_labelled: int = 200_000, seed: int = 17) -> DataFrame:
+    """Per row of ``docs`` (doc_id, text): doc_id, log_weight, n_words, key, kept."""
+    slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    weighted, key, limit = draw(slim, labels, share, temperature, most_labelled, seed, ("log_weight", "n_words"), ("text",))
+    return weighted.withColumns({"key": key, "kept": key >= limit})
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table, known = shared.value, Words()
-        for batch in common.slices(batches):
-            weights, _ = weights_of(batch.column(at).to_pylist(), table, known)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(weights, pa.float64())], [*batch.schema.names, "_log_weight"])
 
-    schema = StructType([*docs.schema.fields, StructField("_log_weight", DoubleType())])
-    return common.map_arrow(docs, run, schema).where(F.col("_log_weight") / temperature + noise(seed) >= limit).drop("_log_weight")
+def keep(docs: DataFrame, labels: DataFrame, share: float | None = None, temperature: float = 1.0, most_labelled: int = 200_000, seed: int = 17) -> DataFrame:
+    """The rows of ``docs`` that the resampling draws, with all their columns."""
+    names = tuple(common.spare(docs.columns, "log_weight", "n_words"))
+    weighted, key, limit = draw(docs, labels, share, temperature, most_labelled, seed, names)
+    return weighted.where(key >= limit).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def op4_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Importance resampling of all ``documents`` by ``labels``: doc_id, log_weight, n_words, key, kept; null, empty, tied, repeated and missing rows as the module states."""
     return select(common.table(spark, sf_dir, "documents"), common.table(spark, sf_dir, "labels"))

@@ -55,18 +55,83 @@ def test_without_labels_everything_stays(spark, docs):
     assert importance.keep(docs([]), labels_of(spark, [(1, 1, 0)])).count() == 0
 
 
-def test_ratios_follow_the_counts():
-    raw, target = np.array([1000, 1000, 3, 0]), np.array([500, 0, 0, 0])
-    r = importance.log_ratios(raw, target, 2000, 1000)
+def deviations(spark, raw, target, n_raw, n_target):
+    frame = spark.createDataFrame(list(zip(raw, target, strict=True)), "raw long, target long")
+    return [r[0] for r in frame.coalesce(1).select(importance.deviation(frame.raw, frame.target, n_raw, n_target)).collect()]
+
+
+def test_deviations_follow_the_counts(spark):
+    r = deviations(spark, [1000, 1000, 3, 0, 200], [500, 0, 0, 0, 50], 2000, 1000)
     assert r[0] == 0 and r[1] < -2 and r[2] == r[3] == 0
-    assert not importance.log_ratios(raw, target * 0, 2000, 0).any()
+    assert abs(r[4] - (np.log(50.5 / 100.5) + 3 / np.sqrt(100.5) + 0.6 if np.log(100.5 / 50.5) > 3 / np.sqrt(100.5) + 0.6 else 0)) < 1e-9
+
+
+def test_weights_against_a_plain_version(spark, docs, corpus):
+    """The model and the weights from dictionaries of n-gram sets, without Spark or batches."""
+    good, toxic, junk, labels = corpus
+    rows, buckets, known = good + toxic + junk, importance.Buckets(importance.sizes_for(10)), importance.Words()
+    sets = {i: set(importance.features([t], known, buckets)[1].tolist()) for i, t in rows}
+    mine = {i for i, q, t in labels if q == 1 and t == 0}
+    weight = dict.fromkeys(sets, 0.0)
+    for b in set().union(*sets.values()):
+        holders = [i for i in sets if b in sets[i]]
+        expected, seen = len(holders) * len(mine) / len(rows), len(mine.intersection(holders))
+        ratio = np.log((seen + 0.5) / (expected + 0.5))
+        for i in holders:
+            weight[i] += np.sign(ratio) * max(0, abs(ratio) - importance.SHRINK / np.sqrt(expected + 0.5) - importance.MARGIN)
+    told = importance.select(docs(rows), labels_of(spark, labels), seed=5).collect()
+    assert all(abs(r.log_weight - weight[r.doc_id]) < 1e-5 for r in told)
+    k = round(len(rows) * len(mine) / len(labels))
+    assert sum(r.kept for r in told) == k and {r.doc_id for r in told if r.kept} == {r.doc_id for r in sorted(told, key=lambda r: -r.key)[:k]}
+
+
+def test_inclusion_frequencies_are_those_of_gumbel_top_k(spark):
+    """Over 200 seeds, rows are drawn as often as by sampling without replacement in proportion to the weights."""
+    from pyspark.sql import functions as F
+
+    weights, k, seeds = np.linspace(-3, 3, 40), 25, range(200)
+    frame = spark.createDataFrame([(i, float(w)) for i, w in enumerate(weights)], "doc_id long, log_weight double").coalesce(1)
+    keys = np.array([list(r) for r in frame.select(*[(F.col("log_weight") + importance.noise(s)).alias(f"k{s}") for s in seeds]).collect()])
+    drawn = (keys >= np.sort(keys, axis=0)[-k]).mean(axis=1)
+    rng, times = np.random.default_rng(2), np.zeros(40)
+    for _ in range(4_000):
+        times[rng.choice(40, k, replace=False, p=np.exp(weights) / np.exp(weights).sum())] += 1
+    assert np.abs(drawn - times / 4_000).max() < 0.13 and np.abs(drawn - times / 4_000).mean() < 0.03
+    for s in (3, 4):
+        key = F.col("log_weight") + importance.noise(s)
+        limit = importance.limit_of(frame, key, k / 40)
+        assert {r.doc_id for r in frame.where(key >= limit).collect()} == set(np.flatnonzero(keys[:, s] >= np.sort(keys[:, s])[-k]).tolist())
+
+
+def test_a_stated_share_is_kept(spark, docs, corpus):
+    good, toxic, junk, labels = corpus
+    told = importance.select(docs(good + toxic + junk), labels_of(spark, labels), share=0.3).collect()
+    assert sum(r.kept for r in told) == 150
+    other = importance.select(docs(good + toxic + junk), labels_of(spark, labels), share=0.3, seed=18).collect()
+    assert {r.doc_id for r in other if r.kept} != {r.doc_id for r in told if r.kept}
+
+
+def test_clashing_columns_keep_their_values(spark, docs, corpus):
+    from pyspark.sql import functions as F
+
+    good, toxic, junk, labels = corpus
+    frame = docs(good + toxic + junk).select("*", F.col("doc_id").alias("log_weight"), F.lit("x").alias("N_WORDS"), F.lit(3).alias("good"), (F.col("doc_id") * 2).alias("label_id"), F.lit(1.5).alias("key"))
+    out = importance.keep(frame.withColumn("doc_id", F.col("doc_id").cast("int")), labels_of(spark, labels))
+    want = importance.keep(docs(good + toxic + junk), labels_of(spark, labels))
+    assert out.columns == frame.columns and out.schema["doc_id"].dataType.simpleString() == "int"
+    assert {r.doc_id for r in out.collect()} == {r.doc_id for r in want.collect()}
+    assert all((r.log_weight, r.N_WORDS, r.good, r.label_id, r.key, r.row_id) == (r.doc_id, "x", 3, 2 * r.doc_id, 1.5, "clash") for r in out.collect())
+
+
+def test_buckets_grow_with_the_corpus():
+    assert [importance.sizes_for(n)[0] for n in (0, 10**7, 2 * 10**8, 10**9, 5 * 10**10, 10**14)] == [1 << 18, 1 << 18, 1 << 18, 1 << 19, 1 << 22, 1 << 22]
 
 
 def test_features_by_hand():
     known = importance.Words(most=12)  # starts afresh again and again
 
     def of(*texts):
-        text, bucket, sizes = importance.features(list(texts), known)
+        text, bucket, sizes = importance.features(list(texts), known, importance.Buckets(importance.sizes_for(0)))
         assert sizes.tolist() == [len((t or "").split()) for t in texts]
         return [sorted(bucket[text == k].tolist()) for k in range(len(texts))]
 
