@@ -8,13 +8,13 @@ would start (positional bound) and both ends must lie in the document (length bo
 is verified word by word.
 
 The index holds the benchmark's words and windows. It is broadcast if the benchmark has at most
-``most_words`` words; a larger one is worked through in blocks of items of that size, whose hits are
-united per document afterwards.
+``most_words`` words; a larger one is worked through in blocks of items of that size. Then only documents
+with hits leave a block's pass, and their hits are united afterwards.
 
 Defined cases: null or wordless documents have no words and no hits and aren't contaminated; null or
 wordless items match nothing; repeated rows of an item count once; an item with null item_id counts
 under the empty name; repeated documents are judged row by row; empty tables give no rows or no hits;
-extra columns of documents are kept by ``clean`` and ignored by ``judge``.
+extra columns of documents, whatever their names, are kept by ``clean`` and ignored by ``judge``.
 """
 
 from __future__ import annotations
@@ -149,7 +149,7 @@ def blocks(benchmark: DataFrame, most_words: int) -> Iterator[list[tuple[str, li
 
 
 def _probe(docs: DataFrame, items: list[tuple[str, list[bytes]]], give: str) -> DataFrame:
-    """One pass over ``docs``; ``give``: verdicts, hits (with row_id, for uniting), or the clean rows with all their columns."""
+    """One pass over ``docs``; ``give``: verdicts, hits (of rows that have some, with row_id), or the clean rows with all their columns."""
     index = Index(items)
     shared = docs.sparkSession.sparkContext.broadcast(index.order(_counts(docs, index.vocabulary)))
     if give != "clean":
@@ -181,7 +181,8 @@ def _probe(docs: DataFrame, items: list[tuple[str, list[bytes]]], give: str) ->
                 for d, a, b in np.unique(np.concatenate(spans, axis=1), axis=1).T.tolist() if spans else []:
                     starts[d].append(a)
                     stops[d].append(b)
-                yield pa.RecordBatch.from_pydict({"row_id": batch.column(2), "doc_id": batch.column(doc_id), "n_words": pa.array(n_words, pa.int64()), "starts": pa.array(starts, pa.list_(pa.int32())), "ends": pa.array(stops, pa.list_(pa.int32())), "items": pa.array(found, pa.list_(pa.string()))})
+                all_ = pa.RecordBatch.from_pydict({"row_id": batch.column(2), "doc_id": batch.column(doc_id), "n_words": pa.array(n_words, pa.int64()), "starts": pa.array(starts, pa.list_(pa.int32())), "ends": pa.array(stops, pa.list_(pa.int32())), "items": pa.array(found, pa.list_(pa.string()))})
+                yield all_.filter(pa.array(n_hit > 0))
             else:
                 yield _verdicts(batch.column(doc_id), n_words, n_hit, found)
 
@@ -215,26 +216,41 @@ def _unite(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _in_blocks(rows: DataFrame, parts: Iterator[list[tuple[str, list[bytes]]]]) -> DataFrame:
-    """Verdicts with row_id, from one pass over ``rows`` for each block of the benchmark."""
+    """Verdicts on the rows (doc_id, text, row_id) that have hits, from one pass for each block of the benchmark."""
     hits = None
     for items in parts:
         one = common.materialise(rows.sparkSession, _probe(rows, items, "hits"), "decontaminate-hits")
         hits = one if hits is None else hits.union(one)
-    #: One row for each block and document, so a group has as many rows as there are blocks.
+    #: At most one row for each block and document, so a group has as many rows as there are blocks.
     joined = hits.groupBy("row_id").agg(F.first("doc_id").alias("doc_id"), F.first("n_words").alias("n_words"), F.collect_list("starts").alias("starts"), F.collect_list("ends").alias("ends"), F.collect_list("items").alias("items"))
     return common.map_arrow(joined, _unite, "row_id string, " + JUDGED)
 
 
+def _unhit(rows: DataFrame) -> DataFrame:
+    """Verdicts on the rows as if they had no hits."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in common.slices(batches):
+            n_words = np.array([len(words(t)) for t in batch.column(1).to_pylist()], np.int64)
+            told = _verdicts(batch.column(0), n_words, n_words * 0, [[]] * batch.num_rows)
+            yield pa.RecordBatch.from_arrays([batch.column(2), *told.columns], ["row_id", *told.schema.names])
+
+    return common.map_arrow(rows, run, "row_id string, " + JUDGED)
+
+
 def _apply(docs: DataFrame, benchmark: DataFrame, most_words: int, give: str) -> DataFrame:
     parts = blocks(benchmark, most_words)
     first, second = next(parts, []), next(parts, None)
     if second is None:
         return _probe(docs, first, give)
-    rows = common.materialise(docs.sparkSession, docs.withColumn("row_id", F.expr("uuid()")), "decontaminate-rows")
-    told = _in_blocks(rows, itertools.chain([first, second], parts))
+    (own,) = common.spare(docs.columns, "row_id")
+    rows = common.materialise(docs.sparkSession, docs.withColumn(own, F.expr("uuid()")), "decontaminate-rows")
+    slim = rows.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.col(own).alias("row_id"))
+    told = common.materialise(docs.sparkSession, _in_blocks(slim, itertools.chain([first, second], parts)), "decontaminate-told")
     if give == "verdicts":
-        return told.drop("row_id")
-    return rows.join(told.where("contaminated").select("row_id"), "row_id", "left_anti").select(*docs.columns)
+        return told.unionByName(_unhit(slim.join(told, "row_id", "left_anti").select("doc_id", "text", "row_id"))).drop("row_id")
+    bad = told.where("contaminated").select(F.col("row_id").alias(own))
+    return rows.join(bad, own, "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def judge(docs: DataFrame, benchmark: DataFrame, most_words: int = 2_000_000) -> DataFrame:
@@ -248,18 +264,19 @@ def clean(docs: DataFrame, benchmark: DataFrame, most_words: int = 2_000_000) ->
 
 
 def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All ``documents`` judged by the whole ``benchmark``; null, wordless, repeated and missing rows as the module states."""
     return judge(common.table(spark, sf_dir, "documents"), common.table(spark, sf_dir, "benchmark"))
 
 
 ORACLE = r"""
 WITH d AS (SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') AS w FROM documents),
-b AS (SELECT item_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') AS w FROM benchmark),
+b AS (SELECT coalesce(CAST(item_id AS VARCHAR), '') AS item_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') AS w FROM benchmark),
 win AS (SELECT DISTINCT item_id, least(len(w), 13) AS n, array_to_string(w[i:i + 12], ' ') AS s FROM (SELECT item_id, w, unnest(range(1, greatest(len(w) - 12, 1) + 1)) AS i FROM b WHERE len(w) > 0)),
 sizes AS (SELECT DISTINCT n FROM win),
 dw AS (SELECT doc_id, n, i, array_to_string(w[i:i + n - 1], ' ') AS s FROM (SELECT doc_id, w, n, unnest(range(1, len(w) - n + 2)) AS i FROM d, sizes WHERE len(w) >= n)),
 hit AS (SELECT doc_id, item_id, i, dw.n AS n FROM dw JOIN win USING (n, s)),
 pos AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + n)) AS p FROM hit) GROUP BY doc_id),
-its AS (SELECT doc_id, count(DISTINCT item_id) AS n_items, array_to_string(list_sort(list(DISTINCT CAST(item_id AS VARCHAR))), ',') AS names FROM hit GROUP BY doc_id)
+its AS (SELECT doc_id, count(DISTINCT item_id) AS n_items, array_to_string(list_sort(list(DISTINCT item_id)), ',') AS names FROM hit GROUP BY doc_id)
 SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit, CAST(coalesce(n_items, 0) AS BIGINT) AS n_items,
   sha256(coalesce(names, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
 FROM d LEFT JOIN pos USING (doc_id) LEFT JOIN its USING (doc_id)

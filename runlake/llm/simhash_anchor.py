@@ -215,37 +215,60 @@ def links(fps: DataFrame, most: int = 20_000) -> DataFrame:
 
 
 def component_ids(marked: DataFrame) -> DataFrame:
-    """From rows (doc_id, fp) to (class_fp, group_fp, component_id), one row per fingerprint."""
+    """From rows (doc_id, fp) to (fp, group_fp, component_id, n), one row per fingerprint; n: its rows."""
     spark = marked.sparkSession
-    classes = common.materialise(spark, marked.groupBy("fp").agg(F.min("doc_id").alias("least")), "classes")
+    classes = common.materialise(spark, marked.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count("*").alias("n")), "classes")
     roots = components(thin(links(classes)))
-    grouped = classes.join(roots, F.col("fp") == F.col("node"), "left").select("fp", "least", F.coalesce("root", "fp").alias("group_fp"))
-    smallest = grouped.groupBy(F.col("group_fp").alias("_group")).agg(F.min("least").alias("component_id"))
-    return common.materialise(spark, grouped.join(smallest, F.col("group_fp") == F.col("_group")).select(F.col("fp").alias("class_fp"), "group_fp", "component_id"), "components")
+    grouped = classes.join(roots, F.col("fp") == F.col("node"), "left").select("fp", "n", "least", F.coalesce("root", "fp").alias("group_fp"))
+    grouped = common.materialise(spark, grouped, "groups")
+    smallest = grouped.groupBy("group_fp").agg(F.min("least").alias("component_id"), F.count("*").alias("fps"))  # pre-aggregated before the shuffle
+    out = common.join_skewed(grouped, smallest, "group_fp", "fps").select("fp", "group_fp", "component_id", "n")
+    return common.materialise(spark, out, "components")
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """(doc_id, fp, component_id) per row of ``docs`` (doc_id, text)."""
     marked = common.materialise(docs.sparkSession, fingerprints(docs), "fingerprints")
-    return marked.join(component_ids(marked), F.col("fp") == F.col("class_fp")).select("doc_id", "fp", "component_id")
+    return common.join_skewed(marked, component_ids(marked).drop("group_fp"), "fp", "n").select("doc_id", "fp", "component_id")
 
 
-def one_of_each(docs: DataFrame) -> DataFrame:
+def row_digest(docs: DataFrame) -> F.Column:
+    """Tells rows apart by doc_id, text (null isn't empty) and all other columns but maps."""
+    others = [F.col(f"`{f.name}`") for f in docs.schema.fields if "map<" not in f.dataType.simpleString() and f.name != "text"]
+    parts = [F.col("doc_id").cast("string"), F.hex(F.xxhash64(*others)), F.col("text")]
+    return F.unhex(F.md5(F.concat(*[F.coalesce(F.concat(F.lit("="), x), F.lit("-")) for x in parts])))
+
+
+def one_of_each(docs: DataFrame, most_broadcast: int = 500_000) -> DataFrame:
     """``docs`` with one row of each group of near-duplicates: that of the smallest doc_id (null ids last; of equal ids the first by digest).
 
-    Rows are told apart by a digest of doc_id and text; rows that agree in both are one document, and one of them stays.
+    Rows are told apart by a digest of all columns; rows that agree in all are one document, and one
+    of them stays. Texts aren't shuffled: the digests of the rows that go are broadcast, up to
+    ``most_broadcast`` of them (16 bytes each); beyond that texts meet them by a shuffled join. Only rows that
+    are repeated in full meet each other, and only if they stay.
     """
     spark, names = docs.sparkSession, docs.columns
-    digest = F.md5(F.concat_ws(" ", F.coalesce(F.col("doc_id").cast("string"), F.lit("none")), F.coalesce("text", F.lit(""))))
-    rows = docs.withColumn("_row", digest)
-    marked = common.materialise(spark, fingerprints(rows.select("doc_id", "text", "_row"), keep=("doc_id", "_row")), "fingerprints")
-    grouped = marked.join(component_ids(marked), F.col("fp") == F.col("class_fp")).select("doc_id", "_row", "group_fp")
-    order = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.col("_row").alias("row"))
-    first = grouped.groupBy("group_fp").agg(F.min(order).alias("first"))  # pre-aggregated before the shuffle
-    chosen = common.materialise(spark, first.select(F.col("first.row").alias("_row")), "chosen")
-    return rows.join(chosen, "_row", "left_semi").dropDuplicates(["_row"]).select(*names)
+    id_, row = common.spare(names, "id", "row")
+    rows = docs.withColumn(row, row_digest(docs))
+    slim = rows.select(F.col("doc_id").cast("long").alias(id_), "text", row)
+    marked = common.materialise(spark, fingerprints(slim, keep=(id_, row)), "fingerprints")
+    order = F.struct(F.col(id_).isNull().alias("none"), F.col(id_).alias("id"), F.col(row).alias("row"))
+    first = marked.groupBy("fp").agg(F.min(order).alias("first"))  # pre-aggregated, so copies meet no join
+    grouped = first.join(component_ids(marked.withColumnRenamed(id_, "doc_id")).select("fp", "group_fp"), "fp")
+    chosen = common.materialise(spark, grouped.groupBy("group_fp").agg(F.min("first").alias("first")).select(F.col("first.row").alias(row)), "chosen")
+    counted = common.materialise(spark, marked.groupBy(row).agg(F.count("*").alias("n")), "rows")
+    gone = common.materialise(spark, counted.join(chosen, row, "left_anti").select(row), "gone")
+    again = common.materialise(spark, counted.where("n > 1").join(chosen, row, "left_semi").select(row), "repeated")
+    n_gone, n_again = gone.count(), again.count()
+    if n_gone + n_again <= most_broadcast:
+        gone, again = F.broadcast(gone), F.broadcast(again)
+    left = rows.join(gone, row, "left_anti")
+    if n_again:
+        left = left.join(again, row, "left_anti").unionByName(left.join(again, row, "left_semi").dropDuplicates([row]))
+    return left.select(*[F.col(f"`{c}`") for c in names])
 
 
 def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SimHash groups over all ``documents``: doc_id, fingerprint, component_id; null, empty, tied, repeated and missing rows as the module states."""
     found = near_duplicates(common.table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")

@@ -44,7 +44,7 @@ def test_clean_drops_just_the_contaminated(spark, docs, most_words):
     items = [(1, "alpha beta gamma"), (2, "delta epsilon")]
     rows = [(1, "alpha beta gamma"), (2, "x " * 57 + "alpha beta gamma"), (3, "x " * 58 + "alpha beta gamma"), (4, None), (5, "beta gamma"), (6, "x " * 96 + "alpha beta gamma delta epsilon"), (4, None)]
     kept = decontaminate.clean(docs(rows), bench(spark, items), most_words)
-    assert kept.columns == docs(rows).columns
+    assert kept.columns == docs(rows).columns and all((r.row_id, r.fp, r.source) == ("clash", 7, "s") for r in kept.collect())
     want = [i for i, t in rows if not brute.contamination(t, items)[4]]
     assert 1 not in want and 2 not in want and 3 in want and want.count(4) == 2
     assert sorted(r.doc_id for r in kept.collect()) == sorted(want)

@@ -85,3 +85,29 @@ def test_one_of_each(spark, docs):
     ids = sorted((r.doc_id for r in kept.collect()), key=str)
     assert ids == sorted([0, 3, 4, 5, 7, 8, 9, 10, 11, 12, 13, 90], key=str)
     assert simhash_anchor.one_of_each(docs([])).count() == 0
+
+
+@pytest.mark.parametrize("most", [500_000, 0])
+def test_one_of_each_keeps_values_and_tells_null_from_empty(spark, docs, most):
+    """By broadcast and by shuffle; rows repeated in full, rows that differ in another column only, and columns named as the operator's own."""
+    from pyspark.sql import functions as F
+
+    rows = [(1, "one two three four"), (1, "one two three four"), (1, None), (1, ""), (2, "five six seven eight nine"), (2, "five six seven eight nine"), (None, "ten"), (None, "ten")]
+    frame = docs(rows).select("*", F.lit(5).alias("row"), F.lit("i").alias("ID"), F.lit(2.5).alias("_row"), F.lit(1).alias("n"), F.create_map(F.lit("a"), F.lit(1)).alias("m"))
+    out = simhash_anchor.one_of_each(frame, most)
+    assert out.columns == frame.columns
+    got = out.collect()
+    assert sorted((r.doc_id or 0, r.text or "") for r in got) == [(0, "ten"), (1, ""), (1, "one two three four"), (2, "five six seven eight nine")]
+    assert all((r.row, r.ID, r._row, r.n, r.row_id, r.fp, r.m) == (5, "i", 2.5, 1, "clash", 7, {"a": 1}) for r in got)
+    half = frame.withColumn("source", F.when(F.monotonically_increasing_id() % 2 == 0, "x").otherwise("y"))
+    assert len(simhash_anchor.one_of_each(half, most).collect()) == 4
+
+
+def test_skewed_join_joins_everything(spark):
+    from runlake.llm import common
+
+    keys = [1] * 900 + list(range(2, 60))
+    many = spark.createDataFrame([(k, n) for n, k in enumerate(keys)], "k long, n long")
+    one = spark.createDataFrame([(k, keys.count(k), f"v{k}") for k in [*set(keys), 77]], "k long, rows long, v string")
+    got = common.join_skewed(many, one, "k", "rows", parts=100)
+    assert sorted((r.k, r.n, r.v) for r in got.collect()) == sorted((k, n, f"v{k}") for n, k in enumerate(keys))
