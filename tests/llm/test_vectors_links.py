@@ -159,25 +159,60 @@ def turns(spark, rows):
 def test_pairs_by_hand(spark):
     rows = [
         (0, 0, "system", "S"), (0, 1, "user", "Q"), (0, 2, "assistant", "good <|end|>"), (0, 3, "user", "thanks"),
-        (1, 0, "system", "S"), (1, 1, "user", "Q"), (1, 2, "assistant", "bad"), (1, 2, "assistant", "bad"),
-        (2, 0, "user", "alone"), (2, 1, None, None), (2, None, "assistant", "last"), (None, 0, "user", "lost"),
-        (4, 0, "user", "same"), (5, 0, "user", "same"), (6, 0, "user", "a"), (7, 0, "assistant", "a"),
-        (8, 0, "user", "q"), (8, 0, "assistant", "twice"), (9, 0, "assistant", "twice"), (9, 0, "user", "q"), (9, 1, "user", "more"),
+        (9, 0, "system", "S"), (9, 1, "user", "Q"), (9, 2, "assistant", "bad"), (9, 2, "assistant", "bad"),
+        (12, 0, "system", "S"), (2, 0, "user", "alone"), (2, 1, None, None), (2, None, "assistant", "last"), (None, 0, "user", "lost"),
+        (4, 0, "user", "same"), (5, 0, "user", "same"), (3, 0, "user", "only"),
     ]
+    told_ = preference.preferences(turns(spark, rows)).collect()
+    got = {r.pair_id: r for r in told_ if r.piece == 0}
+    assert [(r.pair_id, r.chosen) for r in told_ if r.piece] == [(2, "<|assistant|>\nlast<|end|>\n")]  # a null turn is the last one
+    assert {k: r.rejected_id for k, r in got.items()} == {0: 9, 4: 5, 2: 3, 12: None}
+    one = got[0]
+    assert one.prompt == "<|system|>\nS<|end|>\n<|user|>\nQ<|end|>\n" and one.n_prompt == 2
+    assert one.chosen == "<|assistant|>\ngood < |end|><|end|>\n<|user|>\nthanks<|end|>\n"
+    assert [one.chosen[s.a : s.b] for s in one.chosen_mask] == ["good < |end|><|end|>"]
+    assert [one.rejected[s.a : s.b] for s in one.rejected_mask] == ["bad<|end|>"]
+    assert got[2].n_prompt == 0 and got[2].chosen == "<|user|>\nalone<|end|>\n<|unknown|>\n<|end|>\n" and got[2].rejected == "<|user|>\nonly<|end|>\n"
+    assert (got[4].n_prompt, got[4].chosen, got[4].rejected, got[4].chosen_mask) == (1, "", "", [])
+    assert got[12].prompt == "" and got[12].chosen == "<|system|>\nS<|end|>\n" and got[12].rejected == ""
+    assert preference.preferences(turns(spark, [])).count() == 0
+
+
+def conversations(rng):
+    """Many that begin alike, some of them alike for long, one of hundreds of turns, one turn number that hundreds of rows share."""
+    rows = []
+    for c in range(60):
+        first = rng.choice(["hello", "hello", "hi", f"own {c}"])
+        rows += [(c, t, rng.choice(["user", "assistant", None]), first if t == 0 else rng.choice(["yes", "no", "a|b <|end|>", "", "é𝄞", None])) for t in range(rng.randrange(1, 7))]
+    rows += [(70 + c, t, "assistant" if t % 2 else "user", f"turn {t}" if t < 150 else f"{c} {t}") for c in range(2) for t in range(200)]
+    return rows + [(80, None, "assistant", f"lost {k}") for k in range(150)] + [(None, 1, "user", "x")] + rows[:20]
+
+
+def test_pairs_against_sql_by_broadcast_and_by_shuffle(spark):
+    import duckdb
+    import pandas as pd
+
+    rows = conversations(random.Random(21))
+    con = duckdb.connect()
+    con.register("frame", pd.DataFrame(rows, columns=["conv_id", "turn", "role", "text"]).astype({"conv_id": "Int64", "turn": "Int64"}))
+    con.execute("create table conversations as select conv_id, turn, nullif(role, 'None') as role, nullif(text, 'None') as text from frame")
+    want = con.execute(preference.ORACLE)
+    names = [c[0] for c in want.description]
+    want = sorted(map(repr, want.fetchall()))
     frame = turns(spark, rows)
-    got = {}
-    for r in preference.format_pairs(preference.neighbours(frame)).orderBy("pair_id", "turn", "sub").collect():
-        got.setdefault((r.pair_id, r.part), []).append((r.rendered, r.rendered[r.mask_start : r.mask_end]))
-    assert got[0, "prompt"] == [("<|system|>\nS<|end|>\n", ""), ("<|user|>\nQ<|end|>\n", "")]
-    assert got[0, "chosen"] == [("<|assistant|>\ngood < |end|><|end|>\n", "good < |end|><|end|>"), ("<|user|>\nthanks<|end|>\n", "")]
-    assert got[0, "rejected"] == [("<|assistant|>\nbad<|end|>\n", "bad<|end|>")]
-    assert (1, "prompt") not in got and [x[0] for x in got[1, "chosen"]] == ["<|user|>\nalone<|end|>\n", "<|unknown|>\n<|end|>\n", "<|assistant|>\nlast<|end|>\n"]
-    assert list(k for k in got if k[0] == 2) == [(2, "prompt")]
-    assert len(got[3, "chosen"]) == len(got[3, "rejected"]) == 1 and (3, "prompt") not in got
-    assert len(got[4, "prompt"]) == 2 and len(got[4, "rejected"]) == 1
-    whole = {r.pair_id: r for r in preference.assemble(preference.format_pairs(preference.neighbours(frame))).collect()}
-    assert whole[0].prompt == "<|system|>\nS<|end|>\n<|user|>\nQ<|end|>\n"
-    assert [whole[0].chosen[s.a : s.b] for s in whole[0].chosen_mask] == ["good < |end|><|end|>"]
-    assert [whole[0].rejected[s.a : s.b] for s in whole[0].rejected_mask] == ["bad<|end|>"]
-    assert whole[2].chosen == "" and whole[2].chosen_mask == []
-    assert preference.format_pairs(preference.neighbours(turns(spark, []))).count() == 0
+    placed = preference.places(frame)
+    sided = preference.pairs(placed)
+    for most in (1_000_000, 0):
+        told = preference.format_pairs(frame, preference.splits(placed, sided), most).collect()
+        masks = lambda m: ",".join(f"{s.a}-{s.b}" for s in m)
+        other = {r.pair_id: r.conv_id for r in sided.where("side = 'rejected'").collect()}
+        got = [r.asDict() | {"rejected_id": other.get(r.pair_id), "chosen_mask": masks(r.chosen_mask), "rejected_mask": masks(r.rejected_mask)} for r in told]
+        assert sorted(repr(tuple(r[n] for n in names)) for r in got) == want
+    assert max(r.piece for r in told if r.pair_id == 70) == 3 and len([r for r in told if r.pair_id == 80 or r.piece > 10]) >= 3
+    assert any(r.n_prompt > 1 for r in told)
+
+
+def test_numbers_follow_the_order(spark):
+    values = random.Random(22).sample(range(10_000), 500)
+    got = preference.numbered(spark.createDataFrame([(v,) for v in values], "v long").repartition(7), "v").collect()
+    assert {r.v: r.number for r in got} == {v: n for n, v in enumerate(sorted(values))}
