@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 _LOCAL_ROOT: list[str] = []
+_MADE: list[str] = []  # places given out by fresh_uri, in order
 #: Rows of an Arrow batch on its way to a Python worker, at most: buffers outside the heap grow with it.
 BATCH_ROWS = 2_000
 
@@ -51,7 +52,23 @@ def shared_root(spark: SparkSession) -> str:
 
 def fresh_uri(spark: SparkSession, name: str) -> str:
     """A new place for a table of this application."""
-    return f"{shared_root(spark)}/runlake/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
+    uri = f"{shared_root(spark)}/runlake/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
+    _MADE.append(uri)
+    return uri
+
+
+def made() -> int:
+    """How many places have been given out so far, for ``tidy``."""
+    return len(_MADE)
+
+
+def tidy(spark: SparkSession, since: int, keep: DataFrame) -> None:
+    """Delete the tables made after ``since`` but for ``keep``, when nothing else reads them any more."""
+    left = getattr(keep, "_runlake_uri", None)
+    for uri in _MADE[since:]:
+        if uri != left:
+            discard(spark, uri)
+    _MADE[since:] = [left] if left else []
 
 
 def sweep(spark: SparkSession) -> None:

@@ -3,17 +3,22 @@
 A known word has a log frequency in each language (add-half smoothing over the model's vocabulary).
 An unseen word is read character by character: at each position the longest known n-gram of
 ``LONGEST`` = 4 letters or fewer (with ``^`` and ``$`` for the word's ends) gives its log frequency,
-discounted by ``BACKOFF`` for each letter it is shorter. A text's score for a language is the sum over its
-words; the prediction is the largest (ties: the smallest name), its score the softmax share.
+discounted by ``BACKOFF`` for each letter it is shorter; the word's score is their mean. A text's score for a
+language is the sum over its words; the prediction is the largest (ties: the smallest name), its score
+the softmax share. Words are runs of letters (Unicode categories L), so numerals and marks are none.
 
 The model is fitted on a bounded sample: ``docs_per_lang`` documents of each language, by a hash of
-doc_id, and it holds at most ``most_words`` words and ``most_grams`` n-grams of each. Prediction reads whole
-texts of all documents, and nothing but the text.
+doc_id, and fewer where there are so many languages that it would be over ``most_docs`` in all. Every word and n-gram of
+the sample is in the model. Prediction reads whole texts of all documents, and nothing but the text: the words of a batch
+are numbered, the new ones among them scored together, and a text's score is a sum over its numbers.
+
+N-grams form a trie: the key of a longer one is its beginning's place and its last letter, so those
+of each size are one sorted array, which a batch of words searches at once.
 
 Defined cases: null text or text without a letter is ``und`` with score 0, and so is everything when
 there is nothing to learn from; null lang is never learned from; documents with null doc_id are never
 learned from and count as held out; repeated rows are predicted each for itself; an empty table gives
-no rows; extra columns are ignored.
+no rows; extra columns, whatever their names, are ignored.
 """
 
 from __future__ import annotations
@@ -25,16 +30,27 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from runlake.llm import common
 
 LONGEST, BACKOFF = 4, 0.7
-WORD = re.compile(r"[^\W\d_]+")
 PREDICTED = "doc_id long, held_out boolean, lang_pred string, score double"
 
 
+_RUNS = re.compile(r"[^\W\d_]+")  # letters and numerals that aren't decimal
+
+
+def _letters(run: str) -> list[str]:
+    """The runs of letters within a run that may hold numerals."""
+    return [run] if run.isalpha() else "".join(c if c.isalpha() else " " for c in run).split()
+
+
+def words_of(text: str | None) -> list[str]:
+    runs = _RUNS.findall(text.lower()) if text else []
+    return runs if not runs or "".join(runs).isalpha() else [w for run in runs for w in _letters(run)]
+
+
 def _units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(lang, text) to the counts of words (size 0) and n-grams (size 1 to LONGEST) of a partition; flushed when large."""
     seen: Counter = Counter()
@@ -46,7 +62,7 @@ def _units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in common.slices(batches):
         words: Counter = Counter()
         for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            words.update((lang, w) for w in WORD.findall((text or "").lower()))
+            words.update((lang, w) for w in words_of(text))
         for (lang, word), n in words.items():
             seen[lang, 0, word] += n
             around = f"^{word}$"
@@ -60,100 +76,143 @@ def _units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 class Model:
-    """Log frequencies by language of words and n-grams."""
+    """Log frequencies by language of words (a table and its rows by word) and of n-grams (a trie: keys and frequencies of each size)."""
 
-    def __init__(self, langs: list[str], words: dict[str, np.ndarray], grams: dict[str, np.ndarray]) -> None:
-        self.langs, self.words, self.grams = langs, words, grams
+    def __init__(self, langs: list[str], words: dict[str, int], table: np.ndarray, levels: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> None:
+        self.langs, self.words, self.table, self.levels = langs, words, table, levels
 
     @classmethod
-    def of(cls, counts: list[tuple[str, int, str, int]]) -> "Model":
-        langs = sorted({lang for lang, *_ in counts})
-        at = {lang: k for k, lang in enumerate(langs)}
-        tables: list[dict[str, np.ndarray]] = [{} for _ in range(LONGEST + 1)]
-        for lang, size, unit, n in counts:
-            tables[size].setdefault(unit, np.zeros(len(langs)))[at[lang]] += n
-        out = []
-        for own in tables:
-            total = sum(own.values(), np.zeros(len(langs)))
-            out.append({u: np.log((c + 0.5) / (total + 0.5 * len(own))) for u, c in own.items()})
-        return cls(langs, out[0], {u: v for own in out[1:] for u, v in own.items()})
-
-    def score(self, word: str) -> np.ndarray:
-        """Log frequencies of one word."""
-        known = self.words.get(word)
-        if known is not None:
-            return known
-        around, total, used = f"^{word}$", np.zeros(len(self.langs)), 0
-        for k in range(len(around)):
-            for size in range(min(LONGEST, len(around) - k), 0, -1):
-                gram = self.grams.get(around[k : k + size])
-                if gram is not None:
-                    total += gram * BACKOFF ** (LONGEST - size)
-                    used += 1
-                    break
-        return total / max(1, used) if used else total
+    def of(cls, lang: list[str], size: list[int], unit: list[str], n: list[int]) -> "Model":
+        """From the units' counts, column by column; a unit has a row for each language that has it."""
+        langs = sorted(set(lang))
+        at = {name: k for k, name in enumerate(langs)}
+        rows: list[dict[str, int]] = [{} for _ in range(LONGEST + 1)]
+        cells: list[list[tuple[int, int, int]]] = [[] for _ in rows]
+        for name, s, u, count in zip(lang, size, unit, n, strict=True):
+            cells[s].append((rows[s].setdefault(u, len(rows[s])), at[name], count))
+
+        def log_frequencies(s: int) -> np.ndarray:
+            counts = np.zeros((len(rows[s]), len(langs)))
+            if cells[s]:
+                row, column, count = np.array(cells[s]).T
+                np.add.at(counts, (row, column), count)
+            return np.log((counts + 0.5) / (counts.sum(axis=0) + 0.5 * len(counts))) if len(counts) else counts
+
+        levels, places = [], {"": 0}
+        begun = [{u[:s] for own in rows[s:] for u in own} for s in range(LONGEST + 1)]
+        for s in range(1, LONGEST + 1):
+            units = sorted(begun[s], key=lambda u: (places[u[:-1]], u[-1]))
+            keys = np.array([places[u[:-1]] << 21 | ord(u[-1]) for u in units], np.int64)
+            own = np.array([rows[s].get(u, -1) for u in units], np.int64)
+            frequencies = log_frequencies(s)
+            levels.append((keys, own >= 0, frequencies[np.maximum(own, 0)] if len(frequencies) else np.zeros((len(units), len(langs)))))
+            places = {u: k for k, u in enumerate(units)}
+        return cls(langs, rows[0], log_frequencies(0), levels)
+
+    def unseen(self, words: list[str]) -> np.ndarray:
+        """Scores of words by their n-grams alone."""
+        codes = np.frombuffer("".join([f"^{w}$" for w in words]).encode("utf-32-le", "surrogatepass"), "<u4").astype(np.int64)
+        sizes = np.array([len(w) + 2 for w in words], np.int64)
+        word, ends = np.repeat(np.arange(len(words)), sizes), np.cumsum(sizes)
+        total, used = np.zeros((len(words), len(self.langs))), np.zeros(len(words))
+        here, place = np.arange(len(codes)), np.zeros(len(codes), np.int64)
+        longest, found = np.zeros(len(codes), np.int64), np.zeros(len(codes), np.int64)
+        for s, (keys, own, _) in enumerate(self.levels, 1):
+            inside = here + s <= ends[word[here]]
+            here, place = here[inside], place[inside]
+            if not len(keys) or not len(here):
+                break
+            key = place << 21 | codes[here + s - 1]
+            place = np.minimum(np.searchsorted(keys, key), len(keys) - 1)
+            hit = keys[place] == key
+            here, place = here[hit], place[hit]
+            sound = own[place]
+            longest[here[sound]], found[here[sound]] = s, place[sound]
+        for s, (_, _, frequencies) in enumerate(self.levels, 1):
+            at = np.flatnonzero(longest == s)
+            for k in range(len(self.langs)):
+                total[:, k] += np.bincount(word[at], frequencies[found[at], k], minlength=len(words)) * BACKOFF ** (LONGEST - s)
+            used += np.bincount(word[at], minlength=len(words))
+        return total / np.maximum(1, used)[:, None]
+
+    def score(self, words: list[str]) -> np.ndarray:
+        """A row of scores for each word."""
+        row = np.array([self.words.get(w, -1) for w in words], np.int64)
+        out = np.zeros((len(words), len(self.langs)))
+        out[row >= 0] = self.table[row[row >= 0]]
+        new = np.flatnonzero(row < 0)
+        for at in range(0, len(new), 20_000):
+            part = new[at : at + 20_000]
+            out[part] = self.unseen([words[k] for k in part.tolist()])
+        return out
 
 
 class Rows(dict):
-    """Word to its row in a score table; the table starts afresh when full."""
+    """Word to its row in a score table, which starts afresh when it has over ``most`` rows."""
 
-    def __init__(self, model: Model, most: int = 250_000) -> None:
+    def __init__(self, model: Model, most: int = 150_000) -> None:
         super().__init__()
-        self.model, self.table, self.n = model, np.zeros((most, len(model.langs))), 0
+        self.model, self.most, self.new = model, most, []
+        self.table = np.zeros((0, len(model.langs)))
 
     def __missing__(self, word: str) -> int:
-        self.table[self.n] = self.model.score(word)
-        self[word] = self.n
-        self.n += 1
-        return self.n - 1
+        self[word] = row = len(self)
+        self.new.append(word)
+        return row
 
     def sums(self, texts: list[list[str]]) -> np.ndarray:
-        """Summed scores of each text's words; a text of many words is summed in portions."""
+        """Summed scores of each text's words, in portions of the words."""
         out = np.zeros((len(texts), len(self.model.langs)))
-        for k, words in enumerate(texts):
-            for at in range(0, len(words), 50_000):
-                part = words[at : at + 50_000]
-                if self.n + len(part) > len(self.table):
-                    self.clear()
-                    self.n = 0
-                out[k] += self.table[list(map(self.__getitem__, part))].sum(axis=0)
+        sizes = np.array([len(t) for t in texts], np.int64)
+        text, words = np.repeat(np.arange(len(texts)), sizes), [w for t in texts for w in t]
+        for at in range(0, len(words), self.most):
+            if len(self) > self.most:
+                self.clear()
+                self.table = self.table[:0]
+            rows = np.array(list(map(self.__getitem__, words[at : at + self.most])), np.int64)
+            if self.new:
+                self.table = np.concatenate([self.table, self.model.score(self.new)])
+                self.new = []
+            for k in range(out.shape[1]):
+                out[:, k] += np.bincount(text[at : at + self.most], self.table[rows, k], minlength=len(texts))
         return out
 
 
-def fit(docs: DataFrame, docs_per_lang: int = 2_000, most_words: int = 30_000, most_grams: int = 30_000) -> Model:
+def fit(docs: DataFrame, docs_per_lang: int = 2_000, most_docs: int = 100_000) -> Model:
     """From (doc_id, text, lang), all of which may be learned from."""
-    usable = docs.where("lang is not null and text is not null")
-    share = usable.groupBy("lang").count().select(F.col("lang").alias("_lang"), F.least(F.lit(1 << 30), F.lit(float(docs_per_lang)) * (1 << 30) / F.col("count")).cast("long").alias("_share"))
-    sample = usable.join(F.broadcast(share), F.col("lang") == F.col("_lang")).where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < F.col("_share")).select("lang", "text")  # one short row a language
+    usable = docs.where("lang is not null and text is not null").select("doc_id", "text", "lang")
+    sizes = usable.groupBy("lang").count().collect()  # one short row a language
+    each = min(docs_per_lang, max(1, most_docs // max(1, len(sizes))))
+    shares = docs.sparkSession.createDataFrame([(r.lang, int((1 << 30) * min(1.0, each / r["count"]))) for r in sizes], "_lang string, _share long")
+    sample = usable.join(F.broadcast(shares), F.col("lang") == F.col("_lang")).where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < F.col("_share")).select("lang", "text")
     counts = common.map_arrow(sample, _units, "lang string, size int, unit string, n long").groupBy("lang", "size", "unit").agg(F.sum("n").alias("n"))
-    kind = F.col("size") > 0
-    best = W.partitionBy("lang", kind).orderBy(F.desc("n"), "size", "unit")
-    top = counts.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= F.when(kind, F.lit(most_grams)).otherwise(F.lit(most_words)))
-    return Model.of([(r.lang, r.size, r.unit, r.n) for r in top.collect()])
+    units = counts.toArrow()  # the units of at most about most_docs documents
+    return Model.of(*(units.column(c).to_pylist() for c in ("lang", "size", "unit", "n")))
 
 
 def predict(docs: DataFrame, model: Model) -> DataFrame:
     """Per row of ``docs`` (doc_id, held_out, text): doc_id, held_out, lang_pred, score."""
-    shared = docs.sparkSession.sparkContext.broadcast((model.langs, model.words, model.grams))  # bounded by most_words and most_grams a language
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # bounded by the sample
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = Model(*shared.value)
+        own = shared.value
         rows = Rows(own)
         for batch in common.slices(batches):
-            texts = [WORD.findall((t or "").lower()) for t in batch.column(2).to_pylist()]
+            texts = [words_of(t) for t in batch.column(2).to_pylist()]
             if own.langs:
                 sums = rows.sums(texts)
                 best = sums.argmax(axis=1)
                 share = 1 / np.exp(sums - sums.max(axis=1, keepdims=True)).sum(axis=1)
             names = [own.langs[best[k]] if own.langs and w else "und" for k, w in enumerate(texts)]
             scores = [float(share[k]) if own.langs and w else 0.0 for k, w in enumerate(texts)]
-            yield pa.RecordBatch.from_pydict({"doc_id": batch.column(0), "held_out": batch.column(1), "lang_pred": names, "score": pa.array(scores, pa.float64())})
+            yield pa.RecordBatch.from_pydict({"doc_id": batch.column(0), "held_out": batch.column(1), "lang_pred": pa.array(names, pa.string()), "score": pa.array(scores, pa.float64())})
 
     return common.map_arrow(docs.select(F.col("doc_id").cast("long"), "held_out", "text"), run, PREDICTED)
 
 
 def op7_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = common.table(spark, sf_dir, "documents")
+    """The language of all ``documents``: doc_id, held_out, lang_pred, score; null, letterless, repeated and missing rows as the module states."""
+    docs = common.table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 5 == 0, F.lit(True))
     marked = docs.withColumn("held_out", held_out)
-    return predict(marked, fit(marked.where("not held_out").select("doc_id", "text", "lang")))
+    return predict(marked, fit(marked.where("not held_out")))

@@ -188,13 +188,60 @@ def test_language_of_held_out_documents(spark, docs):
     assert {r.doc_id: r.lang_pred for r in blind} == {k: r.lang_pred for k, r in told.items()}
 
 
+def plain_score(counts, word):
+    """A word's log frequencies by dictionaries, one n-gram after the other."""
+    langs = sorted({c[0] for c in counts})
+    tables = [{} for _ in range(5)]
+    for lang, size, unit, n in counts:
+        tables[size].setdefault(unit, np.zeros(len(langs)))[langs.index(lang)] += n
+    logs = [{u: np.log((c + 0.5) / (sum(own.values()) + 0.5 * len(own))) for u, c in own.items()} for own in tables]
+    if word in logs[0]:
+        return logs[0][word]
+    around, total, used = f"^{word}$", np.zeros(len(langs)), 0
+    for k in range(len(around)):
+        for size in (4, 3, 2, 1):
+            if k + size <= len(around) and around[k : k + size] in logs[size]:
+                total, used = total + logs[size][around[k : k + size]] * 0.7 ** (4 - size), used + 1
+                break
+    return total / max(1, used)
+
+
+def model_of(counts):
+    return langid.Model.of(*map(list, zip(*counts, strict=True)))
+
+
 def test_words_back_off_to_shorter_grams():
-    model = langid.Model.of([("aa", 0, "kalo", 9), ("bb", 0, "string", 9), ("aa", 2, "ka", 9), ("bb", 2, "xy", 9), ("aa", 4, "^zuz", 9), ("bb", 4, "^str", 9), ("aa", 1, "z", 5), ("bb", 1, "w", 5)])
-    for word, lang in (("kalo", 0), ("string", 1), ("kax", 0), ("strop", 1), ("zzz", 0), ("www", 1)):
-        assert model.score(word).argmax() == lang
-    assert not model.score("???").any()
-    rows = langid.Rows(model, most=60_000)
-    assert np.allclose(rows.sums([["kalo", "kax"], [], ["www"] * 120_000])[0], model.score("kalo") + model.score("kax"))
+    counts = [("aa", 0, "kalo", 9), ("bb", 0, "string", 9), ("aa", 2, "ka", 9), ("bb", 2, "xy", 9), ("aa", 4, "^zuz", 9), ("bb", 4, "^str", 9), ("aa", 1, "z", 5), ("bb", 1, "w", 5)]
+    model = model_of(counts)
+    words = ["kalo", "string", "kax", "strop", "zzz", "www", "???", "a", "zuz", "𝄞w"]
+    scores = model.score(words)
+    assert scores.argmax(axis=1).tolist()[:6] == [0, 1, 0, 1, 0, 1]
+    assert all(np.allclose(s, plain_score(counts, w)) for s, w in zip(scores, words, strict=True)) and not scores[6].any()
+    rows = langid.Rows(model, most=1_000)
+    for _ in range(2):
+        assert np.allclose(rows.sums([["kalo", "kax"], [], ["www"] * 3_000]), [scores[0] + scores[2], [0, 0], 3_000 * scores[5]])
+
+
+def test_every_word_scores_as_in_a_plain_version(spark):
+    rng = random.Random(30)
+    texts = [(rng.choice("xyz"), " ".join("".join(rng.choice("abcdé") for _ in range(rng.randrange(1, 7))) for _ in range(40))) for _ in range(60)]
+    frame = spark.createDataFrame([(k, t, lang) for k, (lang, t) in enumerate(texts)], "doc_id long, text string, lang string")
+    model, counts = langid.fit(frame), {}
+    for lang, text in texts:
+        for w in text.split():
+            counts[lang, 0, w] = counts.get((lang, 0, w), 0) + 1
+            for s in range(1, 5):
+                for k in range(len(w) + 3 - s):
+                    counts[lang, s, f"^{w}$"[k : k + s]] = counts.get((lang, s, f"^{w}$"[k : k + s]), 0) + 1
+    flat = [(*key, n) for key, n in counts.items()]
+    words = [texts[0][1].split()[0], *("".join(rng.choice("abcdéf") for _ in range(rng.randrange(1, 9))) for _ in range(80))]
+    assert model.langs == ["x", "y", "z"]
+    assert all(np.allclose(s, plain_score(flat, w)) for s, w in zip(model.score(words), words, strict=True))
+
+
+def test_letters_are_of_category_l():
+    assert langid.words_of("Ab½c ²x Ⅷ ④ e\u0301 ᵃ 東京_7ß") == ["ab", "c", "x", "e", "ᵃ", "東京", "ß"]
+    assert not any(map(langid.words_of, ["½ ² Ⅷ", "④", "12 _ ٣", "\u0301", "", None]))
 
 
 def test_language_edges(spark, docs):
@@ -207,6 +254,8 @@ def test_language_edges(spark, docs):
     assert len(told) == len(rows)
     assert all((r.lang_pred, r.score) == ("und", 0.0) for r in told if r.doc_id in (0, 1, 2, 11))
     assert all(r.lang_pred in ("xx", "yy") for r in told if r.doc_id in (3, 7, 8, 9))
+    numerals = docs([(1, "½ ² Ⅷ ④"), (2, "\u0301 12"), (3, "½a")]).withColumn("held_out", F.lit(True)).withColumn("lang_pred", F.lit("zz"))
+    assert [(r.lang_pred == "und", r.score == 0) for r in langid.predict(numerals, model).orderBy("doc_id").collect()] == [(True, True), (True, True), (False, False)]
     none = langid.predict(marked, langid.fit(marked.where("false"))).collect()
     assert {r.lang_pred for r in none} == {"und"}
     assert langid.predict(marked.where("false"), model).count() == 0
