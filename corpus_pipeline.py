@@ -1,20 +1,22 @@
 """A training corpus from ``documents``: quality, near-duplicates, contamination, secrets, packing.
 
 Each stage takes (spark, docs, sf_dir) and works on all rows of ``docs``; all but the last return
-``docs``'s columns. ``run`` writes each stage's result as Parquet to the shared folder and reads it
-again for the next one.
+``docs``'s columns, whatever else they are called. ``run`` writes each stage's result as Parquet to the
+shared folder and reads it again for the next one; then what the stage read or made on its way is deleted.
+
+Defined cases, for all stages: null text is empty; rows with null doc_id, repeated rows and ties are treated as
+the operators' modules state; an empty table gives an empty table.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from runlake.llm import common, decontaminate, importance, packing, secrets, simhash_anchor
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that importance resampling doesn't draw go."""
+    """Documents that importance resampling doesn't draw go: as many stay as the labels call good."""
     return importance.keep(docs, common.table(spark, sf_dir, "labels"))
 
 
@@ -45,7 +47,9 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = common.table(spark, sf_dir, "documents")
+    """All stages on the whole of ``documents``: the pieces that ``packed`` gives."""
+    docs, since = common.table(spark, sf_dir, "documents"), common.made()
     for name, stage in STAGES:
         docs = common.materialise(spark, stage(spark, docs, sf_dir), f"stage-{name}")
-    return docs.select(*[F.col(c) for c in docs.columns])
+        common.tidy(spark, since, docs)  # also the stage table before
+    return docs
