@@ -30,6 +30,12 @@ def build_t2_by_join(t1: DataFrame) -> DataFrame:
     return values.join(keys, on).select(values["location"], values["valid_time"], "kindex", "flag").distinct()
 
 
+def consolidated(t1: DataFrame, most_in_window: int = 1_000_000) -> DataFrame:
+    """T2 in the form that fits: the window, unless one key has over ``most_in_window`` rows, which the join form sums before the shuffle."""
+    largest = t1.where("valid_time is not null and location is not null").groupBy(*KEY).count().agg(F.max("count")).first()[0]
+    return build_t2(t1) if (largest or 0) <= most_in_window else build_t2_by_join(t1)
+
+
 def latest_runs(t1: DataFrame) -> DataFrame:
     return t1.where("valid_time is not null").groupBy(*KEY).agg(F.max("run_id").alias("latest_run_id"))
 

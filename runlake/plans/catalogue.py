@@ -16,7 +16,8 @@ from runlake.plans import pipeline
 from runlake.plans.views import OBS_SQL, RUNS_SQL, T2_SQL, obs, read, runs
 from runlake.sources import lake, publish
 from runlake.sources.files import Files
-from runlake.sources.manifest import MANIFEST_NAME
+from runlake.sources.ingest import ingest_run
+from runlake.sources.manifest import MANIFEST_NAME, Keys, runs as lake_runs
 
 Query = Callable[[SparkSession, str], DataFrame]
 _FOUND: dict[str, tuple[Query, str | None]] = {}
@@ -260,6 +261,8 @@ def raw_lake(spark: SparkSession, d: str) -> str:
     lines.write.partitionBy("run_id").json(root)
     for run in runs(spark, d).collect():  # seven
         files.write(f"{root}/run_id={run.run_id}/{MANIFEST_NAME}", json.dumps({"created_at_utc": run.run_id, "location": run.location, "status": run.status}))
+        if run.status in ("SUCCESS", "FAILED"):
+            files.write(f"{root}/run_id={run.run_id}/_{run.status}", "")
     return root
 
 
@@ -285,3 +288,67 @@ def lake_to_t1_by_increments(spark, d):
 def lake_to_t2(spark, d):
     t1 = pipeline.rebuild(spark, raw_lake(spark, d), scratch(spark, "t1"), pattern="*.json")
     return lake.read_t2(spark, pipeline.transform(spark, t1, scratch(spark, "t2")))
+
+
+@query(f"WITH {RUNS_SQL} SELECT run_id, status FROM runs WHERE status <> 'RUNNING'")
+def run_status_from_marker(spark, d):
+    """What the marker files' names say of the runs."""
+    return lake.markers(spark, raw_lake(spark, d)).select("run_id", F.regexp_extract("marker", "^_(SUCCESS|FAILED)$", 1).alias("status"))
+
+
+@query(f"WITH {RUNS_SQL} SELECT run_id, location, status FROM runs")
+def runs_by_other_keys(spark, d):
+    """Manifests that call id, location and status otherwise."""
+    root, files = scratch(spark, "raw"), Files(spark)
+    for run in runs(spark, d).collect():  # seven
+        files.write(f"{root}/run_id={run.run_id}/about.json", json.dumps({"run": run.run_id, "site": run.location, "state": run.status}))
+    found = lake_runs(spark, root, "about.json", keys=Keys("run", "site", "state"))
+    return spark.createDataFrame([(r.run_id, r.location, r.status) for r in found], schemas.MANIFEST)
+
+
+@query(f"WITH {OBS_SQL}, {T2_SQL} SELECT column_name AS name, CASE column_type WHEN 'VARCHAR' THEN 'string' WHEN 'INTEGER' THEN 'int' WHEN 'TIMESTAMP' THEN 'timestamp_ntz' ELSE lower(column_type) END AS type FROM (DESCRIBE SELECT * FROM t2)")
+def t2_described(spark, d):
+    """The columns and types of T2 as written and read again."""
+    told = lake.read_t2(spark, publish.write_t2(canonical.build_t2(obs(spark, d)), scratch(spark, "t2")))
+    return spark.createDataFrame([(f.name, f.dataType.simpleString()) for f in told.schema], "name string, type string")
+
+
+INGESTED = "20240301T000000Z"
+
+
+def ingested_lake(spark: SparkSession, d: str) -> str:
+    """A raw lake landed by ``ingest_run`` from a feed that answers from ``events``, chunk by chunk, with their bounds."""
+    lines = obs(spark, d).where("valid_time is not null")
+    low, high = lines.agg(timefmt.text_column(F.min("valid_time")), timefmt.text_column(F.max("valid_time"))).first()
+    fmt, root = "%Y-%m-%d %H:%M:%S", scratch(spark, "ingested")
+    span = timefmt.parse(high, fmt) - timefmt.parse(low, fmt)
+
+    def answer(url, body, timeout):
+        ask = body["options"]
+        until = F.col("valid_time") <= F.lit(ask["end"]).cast("timestamp_ntz") if ask["end"] == high else F.col("valid_time") < F.lit(ask["end"]).cast("timestamp_ntz")
+        part = lines.where((F.col("valid_time") >= F.lit(ask["start"]).cast("timestamp_ntz")) & until)
+        told = part.select(timefmt.text_column(F.col("valid_time")).alias("valid_time"), timefmt.text_column(F.col("analysis_time")).alias("analysis_time"), F.col("kindex").alias("index"))
+        return 200, json.dumps({"data": [r.asDict() for r in told.collect()]})  # one chunk, as an HTTP feed sends it
+
+    config = {"api_key": "none", "base_url": "https://feed.example", "endpoints": {"k_index": "k"}, "date_fmt": fmt, "ingestion": {"k_index": {"chunk_days": span.days // 4 + 1, "sleep_seconds": 0}}}
+    ingest_run(spark, config, "site", low, high, root, transport=answer, clock=lambda: timefmt.parse(INGESTED, timefmt.TOKEN), sleep=lambda s: None)
+    return root
+
+
+_INGESTED_SQL = f"{OBS_SQL.replace('obs AS', 'seen AS')}, obs AS (SELECT 'site' AS location, valid_time, date_trunc('second', analysis_time) AS analysis_time, kindex, '{INGESTED}' AS run_id FROM seen WHERE valid_time IS NOT NULL)"
+
+
+@query(f"WITH {_INGESTED_SQL} SELECT location, valid_time, analysis_time, kindex, run_id FROM obs")
+def ingest_to_t1(spark, d):
+    """Fetched in chunks, landed as a run, tabulated."""
+    t1 = scratch(spark, "t1")
+    pipeline.increment(spark, ingested_lake(spark, d), t1)
+    return lake.read_t1(spark, t1)
+
+
+@query(f"WITH {_INGESTED_SQL} SELECT '{INGESTED}' AS run_id, 'SUCCESS' AS status, 'site' AS location, count(*) AS total_rows FROM obs")
+def ingest_manifest(spark, d):
+    """What the landed run's manifest says."""
+    root, files = ingested_lake(spark, d), Files(spark)
+    told = json.loads(files.read(f"{root}/run_id={INGESTED}/{MANIFEST_NAME}"))
+    return spark.createDataFrame([(told["run_id"], told["status"], told["location"], told["total_rows"])], "run_id string, status string, location string, total_rows long")

@@ -8,44 +8,50 @@ from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
 from runlake.functions.columns import sound_run_id
-from runlake.operators.canonical import build_t2, suspicious_runs
+from runlake.operators.canonical import consolidated, suspicious_runs
 from runlake.operators.tabulate import build_t1
 from runlake.sources import lake, manifest, publish
 
 log = logging.getLogger(__name__)
 
 
+REPORTED = 1_000  #: odd run ids that the log lists one by one
+
+
 class NoSuccessfulRun(ValueError):
     """A rebuild needs at least one."""
 
 
-def next_run(spark: SparkSession, raw: str, t1: str, name: str = manifest.MANIFEST_NAME) -> str:
-    """The oldest successful run that T1 lacks, or empty text."""
+def _due(spark: SparkSession, raw: str, t1: str, name: str, status: str, keys: manifest.Keys) -> list[manifest.Run]:
     done = lake.processed_run_ids(spark, t1)
-    return next((r.run_id for r in manifest.successful(manifest.runs(spark, raw, name)) if r.run_id not in done), "")
+    return manifest.successful(manifest.runs(spark, raw, name, keys=keys, done=done), status)
 
 
-def _tabulate(spark: SparkSession, runs: list[manifest.Run], pattern: str):
-    return build_t1(manifest.frame(spark, runs), lake.observations(spark, runs, pattern), n_runs=len(runs))
+def next_run(spark: SparkSession, raw: str, t1: str, name: str = manifest.MANIFEST_NAME, status: str = manifest.SUCCESS, keys: manifest.Keys = manifest.KEYS) -> str:
+    """The oldest run of that status that T1 lacks, or empty text."""
+    return next((r.run_id for r in _due(spark, raw, t1, name, status, keys)), "")
 
 
-def increment(spark: SparkSession, raw: str, t1: str, name: str = manifest.MANIFEST_NAME, pattern: str = lake.CHUNKS) -> str | None:
-    """Add exactly one run to T1, the oldest that is due; None if none is. Callers repeat it."""
-    done = lake.processed_run_ids(spark, t1)
-    due = [r for r in manifest.successful(manifest.runs(spark, raw, name)) if r.run_id not in done]
+def _tabulate(spark: SparkSession, runs: list[manifest.Run], pattern: str, status: str):
+    return build_t1(manifest.frame(spark, runs), lake.observations(spark, runs, pattern), status, n_runs=len(runs))
+
+
+def increment(spark: SparkSession, raw: str, t1: str, name: str = manifest.MANIFEST_NAME, pattern: str = lake.CHUNKS, status: str = manifest.SUCCESS, keys: manifest.Keys = manifest.KEYS) -> str | None:
+    """Add exactly one run to T1, the oldest that is due; None if none is. Callers repeat it. ``status`` marks the runs that count, ``keys`` what the manifests call things."""
+    due = _due(spark, raw, t1, name, status, keys)
     if not due:
         log.info("T1 has every successful run")
         return None
-    return publish.write_t1(_tabulate(spark, due[:1], pattern), t1, "append")
+    return publish.write_t1(_tabulate(spark, due[:1], pattern, status), t1, "append")
 
 
-def rebuild(spark: SparkSession, raw: str, t1: str, name: str = manifest.MANIFEST_NAME, pattern: str = lake.CHUNKS) -> str:
+def rebuild(spark: SparkSession, raw: str, t1: str, name: str = manifest.MANIFEST_NAME, pattern: str = lake.CHUNKS, status: str = manifest.SUCCESS, keys: manifest.Keys = manifest.KEYS) -> str:
     """T1 anew from all successful runs."""
-    good = manifest.successful(manifest.runs(spark, raw, name))
+    good = manifest.successful(manifest.runs(spark, raw, name, keys=keys), status)
     if not good:
         raise NoSuccessfulRun(f"no successful run below {raw}")
     #: A run's rows go to one folder; the extra key keeps a large run in many files and tasks.
-    rows = _tabulate(spark, good, pattern).repartition("run_id", F.pmod(F.xxhash64("valid_time"), F.lit(16)))
+    rows = _tabulate(spark, good, pattern, status).repartition("run_id", F.pmod(F.xxhash64("valid_time"), F.lit(16)))
     return publish.write_t1(rows, t1, "overwrite")
 
 
@@ -55,6 +61,9 @@ def transform(spark: SparkSession, t1: str, t2: str, partition_by: tuple[str, ..
         log.info("no T1 at %s: nothing to transform", t1)
         return None
     rows = lake.read_t1(spark, t1)
-    for row in suspicious_runs(rows, sound_run_id).limit(1000).collect():  # a report of bad ids, not data
+    odd = suspicious_runs(rows, sound_run_id).limit(REPORTED + 1).collect()  # a report of bad ids, not data
+    for row in odd[:REPORTED]:
         log.warning("run id %r is not a time; latest-run-wins goes by text", row.run_id)
-    return publish.write_t2(build_t2(rows), t2, partition_by)
+    if len(odd) > REPORTED:
+        log.warning("there are more such run ids; the report ends after %s", REPORTED)
+    return publish.write_t2(consolidated(rows), t2, partition_by)

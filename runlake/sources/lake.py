@@ -66,6 +66,6 @@ def processed_run_ids(spark: SparkSession, path: str) -> set[str]:
 def markers(spark: SparkSession, raw: str) -> DataFrame:
     """(run_id, marker, content) of the runs' marker files. They are for people: status is the manifest's."""
     files = Files(spark)
-    found = [p for p in files.walk(raw) if p.rpartition("/")[2] in ("_SUCCESS", "_FAILED")]
+    found = [p for p in files.walk(raw) if "/run_id=" in p and p.rpartition("/")[2] in ("_SUCCESS", "_FAILED")]
     rows = [(p.rpartition("/run_id=")[2].partition("/")[0], p.rpartition("/")[2], files.read(p)) for p in found]
     return spark.createDataFrame(rows, "run_id string, marker string, content string")

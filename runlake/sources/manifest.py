@@ -1,9 +1,14 @@
-"""Run manifests: the authority on which runs count. Read on the driver, since Spark's readers skip names that begin with ``_``."""
+"""Run manifests: the authority on which runs count.
+
+They are read on the driver, since Spark's readers skip names that begin with ``_``, but many at a time.
+"""
 
 from __future__ import annotations
 
 import json
 import re
+from collections.abc import Collection
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
@@ -14,7 +19,19 @@ from runlake.sources.files import Files
 
 SUCCESS, FAILED, RUNNING = "SUCCESS", "FAILED", "RUNNING"
 MANIFEST_NAME = "_manifest.json"
-REQUIRED = ("created_at_utc", "location", "status")
+READERS = 16
+
+
+@dataclass(frozen=True)
+class Keys:
+    """What a manifest calls the run's id, its location and its status. Fixed values of the lake that ``ingest`` writes, as defaults."""
+
+    run_id: str = "created_at_utc"
+    location: str = "location"
+    status: str = "status"
+
+
+KEYS = Keys()
 
 
 class LakeError(ValueError):
@@ -36,7 +53,7 @@ def run_in(path: str) -> str:
     return found[-1]
 
 
-def parsed(path: str, text: str, strict: bool = False) -> Run:
+def parsed(path: str, text: str, strict: bool = False, keys: Keys = KEYS) -> Run:
     """A manifest, checked: an object with the required keys whose id is its folder's (and, if strict, well formed)."""
     try:
         value = json.loads(text)
@@ -44,26 +61,31 @@ def parsed(path: str, text: str, strict: bool = False) -> Run:
         raise LakeError(f"{path} is not JSON: {e}") from e
     if not isinstance(value, dict):
         raise LakeError(f"{path} is not an object")
-    if missing := [k for k in REQUIRED if k not in value]:
+    if missing := [k for k in (keys.run_id, keys.location, keys.status) if k not in value]:
         raise LakeError(f"{path} lacks {', '.join(missing)}")
     run_id = run_in(path)
-    if value["created_at_utc"] != run_id:
-        raise LakeError(f"{path} says {value['created_at_utc']}, its folder {run_id}")
+    if value[keys.run_id] != run_id:
+        raise LakeError(f"{path} says {value[keys.run_id]}, its folder {run_id}")
     if strict and not re.fullmatch(RUN_ID.strip("^$"), run_id):
         raise LakeError(f"{path}: {run_id} is not a time")
-    return Run(run_id, value["location"], value["status"], path.rpartition("/")[0])
+    return Run(run_id, value[keys.location], value[keys.status], path.rpartition("/")[0])
+
 
+def runs(spark: SparkSession, raw: str, name: str = MANIFEST_NAME, strict: bool = False, keys: Keys = KEYS, done: Collection[str] = ()) -> list[Run]:
+    """The runs below ``raw`` that aren't ``done``, oldest first. Each one's manifest is read and checked, whatever its status.
 
-def runs(spark: SparkSession, raw: str, name: str = MANIFEST_NAME, strict: bool = False) -> list[Run]:
-    """All runs below ``raw``, oldest first. Every manifest is read and checked, whatever its status."""
+    A run that is done was checked when it was taken over, so a lake that grows run by run is read once, not once for each run."""
     files = Files(spark)
-    found = [parsed(p, files.read(p), strict) for p in files.walk(raw) if p.rpartition("/")[2] == name]
+    paths = [p for p in files.walk(raw) if p.rpartition("/")[2] == name]
     seen: set[str] = set()
-    for run in found:
-        if run.run_id in seen:
-            raise LakeError(f"{run.run_id} is there twice")
-        seen.add(run.run_id)
-    return sorted(found, key=lambda r: r.run_id)
+    for run_id in map(run_in, paths):
+        if run_id in seen:
+            raise LakeError(f"{run_id} is there twice")
+        seen.add(run_id)
+    due = [p for p in paths if run_in(p) not in done]
+    with ThreadPoolExecutor(READERS) as readers:
+        texts = list(readers.map(files.read, due))
+    return sorted((parsed(p, text, strict, keys) for p, text in zip(due, texts, strict=True)), key=lambda r: r.run_id)
 
 
 def successful(every: list[Run], status: str = SUCCESS) -> list[Run]:

@@ -2,27 +2,43 @@
 
 from __future__ import annotations
 
+import time
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
 from runlake.sources.files import Files
 
 
+TRIES, PAUSE = 3, 0.2  #: seconds between them
+
+
+def patiently(step: Callable[[], None], sleep: Callable[[float], None] | None = None) -> None:
+    """A deletion or a move that another reader of the folder may hold up: tried ``TRIES`` times in all, then raised."""
+    for left in reversed(range(TRIES)):
+        try:
+            return step()
+        except Exception:
+            if not left:
+                raise
+            (sleep or time.sleep)(PAUSE)
+
+
 def swap(files: Files, staged: str, target: str) -> None:
     """Put ``staged`` in ``target``'s place. The old table is moved aside first and comes back if that fails."""
     aside = f"{target}.{uuid.uuid4().hex}.old"
     had = files.exists(target)
     if had:
-        files.move(target, aside)
+        patiently(lambda: files.move(target, aside))
     try:
-        files.move(staged, target)
+        patiently(lambda: files.move(staged, target))
     except Exception:
         if had and not files.exists(target):
             files.move(aside, target)
         raise
     if had:
-        files.delete(aside)
+        patiently(lambda: files.delete(aside))
 
 
 def staging(target: str) -> str:
@@ -65,7 +81,7 @@ def write_t2(df: DataFrame, path: str, partition_by: tuple[str, ...] = ()) -> st
         if partition_by:
             df.write.partitionBy(*partition_by).parquet(staged)
         else:
-            df.coalesce(1).write.parquet(staged)  # one file is the table's contract
+            df.repartition(1).write.parquet(staged)  # one file is the table's contract; what makes the rows keeps its tasks
             parts = [n for n, folder, _ in files.names(staged) if not folder and n.endswith(".parquet")]
             files.move(f"{staged}/{parts[0]}", f"{staged}/T2.parquet")
         tidy(files, staged)
@@ -79,7 +95,7 @@ def single_file(df: DataFrame, target: str) -> str:
     """``df`` as one Parquet file of this very name."""
     files, staged = Files(df.sparkSession), staging(target)
     try:
-        df.coalesce(1).write.parquet(staged)
+        df.repartition(1).write.parquet(staged)
         part = next(n for n, folder, _ in files.names(staged) if not folder and n.endswith(".parquet"))
         files.move(f"{staged}/{part}", target)
     finally:

@@ -61,3 +61,12 @@ def test_sentinels_of_both_plans(spark):
     assert [f.dataType for f in tabulate.build_t1(runs, obs, n_runs=3).schema] == [f.dataType for f in schemas.T1]
     assert tabulate.oldest(tabulate.unprocessed(runs, obs)).first().run_id == "2"
     assert tabulate.oldest(tabulate.unprocessed(runs.where("run_id = '1'"), obs)).first().run_id == ""
+
+
+@pytest.mark.parametrize("most", [2, 3])
+def test_a_hot_key_takes_the_join_form(spark, most):
+    rows = [("A", datetime(2024, 1, 1), k, f"2024010{k}T000000Z") for k in (1, 2, 3)] + [("B", datetime(2024, 1, 1), 7, "20240101T000000Z"), (None, None, 1, None)]
+    out = canonical.consolidated(table(spark, rows), most)
+    assert told(out) == [("A", datetime(2024, 1, 1), 3, True), ("B", datetime(2024, 1, 1), 7, False)]
+    assert ("Join" in out._jdf.queryExecution().optimizedPlan().toString()) == (most == 2)
+    assert told(canonical.consolidated(table(spark, []), most)) == []

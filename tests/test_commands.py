@@ -30,7 +30,7 @@ def test_logs_are_renamed_by_status(tmp_path):
 
 
 def test_closing_an_absent_log_is_fine(tmp_path):
-    assert runlog.close_log(tmp_path / "x.running.log", "success").name == "x.success.log"
+    assert runlog.renamed(tmp_path / "x.running.log", "success").name == "x.success.log"
 
 
 def settings_file(tmp_path):

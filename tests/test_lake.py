@@ -231,3 +231,33 @@ def test_chunk_names_and_lines(spark, tmp_path):
     assert ingest.chunk_name(None, a) == "chunk_open__20240101T000000Z.jsonl"
     name = ingest.write_chunk(Files(spark), str(tmp_path), feed.Chunk(a, None, [{"a": "ü", "b": 1}, {}]))
     assert (tmp_path / name).read_text() == '{"a": "ü", "b": 1}\n{}\n' and len(list(tmp_path.iterdir())) == 1
+
+
+def test_moves_are_tried_again_but_not_for_ever():
+    tries, pauses = [], []
+
+    def stubborn(n):
+        def step():
+            tries.append(n)
+            if len(tries) < n:
+                raise OSError("held")
+        return step
+
+    publish.patiently(stubborn(3), pauses.append)
+    assert len(tries) == 3 and pauses == [publish.PAUSE] * 2
+    tries.clear()
+    with pytest.raises(OSError, match="held"):
+        publish.patiently(stubborn(4), pauses.append)
+    assert len(tries) == 3
+
+
+def test_runs_that_are_done_are_not_read_again(spark, tmp_path):
+    for k in (1, 2):
+        folder = tmp_path / f"run_id=2024010{k}T000000Z"
+        folder.mkdir()
+        (folder / "about.json").write_text(json.dumps({"run": folder.name[7:], "site": "x", "state": "done"}) if k == 2 else "not JSON")
+    keys = manifest.Keys("run", "site", "state")
+    (left,) = manifest.runs(spark, str(tmp_path), "about.json", keys=keys, done={"20240101T000000Z"})
+    assert (left.run_id, left.location) == ("20240102T000000Z", "x") and manifest.successful([left], "done") == [left]
+    with pytest.raises(manifest.LakeError):
+        manifest.runs(spark, str(tmp_path), "about.json", keys=keys)
