@@ -299,4 +299,5 @@ def search(embeddings: DataFrame, is_query: F.Column | str, k: int = 5, recall:
 
 
 def op1_ann_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 5 nearest of all ``embeddings`` to each whose vec_id is divisible by 50; unusable, tied, repeated and missing rows as the module states."""
     return search(common.table(spark, sf_dir, "embeddings"), "vec_id % 50 = 0")

@@ -151,4 +151,5 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int, window: int = 4096, sente
 
 
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All ``documents`` packed into sequences of at most 4096 tokens, a row a piece; null, empty, very long, repeated and missing rows as the module states."""
     return pack(common.table(spark, sf_dir, "documents"), "word_bpe_49k.json", end_id=2)

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
-from runlake.llm import decontaminate, preference
+from runlake.llm import decontaminate, linkgraph, preference, secrets
 from runlake.llm.ann_tree import op1_ann_tree
 from runlake.llm.decontaminate import op3_decontaminate
 from runlake.llm.importance import op4_importance
@@ -22,9 +22,10 @@ from runlake.llm.token_store import op6_token_store
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     each = (op1_ann_tree, op2_simhash, op3_decontaminate, op4_importance, op5_linkgraph, op6_token_store, op7_langid, op8_secret_scan, op9_packing, op10_preference)
-    return {f.__name__: f for f in each} | {"pipeline": corpus_pipeline.run}
+    parts = (linkgraph.url_rules, secrets.secret_counts)  # of op5 and op8: what SQL can express of them
+    return {f.__name__: f for f in (*each, *parts)} | {"pipeline": corpus_pipeline.run}
 
 
 def oracle_sql() -> dict[str, str]:
     """Where SQL can express a query; the others are tested against brute force, round trips or held-out rows."""
-    return {"op3_decontaminate": decontaminate.ORACLE, "op10_preference": preference.ORACLE}
+    return {"op3_decontaminate": decontaminate.ORACLE, "op10_preference": preference.ORACLE, "url_rules": linkgraph.RULES_ORACLE, "secret_counts": secrets.COUNTS_ORACLE}

@@ -24,7 +24,7 @@ is left of it on either side is such a run again. Of a candidate:
 
 Offsets are code points, ends exclusive. Defined cases: null text is empty and has no spans; rows
 that repeat a doc_id are scanned each for itself; null doc_ids stay; an empty table gives no rows;
-extra columns are kept by ``redact`` and ignored by ``scan``.
+extra columns, whatever their names, are kept by ``redact`` and ignored by ``scan``.
 """
 
 from __future__ import annotations
@@ -286,5 +286,20 @@ def redact(docs: DataFrame, mark: str = "[SECRET]", q: float = 0.01) -> DataFram
     return common.map_arrow(docs, replace, docs.schema)
 
 
+def secret_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The part of op8 that SQL can express: how many base spans of each kind the texts of all ``documents`` have."""
+    return scan(common.table(spark, sf_dir, "documents")).select("doc_id", "n_assign", "n_access", "n_hex")
+
+
+COUNTS_ORACLE = r"""
+WITH t AS (SELECT doc_id, coalesce(text, '') AS text FROM documents)
+SELECT doc_id,
+  len(list_filter(regexp_extract_all(text, '(?i:password|passwd|secret|token|api_?key)["'']? *[:=] *["'']?([A-Za-z0-9+/_.=-]+)', 1), lambda x: length(x) >= 6)) AS n_assign,
+  len(list_filter(regexp_extract_all(text, 'AKIA[A-Z0-9]+'), lambda x: length(x) >= 20)) AS n_access,
+  len(list_filter(regexp_extract_all(text, '[0-9a-f]+'), lambda x: length(x) >= 24)) AS n_hex FROM t
+"""
+
+
 def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets in all ``documents``: base counts and digest, all spans; null, empty, repeated and missing rows as the module states."""
     return scan(common.table(spark, sf_dir, "documents")).select("doc_id", "n_assign", "n_access", "n_hex", "base_sha256", spans_text().alias("spans"))

@@ -208,4 +208,5 @@ def read_documents(manifest: DataFrame, doc_ids: list[int]) -> dict[int, list[np
 
 
 def op6_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All ``documents`` encoded, written as seekable files and read back: doc_id, start, n_tokens, ids_crc32; null, empty, repeated and missing rows as the module states."""
     return read_store(write_store(common.table(spark, sf_dir, "documents"), "byte_bpe_50k.json", end_id=2))
