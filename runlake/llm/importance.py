@@ -40,6 +40,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, LongType, StructField, StructType
@@ -52,6 +53,7 @@ _REPEATED = re.compile(r"(.)\1+")
 _MULTIPLY = np.uint64(0x9E3779B97F4A7C15)
 _ENDS = ".,;:!?"
 RUNS = 16  #: buckets of the last kind, a word's own repetition
+BLOCK = 1 << 12  #: buckets whose counts travel as one row
 
 
 def sizes_for(chars: int) -> tuple[int, ...]:
@@ -163,32 +165,37 @@ def features(texts: list[str | None], known: Words, buckets: Buckets) -> tuple[n
 
 
 def _count(batches: Iterator[pa.RecordBatch], buckets: Buckets) -> Iterator[pa.RecordBatch]:
-    """(text, good) to the counts of each bucket in all of a partition's texts and in its good ones; bucket -1 counts the texts."""
-    known, raw, target = Words(), np.zeros(buckets.total, np.int32), np.zeros(buckets.total, np.int32)
-    n_raw = n_target = 0
+    """(text, good) to the counts of the buckets in all of a partition's texts and in its good ones, a row for each ``BLOCK`` of them, packed."""
+    known, raw, target = Words(), np.zeros(buckets.total, "<i4"), np.zeros(buckets.total, "<i4")
     for batch in common.slices(batches):
         good = np.asarray(batch.column(1).to_numpy(zero_copy_only=False), bool)
         text, bucket, _ = features(batch.column(0).to_pylist(), known, buckets)
         for counts, own in ((raw, bucket), (target, bucket[good[text]])):
             at, n = np.unique(own, return_counts=True)
             counts[at] += n.astype(np.int32)
-        n_raw, n_target = n_raw + len(good), n_target + int(good.sum())
-    found = np.flatnonzero(raw)
-    yield _counted(np.array([-1]), np.array([n_raw]), np.array([n_target]))
-    for at in range(0, len(found), 1 << 18):
-        here = found[at : at + (1 << 18)]
-        yield _counted(here, raw[here], target[here])
-
-
-def _counted(bucket: np.ndarray, raw: np.ndarray, target: np.ndarray) -> pa.RecordBatch:
-    return pa.RecordBatch.from_pydict({"bucket": pa.array(bucket, pa.int32()), "raw": pa.array(raw, pa.int64()), "target": pa.array(target, pa.int64())})
-
-
-def deviation(raw: F.Column, target: F.Column, n_raw: int, n_target: int) -> F.Column:
-    """Of one bucket: target's log chance less raw's, under the prior."""
+    pack = zstandard.ZstdCompressor(level=1).compress
+    held = [at for at in range(0, buckets.total, BLOCK) if raw[at : at + BLOCK].any()]
+    yield pa.RecordBatch.from_pydict({"block": pa.array([at // BLOCK for at in held], pa.int32()), **{name: pa.array([pack(counts[at : at + BLOCK].tobytes()) for at in held], pa.binary()) for name, counts in (("raw", raw), ("target", target))}})
+
+
+def _telling(batches: Iterator[pa.RecordBatch], n_raw: int, n_target: int) -> Iterator[pa.RecordBatch]:
+    """Blocks of counts to the deviations that aren't zero; holds the sums of the partition's blocks."""
+    unpack, sums = zstandard.ZstdDecompressor().decompress, {}
+    for batch in batches:
+        for block, raw, target in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            more = np.stack([np.frombuffer(unpack(x), "<i4") for x in (raw, target)]).astype(np.int64)
+            sums[block] = sums[block] + more if block in sums else more
+    for block, (raw, target) in sums.items():
+        d = deviation(raw, target, n_raw, n_target)
+        at = np.flatnonzero(d)
+        yield pa.RecordBatch.from_pydict({"bucket": pa.array(at + block * BLOCK, pa.int64()), "d": pa.array(d[at], pa.float64())})
+
+
+def deviation(raw: np.ndarray, target: np.ndarray, n_raw: int, n_target: int) -> np.ndarray:
+    """Per bucket: target's log chance less raw's, under the prior."""
     expected = raw * (n_target / n_raw)  # what raw's share makes one expect of target
-    ratio = F.log((target + 0.5) / (expected + 0.5))
-    return F.signum(ratio) * F.greatest(F.lit(0.0), F.abs(ratio) - SHRINK / F.sqrt(expected + 0.5) - MARGIN)
+    ratio = np.log((target + 0.5) / (expected + 0.5))
+    return np.sign(ratio) * np.maximum(0, np.abs(ratio) - SHRINK / np.sqrt(expected + 0.5) - MARGIN)
 
 
 class Model:
@@ -221,16 +228,13 @@ def labelled(docs: DataFrame, labels: DataFrame, most_labelled: int, good: str)
 
 def fit(marked: DataFrame, good: str) -> tuple[Model, float]:
     """The model from all rows of ``marked`` (text, and the mark ``good``), and the part of the marked ones that is good (1 if none is marked)."""
-    told = marked.agg(F.sum(F.length("text")).alias("chars"), F.count(good).alias("n"), F.sum(F.col(good).cast("long")).alias("good")).first()
+    told = marked.agg(F.sum(F.length("text")).alias("chars"), F.count("*").alias("rows"), F.count(good).alias("n"), F.sum(F.col(good).cast("long")).alias("good")).first()
     buckets = Buckets(sizes_for(told.chars or 0))
-    counts = common.map_arrow(marked.select("text", F.coalesce(good, F.lit(False)).alias("good")), lambda b: _count(b, buckets), "bucket int, raw long, target long")
-    summed = common.materialise(marked.sparkSession, counts.groupBy("bucket").agg(F.sum("raw").alias("raw"), F.sum("target").alias("target")), "bucket-counts")
-    n = summed.where("bucket = -1").agg(F.max("raw").alias("raw"), F.max("target").alias("target")).first()
-    if not n.target:
+    if not told.good:
         return Model(buckets, np.empty(0, np.int64), np.empty(0)), 1.0
-    telling = summed.where("bucket >= 0").select("bucket", deviation(F.col("raw"), F.col("target"), n.raw, n.target).alias("d")).where("d <> 0").toArrow()  # fewer rows than buckets, and those are bounded
-    common.discard(marked.sparkSession, summed)
-    return Model(buckets, telling.column("bucket").to_numpy().astype(np.int64), telling.column("d").to_numpy()), told.good / told.n
+    counts = common.map_arrow(marked.select("text", F.coalesce(good, F.lit(False)).alias("good")), lambda b: _count(b, buckets), "block int, raw binary, target binary")
+    found = common.map_arrow(counts.repartition("block"), lambda b: _telling(b, told.rows, told.good), "bucket long, d double").toArrow()  # fewer rows than buckets, and those are bounded
+    return Model(buckets, found.column("bucket").to_numpy(), found.column("d").to_numpy()), told.good / told.n
 
 
 def weigh(docs: DataFrame, model: Model, weight: str, n_words: str) -> DataFrame:

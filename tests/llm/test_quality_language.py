@@ -55,15 +55,10 @@ def test_without_labels_everything_stays(spark, docs):
     assert importance.keep(docs([]), labels_of(spark, [(1, 1, 0)])).count() == 0
 
 
-def deviations(spark, raw, target, n_raw, n_target):
-    frame = spark.createDataFrame(list(zip(raw, target, strict=True)), "raw long, target long")
-    return [r[0] for r in frame.coalesce(1).select(importance.deviation(frame.raw, frame.target, n_raw, n_target)).collect()]
-
-
-def test_deviations_follow_the_counts(spark):
-    r = deviations(spark, [1000, 1000, 3, 0, 200], [500, 0, 0, 0, 50], 2000, 1000)
+def test_deviations_follow_the_counts():
+    r = importance.deviation(np.array([1000, 1000, 3, 0, 200]), np.array([500, 0, 0, 0, 10]), 2000, 1000)
     assert r[0] == 0 and r[1] < -2 and r[2] == r[3] == 0
-    assert abs(r[4] - (np.log(50.5 / 100.5) + 3 / np.sqrt(100.5) + 0.6 if np.log(100.5 / 50.5) > 3 / np.sqrt(100.5) + 0.6 else 0)) < 1e-9
+    assert abs(r[4] - (np.log(10.5 / 100.5) + 3 / np.sqrt(100.5) + 0.6)) < 1e-9
 
 
 def test_weights_against_a_plain_version(spark, docs, corpus):
