@@ -31,8 +31,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.types import StructType
 
 from runlake.llm import common
-from runlake.llm.token_store import in_order
-from runlake.llm.tokens import encoder, ids_of
+from runlake.llm.token_store import encoded, id_bytes
+from runlake.llm.tokens import encoder
 
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
@@ -99,14 +99,13 @@ def sentence_enders(tokenizer) -> np.ndarray:
 def pack(docs: DataFrame, tokenizer: str, end_id: int, window: int = 4096, sentence_cut: float = 4.0, hard_cut: float = 64.0, exact_from: int = 256, block_tokens: int = 1 << 19, with_ids: bool = False) -> DataFrame:
     """Pieces of ``docs`` (doc_id, text): doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset (and ids, if asked for).
 
-    A task packs its range of documents in blocks of about ``block_tokens``, so it never holds more
+    Texts are encoded where they lie and shuffled as ids. A task packs its range of documents in blocks of about ``block_tokens``, so it never holds more
     than a block and one document. ``sequence_id`` is the range's number and the sequence's in it.
     """
     schema = StructType.fromDDL(PIECES + (", ids binary" if with_ids else ""))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = encoder(tokenizer)
-        enders, end = sentence_enders(enc.tokenizer), np.array([end_id], "<u4")
+        enders, kind = sentence_enders(encoder(tokenizer).tokenizer), f"<u{id_bytes(tokenizer, end_id)}"
         sequence = TaskContext.get().partitionId() << 40
         names, held, n_held = [], [], 0
 
@@ -135,9 +134,9 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int, window: int = 4096, sente
             sequence += len(ends)
             return pa.RecordBatch.from_pydict(out)
 
-        for batch in common.slices(batches):
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                ids = np.concatenate([ids_of(enc.encode(text)), end])
+        for batch in batches:
+            for doc_id, body in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                ids = np.frombuffer(body.as_buffer(), kind).astype("<u4")
                 names.append(doc_id)
                 held.append(ids)
                 n_held += len(ids)
@@ -147,7 +146,7 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int, window: int = 4096, sente
         if held:
             yield flush()
 
-    return common.map_arrow(in_order(docs, "text"), run, schema)
+    return common.map_arrow(encoded(docs, tokenizer, end_id), run, schema)
 
 
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,15 +2,17 @@
 
 File layout (the public zstandard seekable format, so any zstd tool still reads the ids):
 
-* data frames, each of ``frame_tokens`` ids (the last may be shorter) as little-endian unsigned
-  16-bit integers where the vocabulary fits, else 32-bit;
+* data frames of ids as little-endian unsigned 16-bit integers where the vocabulary fits, else 32-bit.
+  A frame holds whole documents, ``frame_tokens`` ids of them at most; a longer document has frames of
+  its own. So a document of up to that length costs one frame, and nobody reads more than that in vain;
 * one skippable frame with the document index: zstd-compressed ``int64`` doc_ids, a byte each for
   null ids, and ``int64`` token counts;
 * one skippable frame with the seek table: per frame its compressed size, decompressed size and
   the low 32 bits of the XXH64 of its content; then the number of frames, a descriptor, a magic.
 
-``write_store`` range-partitions by doc_id, so files and documents in them are in ascending order.
-A task writes a file under a name of its own and reports it in a manifest row; only files of
+``write_store`` encodes the texts where they lie and shuffles the ids (two bytes a token, less than
+the text) to ranges of doc_id, so files and documents in them are in ascending order, and a task that is
+run again has nothing to encode. The manifest has each file's first and last doc_id. A task writes a file under a name of its own and reports it in a manifest row; only files of
 successful attempts are in the manifest, so lost executors and retried tasks leave no wrong file.
 
 Defined cases: null text is empty (one end id); rows of equal doc_id stay separate documents, in
@@ -23,6 +25,7 @@ from __future__ import annotations
 import struct
 import uuid
 import zlib
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import numpy as np
@@ -44,7 +47,7 @@ SKIPPABLE_SEEK_TABLE = 0x184D2A5E
 SEEKABLE_MAGIC = 0x8F92EAB1
 CHECKSUM_FLAG = 0x80
 
-MANIFEST = "part int, uri string, n_docs long, n_tokens long"
+MANIFEST = "part int, uri string, n_docs long, n_tokens long, first_id long, last_id long, null_ids long"
 READ = "doc_id long, start long, n_tokens long, ids_crc32 long"
 
 
@@ -63,25 +66,25 @@ class StoreWriter:
     def add(self, doc_id: int | None, ids: np.ndarray) -> None:
         self.doc_ids.append(doc_id)
         self.counts.append(len(ids))
-        self.waiting.append(ids.astype(self.kind))
-        self.n_waiting += len(ids)
         self.n_tokens += len(ids)
-        if self.n_waiting >= self.frame_tokens:
-            self._flush(False)
+        if self.n_waiting + len(ids) > self.frame_tokens:
+            self._flush()
+        self.waiting.append(ids.astype(self.kind, copy=False))
+        self.n_waiting += len(ids)
+        if self.n_waiting > self.frame_tokens:  # one long document
+            self._flush()
 
-    def _flush(self, last: bool) -> None:
+    def _flush(self) -> None:
         joined = np.concatenate(self.waiting) if self.waiting else np.empty(0, self.kind)
-        end = len(joined) if last else len(joined) // self.frame_tokens * self.frame_tokens
-        for at in range(0, end, self.frame_tokens):
-            body = joined[at : min(at + self.frame_tokens, end)].tobytes()
+        for at in range(0, len(joined), self.frame_tokens):
+            body = joined[at : at + self.frame_tokens].tobytes()
             packed = self.zstd.compress(body)
             self.sink.write(packed)
             self.table.append((len(packed), len(body), xxhash.xxh64_intdigest(body) & 0xFFFFFFFF))
-        self.waiting = [joined[end:]] if end < len(joined) else []
-        self.n_waiting = len(joined) - end
+        self.waiting, self.n_waiting = [], 0
 
     def close(self) -> None:
-        self._flush(True)
+        self._flush()
         nulls = np.array([x is None for x in self.doc_ids], "u1")
         ids = np.array([x or 0 for x in self.doc_ids], "<i8")
         width, frame = int(self.kind[2:]), self.frame_tokens
@@ -114,6 +117,7 @@ class StoreReader:
         self.counts = np.frombuffer(body, "<i8", docs, 9 * docs)
         self.firsts = np.concatenate([[0], np.cumsum(self.counts)])
         self.frames, self.starts = table[: n - 1], starts
+        self.edges = np.concatenate([[0], np.cumsum(self.frames[:, 1], dtype=np.int64)]) // self.width
         self.zstd = zstandard.ZstdDecompressor()
         self.held: tuple[int, np.ndarray] = (-1, np.empty(0))
 
@@ -130,10 +134,9 @@ class StoreReader:
     def ids(self, n: int) -> np.ndarray:
         at, end, out = int(self.firsts[n]), int(self.firsts[n + 1]), []
         while at < end:
-            k = at // self.frame_tokens
-            here = self.frame(k)[at - k * self.frame_tokens : end - k * self.frame_tokens]
-            out.append(here)
-            at += len(here)
+            k = int(np.searchsorted(self.edges, at, "right")) - 1
+            out.append(self.frame(k)[at - int(self.edges[k]) : end - int(self.edges[k])])
+            at += len(out[-1])
         return np.concatenate(out) if out else np.empty(0, f"<u{self.width}")
 
 
@@ -146,34 +149,73 @@ def opened(uri: str, write: bool = False):
     return fs.open_output_stream(path, compression=None)
 
 
-def in_order(docs: DataFrame, *columns: str) -> DataFrame:
-    """Range-partitioned and sorted by doc_id; equal ids by their text's hash."""
-    keys = [F.col("doc_id").asc_nulls_first(), F.col("_tie").asc()]
-    return docs.select("doc_id", *columns, F.xxhash64("text").alias("_tie")).repartitionByRange(*keys).sortWithinPartitions(*keys)
+def ranges(keys: DataFrame, part_bytes: int, sample: int = 20_000) -> list[tuple[bool, int, int]]:
+    """Ascending (doc_id isn't null, doc_id, tie) at which ranges of about ``part_bytes`` of text begin, but for the first.
+
+    Taken from a random sample: ``sample`` rows, more beyond 10,000 times as many, a million at most."""
+    n = keys.count()
+    share = min(max(sample, n // 10_000), 1_000_000) / max(1, n)
+    seen = (keys if share >= 1 else keys.sample(share, 7)).select("doc_id", "tie", F.coalesce(F.octet_length("text"), F.lit(0)).alias("size")).toArrow().to_pydict()
+    found = sorted((x is not None, x or 0, tie) for x, tie in zip(seen["doc_id"], seen["tie"], strict=True))
+    if not found:
+        return []
+    parts = min(-(-int(sum(seen["size"]) / len(found) * n) // part_bytes), max(1, len(found) // 10))
+    return sorted({found[k * len(found) // parts] for k in range(1, parts)})
+
 
+def encoded(docs: DataFrame, tokenizer: str, end_id: int, part_bytes: int = 32 << 20) -> DataFrame:
+    """(doc_id, ids) of ``docs`` (doc_id, text), ``end_id`` appended, in ranges of ascending doc_id, equal ids by their text's hash.
+
+    ``ids`` are bytes, ``id_bytes`` wide each. Ranges hold about ``part_bytes`` of text; rows alike in id and text stay in one."""
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("tie"), "text")
+    begins = ranges(rows, part_bytes)
+    shared = docs.sparkSession.sparkContext.broadcast(begins)  # a tenth of the sample at most
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        enc, begins = encoder(tokenizer), shared.value
+        kind = f"<u{id_bytes(tokenizer, end_id)}"
+        end = np.array([end_id], kind).tobytes()
+        for batch in common.slices(batches):
+            keys = zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)
+            part = [bisect_right(begins, (x is not None, x or 0, tie)) for x, tie in keys]
+            ids = [ids_of(enc.encode(t)).astype(kind).tobytes() + end for t in batch.column(2).to_pylist()]
+            yield pa.RecordBatch.from_pydict({"part": pa.array(part, pa.int32()), "doc_id": batch.column(0), "tie": batch.column(1), "ids": pa.array(ids, pa.binary())})
 
-def write_store(docs: DataFrame, tokenizer: str, end_id: int, frame_tokens: int = 1 << 18) -> DataFrame:
-    """Encode and write ``docs`` (doc_id, text); return the manifest: part, uri, n_docs, n_tokens, start (ids in earlier files)."""
+    apart = common.map_arrow(rows, run, "part int, doc_id long, tie long, ids binary").repartitionById(len(begins) + 1, "part")
+    return apart.sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "tie").select("doc_id", "ids")
+
+
+def id_bytes(tokenizer: str, end_id: int) -> int:
+    """The bytes of an id in the store and in ``encoded``: two if all ids fit."""
+    return 2 if max(encoder(tokenizer).tokenizer.get_vocab_size(), end_id + 1) <= 1 << 16 else 4
+
+
+def write_store(docs: DataFrame, tokenizer: str, end_id: int, frame_tokens: int = 1 << 14) -> DataFrame:
+    """Encode and write ``docs`` (doc_id, text); return the manifest: a row a file with ``MANIFEST``'s columns and start (ids in earlier files)."""
     spark = docs.sparkSession
     folder = common.fresh_uri(spark, "tokens")
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = encoder(tokenizer)
-        width = 2 if max(enc.tokenizer.get_vocab_size(), end_id + 1) <= 1 << 16 else 4
-        part, end = TaskContext.get().partitionId(), np.array([end_id], "<u4")
+        width = id_bytes(tokenizer, end_id)
+        part = TaskContext.get().partitionId()
         uri, writer, sink = f"{folder}/{part:06d}-{uuid.uuid4().hex}.tok.zst", None, None
-        for batch in common.slices(batches):
+        for batch in batches:
+            if not batch.num_rows:
+                continue
             if writer is None:
                 sink = opened(uri, write=True)
                 writer = StoreWriter(sink, width, frame_tokens)
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                writer.add(doc_id, np.concatenate([ids_of(enc.encode(text)), end]))
+            for doc_id, ids in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                writer.add(doc_id, np.frombuffer(ids.as_buffer(), writer.kind))
         if writer is not None:
             writer.close()
             sink.close()
-            yield pa.RecordBatch.from_pydict({"part": pa.array([part], pa.int32()), "uri": [uri], "n_docs": pa.array([len(writer.counts)], pa.int64()), "n_tokens": pa.array([writer.n_tokens], pa.int64())})
+            named = [x for x in writer.doc_ids if x is not None]
+            first, last = (named[0], named[-1]) if named else (None, None)
+            row = {"part": part, "uri": uri, "n_docs": len(writer.counts), "n_tokens": writer.n_tokens, "first_id": first, "last_id": last, "null_ids": len(writer.counts) - len(named)}
+            yield pa.RecordBatch.from_pylist([row], pa.schema([(c, {"int": pa.int32(), "string": pa.string(), "long": pa.int64()}[t]) for c, t in map(str.split, MANIFEST.split(", "))]))
 
-    files = common.materialise(spark, common.map_arrow(in_order(docs, "text"), write, MANIFEST), "token-manifest")
+    files = common.materialise(spark, common.map_arrow(encoded(docs, tokenizer, end_id), write, MANIFEST), "token-manifest")
     before = W.orderBy("part").rowsBetween(W.unboundedPreceding, -1)  # one short row a file
     return files.withColumn("start", F.coalesce(F.sum("n_tokens").over(before), F.lit(0)))
 
@@ -197,9 +239,10 @@ def read_store(manifest: DataFrame) -> DataFrame:
 
 
 def read_documents(manifest: DataFrame, doc_ids: list[int]) -> dict[int, list[np.ndarray]]:
-    """The ids of a few documents, decompressing only their frames (on the caller's machine)."""
+    """The ids of a few documents (on the caller's machine): only files whose ids span one of them are opened, only their frames decompressed."""
     out: dict[int, list[np.ndarray]] = {}
-    for row in manifest.select("uri").collect():
+    asked = F.array(*[F.lit(int(x)).cast("long") for x in doc_ids])
+    for row in manifest.where(F.exists(asked, lambda x: x.between(F.col("first_id"), F.col("last_id")))).select("uri").collect():
         with opened(row.uri) as source:
             store = StoreReader(source)
             for n in np.flatnonzero(np.isin(store.doc_ids, doc_ids) & ~store.nulls):

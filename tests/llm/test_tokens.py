@@ -45,7 +45,7 @@ def test_cache_starts_afresh_when_full(monkeypatch):
     assert ids_of(e.encode(text)).tolist() == plain(NAMES[0], text) and len(e) <= 7
 
 
-@pytest.mark.parametrize("frame", [1 << 18, 7])
+@pytest.mark.parametrize("frame", [1 << 14, 7])
 def test_store_round_trip(spark, docs, frame):
     rows = edge_texts()
     manifest = token_store.write_store(docs(rows), NAMES[0], 2, frame)
@@ -59,6 +59,23 @@ def test_store_round_trip(spark, docs, frame):
         at += len(own)
     found = token_store.read_documents(manifest, [12, 7])
     assert [x.tolist() for x in found[12]] == [ids[12]] * 2 and found[7][0].tolist() == ids[7]
+    assert token_store.read_documents(manifest, []) == {} and token_store.read_documents(manifest, [-77]) == {}
+
+
+def test_ranges_are_even_whole_and_in_order(spark, docs):
+    rows = [(i if i % 10 else None, "some words " * (i % 7)) for i in range(600)] + [(5, "one id, one text")] * 300 + [(6, f"one id, text {i}") for i in range(300)]
+    keys = docs(rows).select("doc_id", token_store.F.xxhash64("text").alias("tie"), "text")
+    begins = token_store.ranges(keys, 2_000)
+    assert begins == sorted(set(begins)) and 10 <= len(begins) <= 40 and any(b[:2] == (True, 6) for b in begins)
+    parts = token_store.encoded(docs(rows), NAMES[0], 2, 2_000).withColumn("part", token_store.F.spark_partition_id()).collect()
+    assert len({r.part for r in parts}) > 10
+    order = [(r.part, r.doc_id is not None, r.doc_id or 0) for r in parts]
+    assert order == sorted(order) and [k[1:] for k in order] == sorted(k[1:] for k in order) and len(order) == len(rows)
+    few = token_store.ranges(keys, 2_000, sample=100)
+    assert 1 <= len(few) <= 15
+    assert token_store.ranges(keys.limit(0), 2_000) == []
+    files = token_store.write_store(docs(rows), NAMES[0], 2).collect()
+    assert sum(f.n_docs for f in files) == len(rows) and sum(f.null_ids for f in files) == 60
 
 
 def test_only_the_frames_asked_for_are_read_and_damage_is_noticed(tmp_path):
@@ -76,14 +93,15 @@ def test_only_the_frames_asked_for_are_read_and_damage_is_noticed(tmp_path):
         asked = []
         whole = r.frame
         r.frame = lambda k: asked.append(k) or whole(k)
-        assert r.ids(3).tolist() == docs[3].tolist() and asked == [2]
+        assert r.ids(3).tolist() == docs[3].tolist() and asked == [4]
+        assert r.ids(1).tolist() == docs[1].tolist() and asked == [4, 1, 2, 3]
         assert [r.ids(k).tolist() for k in range(4)] == [d.tolist() for d in docs]
     import zstandard
 
     assert len(zstandard.ZstdDecompressor().decompressobj(read_across_frames=True).decompress(path.read_bytes())) == 4 * 300
     spoiled = bytearray(path.read_bytes())
     spoiled[-15] ^= 1  # a checksum in the seek table... of the index frame; the first data frame's lies further ahead
-    spoiled[-9 - 12 * 4 + 8] ^= 1
+    spoiled[-9 - 12 * 6 + 8] ^= 1
     path.write_bytes(bytes(spoiled))
     with pafs.LocalFileSystem().open_input_file(str(path)) as source, pytest.raises(ValueError, match="checksum"):
         token_store.StoreReader(source).ids(0)
