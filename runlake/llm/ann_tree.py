@@ -165,14 +165,26 @@ def index(rows: DataFrame, tree: Tree) -> DataFrame:
     return common.map_arrow(rows, run, f"vec_id long, leaf int, class binary, v {_type(rows)}")
 
 
-def classes(indexed: DataFrame, k: int, salts: int = 32) -> DataFrame:
-    """(leaf, class, v, ids): one row per distinct vector with its k + 1 smallest ids; large classes are cut down in salted parts first."""
-    slim = indexed.select("vec_id", "leaf", "class").distinct()
+def classes(indexed: DataFrame, k: int, salts: int = 32, parts: int = 1_000) -> DataFrame:
+    """(leaf, class, v, ids): one row per distinct vector with its k + 1 smallest ids.
+
+    Vectors stay in place unless they have copies. Classes with over 1/``parts`` of the copied rows are broadcast (class ids only), and large
+    classes are cut down in salted parts before they are gathered."""
+    spark = indexed.sparkSession
+    counted = indexed.groupBy("class").agg(F.count("*").alias("n"), F.min("leaf").alias("leaf")).where("n > 1")
+    copied = common.materialise(spark, counted, "copied-vectors")
+    total = copied.agg(F.sum("n")).first()[0]
+    alone = indexed.select("leaf", "class", "v", F.array("vec_id").alias("ids"))
+    if not total:
+        return alone
+    hot, rest = (copied.where(c).select("class") for c in (F.col("n") * parts > total, F.col("n") * parts <= total))
+    alone = alone.join(F.broadcast(hot), "class", "left_anti").join(rest, "class", "left_anti")
+    both = common.join_skewed(indexed.drop("leaf"), copied, "class", "n", parts)
+    vectors = both.groupBy("class").agg(F.first("leaf").alias("leaf"), F.first("v").alias("v"))  # equal in all rows of a class
     first = W.partitionBy("class", "salt").orderBy("vec_id")
-    cut = slim.withColumn("salt", F.pmod(F.xxhash64("vec_id"), F.lit(salts))).withColumn("rank", F.row_number().over(first)).where(F.col("rank") <= k + 1)
-    ids = cut.groupBy("leaf", "class").agg(F.slice(F.array_sort(F.collect_list("vec_id")), 1, k + 1).alias("ids"))  # at most salts * (k + 1) each
-    one = ids.select("class", F.element_at("ids", 1).alias("vec_id"), "leaf", "ids")
-    return one.join(indexed.select("vec_id", "class", "v").dropDuplicates(["vec_id", "class"]), ["class", "vec_id"]).select("leaf", "class", "v", "ids")
+    cut = both.select("vec_id", "class").distinct().withColumn("salt", F.pmod(F.xxhash64("vec_id"), F.lit(salts))).withColumn("rank", F.row_number().over(first)).where(F.col("rank") <= k + 1)
+    ids = cut.groupBy("class").agg(F.slice(F.array_sort(F.collect_list("vec_id")), 1, k + 1).alias("ids"))  # at most salts * (k + 1) each
+    return common.materialise(spark, alone.unionByName(vectors.join(ids, "class").select("leaf", "class", "v", "ids")), "vector-classes")
 
 
 def exact(found: DataFrame, queries: list[tuple[int, bytes, np.ndarray]], k: int) -> dict[int, set[int]]:
@@ -232,7 +244,7 @@ def search(embeddings: DataFrame, is_query: F.Column | str, k: int = 5, recall:
     vectors = sampled(rows, n, sample, 3).astype(np.float32)
     tree = Tree.fit(vectors, branch, leaf)
     indexed = common.materialise(spark, index(rows, tree), "vectors")
-    found = common.materialise(spark, classes(indexed, k), "vector-classes")
+    found = classes(indexed, k)
     sizes = {r.leaf: r["count"] for r in found.groupBy("leaf").count().collect()}  # one row a leaf
     asked = indexed.where(is_query).dropDuplicates(["vec_id", "class"]).select(F.col("vec_id").alias("query_id"), F.col("class").alias("query_class"), "v")
     trial = [(r.query_id, bytes(r.query_class), np.array(r.v)) for r in asked.orderBy(F.xxhash64("query_id"), "query_class").limit(calibrate).collect()]
@@ -289,8 +301,8 @@ def search(embeddings: DataFrame, is_query: F.Column | str, k: int = 5, recall:
                     out = [(ids[q], kinds[q], x, -s) for q in range(len(own)) for s, x, _ in nearest(near[q], own[q], theirs, members, ids[q], k)]
                     yield pa.RecordBatch.from_pydict({"query_id": pa.array([r[0] for r in out], pa.int64()), "query_class": pa.array([r[1] for r in out], pa.binary()), "vec_id": pa.array([r[2] for r in out], pa.int64()), "score": pa.array([r[3] for r in out], pa.float64())})
 
-    n_parts = F.element_at(F.create_map(*[F.lit(x) for pair in sorted(parts.items()) for x in pair]), F.col("leaf"))
-    split = found.select("leaf", F.pmod(F.xxhash64("class"), n_parts).cast("int").alias("part"), F.lit(0).alias("side"), F.lit(None).cast("long").alias("query_id"), F.lit(None).cast("binary").alias("query_class"), "v", "ids")
+    n_parts = F.broadcast(spark.createDataFrame(sorted(parts.items()), "leaf int, parts int"))  # a row a leaf
+    split = found.join(n_parts, "leaf").select("leaf", F.pmod(F.xxhash64("class"), "parts").cast("int").alias("part"), F.lit(0).alias("side"), F.lit(None).cast("long").alias("query_id"), F.lit(None).cast("binary").alias("query_class"), "v", "ids")
     routed = common.map_arrow(asked, route, f"leaf int, part int, query_id long, query_class binary, v {_type(rows)}").select("leaf", "part", F.lit(1).alias("side"), "query_id", "query_class", "v", F.lit(None).cast("array<long>").alias("ids"))
     met = common.map_arrow(split.union(routed).repartition("leaf", "part").sortWithinPartitions("leaf", "part", "side"), compare, FOUND)
     best = W.partitionBy("query_id", "query_class").orderBy(F.desc("score"), "vec_id")

@@ -52,6 +52,21 @@ def test_ties_are_settled_by_id_in_any_order():
         assert [x for _, x, _ in best] == [0, 1, 2, 4, 5] and all(ids[c] == x for _, x, c in best)
 
 
+@pytest.mark.parametrize("parts", [1, 3, 1_000])
+def test_classes_of_one_and_of_many(spark, parts):
+    schema = "vec_id long, leaf int, class binary, v array<float>"
+    rows = [(i, i % 3, bytes([i]), [float(i)]) for i in range(20)]
+    rows += [(i, 1, b"copies", [0.5]) for i in range(90, 20, -1)] + [(200, 0, b"pair", [2.5]), (100, 2, b"pair", [2.5]), (7, 1, bytes([7]), [7.0])]
+    want = {bytes([i]): ([i], [float(i)]) for i in range(20)} | {b"copies": ([21, 22, 23, 24, 25, 26], [0.5]), b"pair": ([100, 200], [2.5])}
+    got = ann_tree.classes(spark.createDataFrame(rows, schema), 5, parts=parts).collect()
+    assert len(got) == len(want) and {bytes(r["class"]): (r.ids, r.v) for r in got} == want
+    assert {bytes(r["class"]): r.leaf for r in got}[b"pair"] == 0
+    alone = ann_tree.classes(spark.createDataFrame(rows[:20], schema), 5)
+    assert sorted((r.leaf, r.ids) for r in alone.collect()) == sorted((i % 3, [i]) for i in range(20))
+    assert "Exchange" not in alone._jdf.queryExecution().executedPlan().toString()
+    assert ann_tree.classes(spark.createDataFrame([], schema), 5).count() == 0
+
+
 def test_recall_on_many_vectors(spark):
     rng = np.random.default_rng(13)
     centres = rng.normal(size=(40, 16))
