@@ -19,11 +19,12 @@ from runlake.llm.preference import op10_preference
 from runlake.llm.secrets import op8_secret_scan
 from runlake.llm.simhash_anchor import op2_simhash
 from runlake.llm.token_store import op6_token_store
+from runlake.llm.toxicity import op13_toxicity
 from runlake.llm.vector_codes import op11_vector_codes
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    each = (op1_ann_tree, op2_simhash, op3_decontaminate, op4_importance, op5_linkgraph, op6_token_store, op7_langid, op8_secret_scan, op9_packing, op10_preference, op11_vector_codes, op12_ball_kmeans)
+    each = (op1_ann_tree, op2_simhash, op3_decontaminate, op4_importance, op5_linkgraph, op6_token_store, op7_langid, op8_secret_scan, op9_packing, op10_preference, op11_vector_codes, op12_ball_kmeans, op13_toxicity)
     parts = (linkgraph.url_rules, secrets.secret_counts)  # of op5 and op8: what SQL can express of them
     return {f.__name__: f for f in (*each, *parts)} | {"pipeline": corpus_pipeline.run}
 
