@@ -1,0 +1,268 @@
+"""Vector codes, ball clusters and the factorization machine against plain versions."""
+
+from __future__ import annotations
+
+import hashlib
+import math
+import os
+import zlib
+
+import duckdb
+import numpy as np
+import pytest
+
+from runlake.llm import ball_clusters, queries, toxicity, vector_codes, whole_vectors
+
+DATA = "/root/testdata/sf0.001"
+EMBEDDINGS = "vec_id long, embedding array<double>, label int, code string, error int, v string, whole int"
+
+
+def embeddings(spark, rows):
+    """From (vec_id, vector, label), with columns that clash with the operators' own."""
+    return spark.createDataFrame([(i, v, x, "c", 1, "v", 2) for i, v, x in rows], EMBEDDINGS)
+
+
+def plain_nearest(x, centres):
+    return min((sum((a - b) ** 2 for a, b in zip(x, c, strict=True)), e) for e, c in enumerate(centres))
+
+
+def plain_rounds(xs, centres, rounds):
+    """Lloyd's rounds with whole numbers of any size: final centres, and (distance, centre) of each row."""
+    for _ in range(rounds):
+        own = [plain_nearest(x, centres)[1] for x in xs]
+        for e in range(len(centres)):
+            of = [x for x, a in zip(xs, own, strict=True) if a == e]
+            if of:
+                centres = [*centres[:e], [sum(c) // len(of) for c in zip(*of, strict=True)], *centres[e + 1 :]]
+    return centres, [plain_nearest(x, centres) for x in xs]
+
+
+def plain_codes(rows, parts, entries, rounds, scale):
+    """{(vec_id, label): codes and error} in order, and the codebooks."""
+    rows = sorted(rows, key=lambda r: (r[0] is None, r[0] or 0, r[1]))
+    xs = [[math.floor(scale * x) for x in v] for _, v, _ in rows]
+    width = len(xs[0]) // parts
+    books, codes, errors = [], [""] * len(xs), [0] * len(xs)
+    for p in range(parts):
+        own = [x[p * width : (p + 1) * width] for x in xs]
+        centres, found = plain_rounds(own, own[:entries], rounds)
+        books.append(centres)
+        for k, (d, e) in enumerate(found):
+            codes[k] += f"{e:02x}"
+            errors[k] += d
+    return sorted((i is None, i or 0, c, e) for (i, _, _), c, e in zip(rows, codes, errors, strict=True)), books
+
+
+def random_vectors(rng, n, length, step):
+    """Vectors on a grid, so that distances tie often."""
+    return (np.round(rng.normal(size=(n, length)) / step) * step).tolist()
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_the_radius_loses_nothing_and_ties_go_to_the_smaller_number(seed):
+    rng = np.random.default_rng(seed)
+    x, centres = rng.integers(-3, 4, (500, 3)), rng.integers(-3, 4, (16, 3))
+    start = rng.integers(0, 16, 500)
+    own, best, computed = whole_vectors.nearest(x, centres, start, whole_vectors.neighbours(centres))
+    assert list(zip(best.tolist(), own.tolist(), strict=True)) == [plain_nearest(r, centres.tolist()) for r in x.tolist()]
+    assert computed <= 500 * 16
+    again = whole_vectors.nearest(x, centres, own, whole_vectors.neighbours(centres))
+    assert again[0].tolist() == own.tolist() and again[2] < computed  # from the right entry on the radius is smallest
+
+
+def test_largest_components_stay_exact():
+    most = whole_vectors.most_component(4)
+    x, centres = np.array([[most] * 4, [-most] * 4]), np.array([[-most] * 4, [most] * 4, [most - 1] * 4])
+    own, best, _ = whole_vectors.nearest(x, centres, np.zeros(2, np.int64), whole_vectors.neighbours(centres))
+    assert own.tolist() == [1, 0] and best.tolist() == [0, 0]
+    assert whole_vectors.square(x[:1], x[1:]).tolist() == [4 * (2 * most) ** 2]
+
+
+@pytest.mark.parametrize("parts,entries,length", [(4, 5, 8), (2, 16, 6), (3, 40, 3)])
+def test_codes_by_brute_force(spark, parts, entries, length):
+    rng = np.random.default_rng(length)
+    rows = [(int(i), v, int(i) % 3 if i % 7 else None) for i, v in zip(rng.permutation(60) - 20, random_vectors(rng, 60, length, 0.25), strict=True)]
+    rows += [rows[0], (rows[1][0], rows[2][1], 1), (None, rows[3][1], 1)]  # repeated, tied in id, without id
+    odd = [(90, None, 1), (91, [], 1), (92, [0.1] * (length + parts), 1), (93, [float("nan")] * length, 1), (94, [float("-inf")] * length, 1), (95, [1e30] * length, 1), (96, [None, *[0.1] * (length - 1)], 1)]
+    table = embeddings(spark, rows + odd).repartition(3)
+    coded, books = vector_codes.compress(table, parts, entries, rounds=4, scale=64, keep=("label",))
+    want, plain = plain_codes(rows, parts, entries, 4, 64)
+    told = coded.collect()
+    assert sorted((r.vec_id is None, r.vec_id or 0, r.code.hex(), r.error) for r in told) == want
+    assert books.entries.tolist() == plain
+    assert books.sha256() == hashlib.sha256(",".join(str(x) for p in plain for e in p for x in e).encode()).hexdigest()
+    n, k = len(rows), len(plain[0])
+    assert len(books.compared) == 5 and books.compared[-1] <= n * parts * k
+    assert k < 16 or books.compared[-1] < n * parts * k * 0.8  # the radius spares comparisons
+    sums = {}
+    for r in told:
+        sums[r.label] = sums.get(r.label, 0) + r.error
+    assert all(r.label_error == sums[r.label] for r in vector_codes.errors_by(coded, "label", "label_error").collect())
+    near = books.decode(told[0].code)
+    assert len(near) == length and len(coded.columns) == 4
+
+
+def test_codes_of_nothing(spark):
+    for rows in ([], [(1, None, 1)], [(1, [float("nan")] * 8, 1)], [(1, [0.5] * 9, 1)]):
+        coded, books = vector_codes.compress(embeddings(spark, rows))
+        assert books is None and coded.collect() == []
+    assert [r.code.hex() for r in vector_codes.compress(embeddings(spark, [(1, [0.5] * 8, 1)] * 3))[0].collect()] == ["00" * 8] * 3
+
+
+def plain_clusters(rows, clusters, rounds, scale):
+    rows = sorted(rows, key=lambda r: (r[0] is None, hashlib.sha256(f"3:{r[0]}".encode()).hexdigest(), r[1]))
+    xs = [[math.floor(scale * x) for x in v] for _, v, _ in rows]
+    centres, found = plain_rounds(xs, xs[:clusters], rounds)
+    return sorted((i is None, i or 0, e, d) for (i, _, _), (d, e) in zip(rows, found, strict=True)), centres
+
+
+@pytest.mark.parametrize("step", [0.125, 1.0])
+def test_clusters_by_brute_force(spark, step):
+    rng = np.random.default_rng(4)
+    spots = rng.normal(size=(5, 6)) * 4
+    rows = [(k, (np.round((spots[k % 5] + rng.normal(size=6)) / step) * step).tolist(), None) for k in range(150)]
+    rows += [rows[0], (rows[1][0], rows[2][1], 1), (None, rows[3][1], 1)]
+    odd = [(200, None, 1), (201, [1.0] * 5, 1), (202, [float("inf")] * 6, 1), (203, [1e300] * 6, 1), (204, [None] * 6, 1)]
+    found, balls = ball_clusters.cluster(embeddings(spark, rows + odd).repartition(3), clusters=8, rounds=6, scale=16, length=6)
+    want, centres = plain_clusters(rows, 8, 6, 16)
+    assert sorted((r.vec_id is None, r.vec_id or 0, r.cluster, r.distance) for r in found.collect()) == want
+    assert balls.centres.tolist() == centres
+    assert balls.inertia == [sum(d for _, _, e, d in want if e == c) for c in range(8)]
+    assert balls.compared[0] == len(rows) * 8 or balls.compared[0] < len(rows) * 8
+    assert balls.compared[-1] < len(rows) * 8 * 0.6  # stable cores and annuli spare comparisons
+
+
+def test_balls_hold_their_members_after_a_move():
+    rng = np.random.default_rng(9)
+    x, before = rng.integers(-50, 50, (400, 4)), None
+    balls = ball_clusters.Balls(x[:6].copy())
+    for _ in range(6):
+        step = balls.assigner()(x, before)
+        assert [tuple(r) for r in np.stack([step.errors, step.codes[:, 0]], axis=1).tolist()] == [plain_nearest(r, balls.centres.tolist()) for r in x.tolist()]
+        balls.told(step.sums)
+        balls, before = balls.moved(step.sums, step.most), step.codes.astype(np.uint8)
+        assert all(d <= balls.within[c] for d, c in zip(whole_vectors.square(x, balls.centres[step.codes[:, 0]]).tolist(), step.codes[:, 0].tolist(), strict=True))
+
+
+def test_clusters_of_copies_and_of_nothing(spark):
+    same = [(k, [0.5] * 64, 1) for k in range(40)]
+    found, balls = ball_clusters.cluster(embeddings(spark, same))
+    assert {(r.cluster, r.distance) for r in found.collect()} == {(0, 0)} and sum(balls.inertia) == 0 and len(balls.centres) == 8
+    for rows in ([], [(1, [0.5] * 63, 1)]):
+        assert ball_clusters.cluster(embeddings(spark, rows))[0].collect() == []
+    assert len(ball_clusters.cluster(embeddings(spark, same[:3]))[1].centres) == 3
+
+
+@pytest.mark.skipif(not os.path.isdir(DATA), reason="no driver tables here")
+@pytest.mark.parametrize("name", ["op11_vector_codes", "op12_ball_kmeans"])
+def test_against_sql(spark, name, tmp_path):
+    con = duckdb.connect()
+    given = spark.read.parquet(f"{DATA}/embeddings.parquet")
+    more = spark.createDataFrame([(900_001, None, 1), (900_002, [0.1, None], None), (None, [0.25] * 64, None), (7, [float("nan")] * 64, 2)], given.schema)
+    given.unionByName(more).write.parquet(f"{tmp_path}/embeddings.parquet")
+    con.execute(f"create view embeddings as select * from '{tmp_path}/embeddings.parquet/*.parquet'")
+    want = con.execute(queries.oracle_sql()[name])
+    columns = [c[0] for c in want.description]
+    got = queries.queries()[name](spark, str(tmp_path))
+    assert sorted(got.columns) == sorted(columns)
+    assert sorted(repr(tuple(r)) for r in got.select(*columns).collect()) == sorted(map(repr, want.fetchall()))
+
+
+def test_gradient_by_differences():
+    rng = np.random.default_rng(2)
+    each = [set(rng.choice(12, rng.integers(0, 7), replace=False).tolist()) for _ in range(40)]
+    at, ends = toxicity.csr(each)
+    toxic = rng.integers(0, 2, 40).astype(float)
+    machine = toxicity.Machine.start(np.arange(12), np.ones(12), 10, 40, 3, 1)
+    machine.weights, machine.factors = rng.normal(size=12), rng.normal(size=(12, 3)) / 2  # no logit is clipped
+
+    def logit(own):
+        own = sorted(own)
+        return machine.bias + sum(machine.weights[i] for i in own) + sum(machine.factors[i] @ machine.factors[j] for a, i in enumerate(own) for j in own[a + 1 :])
+
+    assert np.allclose(machine.logits(at, ends)[0], [logit(own) for own in each])
+    sums = machine.gradient(at, ends, toxic)
+    table, h = sums[3:].reshape(4, 3, 12), 1e-5
+
+    def loss(array, index, by):
+        array[index] += by
+        out = machine.gradient(at, ends, toxic)[0]
+        array[index] -= by
+        return out
+
+    for i in range(12):
+        assert math.isclose(table[0, 0, i], -(loss(machine.weights, i, h) - loss(machine.weights, i, -h)) / (2 * h), rel_tol=1e-4, abs_tol=1e-5)
+        for f in range(3):
+            assert math.isclose(table[1 + f, 0, i], -(loss(machine.factors, (i, f), h) - loss(machine.factors, (i, f), -h)) / (2 * h), rel_tol=1e-4, abs_tol=1e-5)
+
+
+def letters(k):
+    """A word of its own for each number, whose beginnings are its own too."""
+    return "".join(chr(97 + k // 26**p % 26) for p in range(3))
+
+
+def paired(n, seed):
+    """Texts that are toxic if both or neither of two kinds of term occur, so that no term tells alone."""
+    rng = np.random.default_rng(seed)
+    out = []
+    for k in range(n):
+        a, b = rng.integers(0, 2, 2)
+        words = ["you" if a else "we", "lot" if b else "few", *(letters(int(x)) for x in rng.choice(60, 6, replace=False) + 1000)]
+        out.append((k, " ".join(rng.permutation(words)), int(a == b)))
+    return out
+
+
+def test_pairs_tell_what_weights_miss(spark, docs):
+    rows = paired(700, 3)
+    table, labels = docs([(i, t) for i, t, _ in rows]), spark.createDataFrame([(i, 1, x) for i, _, x in rows], "doc_id long, quality int, toxic int")
+    held = {i: x for i, _, x in rows if zlib.crc32(str(i).encode()) % 5 == 0}
+    share = {}
+    for rank in (0, 8):
+        machine = toxicity.fit(table, labels, rank=rank, far=-9.0, rounds=40)
+        told = {r.doc_id: r for r in toxicity.score(table, machine).collect()}
+        assert all(told[i].held_out == (i in held) for i in told)
+        share[rank] = sum(told[i].predicted == x for i, x in held.items()) / len(held)
+    assert share[0] < 0.7 and share[8] > 0.95
+
+
+def test_scores_and_cases(spark, docs):
+    insult = ["numpty one here", "a numptyish day", "NUMPTY!! you numpty", "numpty"]
+    rows = [(k, insult[k % 4] if k % 3 == 0 else f"plain {letters(k % 40)} day") for k in range(300)]
+    extra = [(None, "numpty"), (1000, None), (1001, ""), (1002, "word " * 300_000 + "numpty"), (1003, "word " * 300_000), (1003, "numpty numpty"), (1004, "퟿ 123 !!")]
+    labels = [(k, 1, int(k % 3 == 0)) for k in range(300)] + [(0, 0, 0), (5, 1, None), (None, 1, 1), (77_777, 1, 1)]  # repeated, null, without a document
+    labels = spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    table = docs(rows + extra)
+    machine = toxicity.fit(table, labels)
+    told = toxicity.score(table, machine).collect()
+    assert len(told) == len(rows) + len(extra) and all(0 <= r.score <= 1 and r.predicted == int(r.score >= 0.5) for r in told)
+    by_id = {}
+    for r in told:
+        by_id.setdefault(r.doc_id, []).append(r)
+    assert all(by_id[k][0].predicted == int(k % 3 == 0) for k in range(300))
+    assert by_id[None][0].predicted == 1 and not by_id[None][0].held_out
+    assert by_id[1000][0].score == by_id[1001][0].score == by_id[1004][0].score < 0.5
+    assert by_id[1002][0].predicted == 1 and sorted(r.predicted for r in by_id[1003]) == [0, 1]
+    known = toxicity.Terms({int(h): k for k, h in enumerate(machine.hashes)})
+    for i, text in rows[:20]:
+        own = sorted(known.of(text))
+        pairs = sum(float(machine.factors[a] @ machine.factors[b]) for n, a in enumerate(own) for b in own[n + 1 :])
+        assert math.isclose(by_id[i][0].score, 1 / (1 + math.exp(-(machine.bias + machine.weights[own].sum() + pairs))), abs_tol=2e-6)
+    again = sorted((r.doc_id or -1, r.score) for r in toxicity.score(table.repartition(5), toxicity.fit(table.repartition(5), labels)).collect())
+    assert again == sorted((r.doc_id or -1, r.score) for r in told)  # doesn't depend on how rows are dealt
+
+
+def test_nothing_to_learn_from(spark, docs):
+    none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
+    table = docs([(1, "a"), (2, None)])
+    assert {(r.score, r.predicted) for r in toxicity.score(table, toxicity.fit(table, none)).collect()} == {(0.0, 0)}
+    alike = spark.createDataFrame([(k, 1, 1) for k in range(1, 3)], none.schema)
+    assert toxicity.fit(table, alike) == 1.0
+    assert toxicity.score(docs([]), toxicity.fit(docs([]), alike)).collect() == []
+
+
+def test_labels_beyond_the_bound_are_sampled(spark, docs):
+    rows = [(k, "numpty" if k % 2 else "day") for k in range(2000)]
+    labels = spark.createDataFrame([(k, 1, k % 2) for k in range(2000)], "doc_id long, quality int, toxic int")
+    assert 300 < toxicity.labelled(docs(rows), labels, 400).count() < 500
+    machine = toxicity.fit(docs(rows), labels, most_labelled=400)
+    assert all(r.predicted == r.doc_id % 2 for r in toxicity.score(docs(rows), machine).collect())
