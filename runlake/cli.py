@@ -24,12 +24,14 @@ def parser() -> argparse.ArgumentParser:
     ingest.add_argument("--raw_base_dir", help="else from the settings")
     tabulate = commands.add_parser("tabulate", help="raw runs to T1")
     tabulate.add_argument("--rebuild", action="store_true", help="all successful runs again, not just the next")
+    tabulate.add_argument("--catch_up", action="store_true", help="all runs that are due, not just the next")
     tabulate.add_argument("--fetched_k_index_relative_dir")
     tabulate.add_argument("--T1_relative_dir")
     tabulate.add_argument("--manifest_file_name")
     consolidate = commands.add_parser("consolidate", help="T1 to T2")
     consolidate.add_argument("--T1_relative_dir")
     consolidate.add_argument("--T2_relative_dir")
+    consolidate.add_argument("--states_relative_dir", help="keep states of keys here and merge only new runs into them")
     for p in (ingest, tabulate, consolidate):
         p.add_argument("--config_path", required=True)
     return top
@@ -51,10 +53,11 @@ def main(argv: list[str] | None = None) -> None:
         if args.command == "ingest":
             out = ingest_run(spark, own, args.location, open_bound(args.start), open_bound(args.end), args.raw_base_dir)
         elif args.command == "tabulate":
-            step: Callable = pipeline.rebuild if args.rebuild else pipeline.increment
+            step: Callable = pipeline.rebuild if args.rebuild else pipeline.catch_up if args.catch_up else pipeline.increment
             out = step(spark, raw, t1, args.manifest_file_name or fetched.get("manifest_file_name", MANIFEST_NAME))
         else:
-            out = pipeline.transform(spark, t1, args.T2_relative_dir or moved.get("T2_output_dir"))
+            t2, states = args.T2_relative_dir or moved.get("T2_output_dir"), args.states_relative_dir or moved.get("states_dir")
+            out = pipeline.transform_new(spark, t1, states, t2) if states else pipeline.transform(spark, t1, t2)
         log.info("%s: %s", args.command, out)
 
     logged(args.command, body, args.log_dir)

@@ -30,10 +30,31 @@ def build_t2_by_join(t1: DataFrame) -> DataFrame:
     return values.join(keys, on).select(values["location"], values["valid_time"], "kindex", "flag").distinct()
 
 
-def consolidated(t1: DataFrame, most_in_window: int = 1_000_000) -> DataFrame:
-    """T2 in the form that fits: the window, unless one key has over ``most_in_window`` rows, which the join form sums before the shuffle."""
-    largest = t1.where("valid_time is not null and location is not null").groupBy(*KEY).count().agg(F.max("count")).first()[0]
-    return build_t2(t1) if (largest or 0) <= most_in_window else build_t2_by_join(t1)
+def states(t1: DataFrame) -> DataFrame:
+    """What T2 needs to know of each key, mergeable: (location, valid_time, latest, values, low, high).
+
+    ``values`` are the distinct values of the latest run, null among them; low and high are the smallest and largest value of any run.
+    Two aggregates, per key and run and then per key, both summed before their shuffle: a key with most of the rows shrinks to a row a run and task."""
+    rows = t1.where("valid_time is not null and location is not null").select(*KEY, "kindex", "run_id")
+    seen = rows.groupBy(*KEY, "run_id").agg(F.collect_set("kindex").alias("seen"), F.max(F.col("kindex").isNull()).alias("none"), F.min("kindex").alias("low"), F.max("kindex").alias("high"))
+    values = F.when(F.col("none"), F.array_append("seen", F.lit(None).cast("int"))).otherwise(F.col("seen"))
+    return merged(seen.select(*KEY, F.col("run_id").alias("latest"), F.array_sort(values).alias("values"), "low", "high"))
+
+
+def merged(some: DataFrame) -> DataFrame:
+    """States of different runs, in any order and number, to one for each key. Those without a run id count for the flag only."""
+    return some.groupBy(*KEY).agg(F.max("latest").alias("latest"), F.max_by("values", "latest").alias("values"), F.min("low").alias("low"), F.max("high").alias("high"))
+
+
+def told(some: DataFrame) -> DataFrame:
+    """T2's rows from states of keys; no shuffle."""
+    flag = F.coalesce(F.col("low") != F.col("high"), F.lit(False)).alias("flag")
+    return some.where("latest is not null").select(*KEY, F.explode("values").alias("kindex"), flag)
+
+
+def consolidated(t1: DataFrame) -> DataFrame:
+    """T2 by one mergeable aggregate: one scan, no window, no join, and no form to choose by the data."""
+    return told(states(t1))
 
 
 def latest_runs(t1: DataFrame) -> DataFrame:

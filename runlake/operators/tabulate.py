@@ -26,6 +26,14 @@ def build_t1(runs: DataFrame, obs: DataFrame, status: str = SUCCESS, n_runs: int
     return obs.join(F.broadcast(good), "run_id").select(*columns).union(sentinels)
 
 
+def observed(runs: DataFrame, obs: DataFrame, status: str = SUCCESS, n_runs: int | None = None) -> DataFrame:
+    """T1's rows but for the sentinels, from one scan of ``obs``: who writes them adds a row for each run that turns out to have none."""
+    good = runs.where(F.col("status") == status).select("run_id", "location")
+    if n_runs is not None and n_runs <= MOST_BROADCAST_RUNS:
+        good = F.broadcast(good)
+    return obs.join(good, "run_id").select("location", "valid_time", "analysis_time", "kindex", "run_id")
+
+
 def inner_runs(runs: DataFrame, obs: DataFrame) -> DataFrame:
     """Only runs that have observations."""
     return obs.join(runs.select("run_id", "location"), "run_id")

@@ -88,8 +88,21 @@ def chunks(config: dict[str, Any], location: str, start: Any = None, end: Any =
             sleep(settings(config)["sleep_seconds"])
 
 
+@dataclass
+class ChunkPartition(InputPartition):
+    """One request; ``number`` is its place in the range, ``bounded`` whether it has a pause to keep."""
+
+    number: int
+    start: datetime | None
+    end: datetime | None
+    bounded: bool
+
+
 class FeedSource(DataSource):
-    """``spark.read.format("observation_feed")``: options location, start, end, config (JSON). One partition, since the feed limits its rate."""
+    """``spark.read.format("observation_feed")``: options location, start, end, config (JSON), tries. One partition a chunk.
+
+    The feed limits its rate, not who asks: chunk k isn't asked for before k pauses have passed since the plan was made, so requests stay
+    a pause apart however many tasks run. A chunk that fails is asked for again by its own task, ``tries`` times in all (3), a pause apart."""
 
     transport: Transport = staticmethod(over_http)
 
@@ -105,14 +118,27 @@ class FeedSource(DataSource):
 
 
 class FeedReader(DataSourceReader):
-    def __init__(self, options: dict[str, str], transport: Transport) -> None:
-        self.options, self.transport = dict(options), transport
+    def __init__(self, options: dict[str, str], transport: Transport, clock: Callable[[], float] = time.time, sleep: Callable[[float], None] = time.sleep) -> None:
+        self.options, self.transport, self.clock, self.sleep = dict(options), transport, clock, sleep
+        self.began = clock()
 
     def partitions(self) -> list[InputPartition]:
-        return [InputPartition(0)]
-
-    def read(self, partition: InputPartition) -> Iterator[tuple]:
-        config = json.loads(self.options["config"])
-        for chunk in chunks(config, self.options["location"], self.options.get("start"), self.options.get("end"), self.transport):
-            for row in chunk.rows:
-                yield (self.options["location"], *(None if row.get(k) is None else str(row[k]) for k in ("valid_time", "analysis_time", "index")))
+        parts = plan(json.loads(self.options["config"]), self.options.get("start"), self.options.get("end"))
+        return [ChunkPartition(k, low, high, low is not None and high is not None) for k, (low, high) in enumerate(parts)]
+
+    def read(self, partition: ChunkPartition) -> Iterator[tuple]:
+        config, location, tries = json.loads(self.options["config"]), self.options["location"], int(self.options.get("tries", 3))
+        pause = settings(config)["sleep_seconds"] if partition.bounded else 0
+        wait = self.began + partition.number * pause - self.clock()
+        if wait > 0:
+            self.sleep(wait)
+        for left in reversed(range(tries)):
+            try:
+                rows = post(config, location, partition.start, partition.end, self.transport)
+                break
+            except RuntimeError:
+                if not left:
+                    raise
+                self.sleep(pause)
+        for row in rows:
+            yield (location, *(None if row.get(k) is None else str(row[k]) for k in ("valid_time", "analysis_time", "index")))

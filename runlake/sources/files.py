@@ -36,11 +36,13 @@ class Files:
 
     def move(self, source: str, target: str) -> None:
         """Replaces a file; never nests a folder in an existing one."""
-        to = self.path(target)
+        self._rename(source, target, "OVERWRITE")
+
+    def _rename(self, source: str, target: str, how: str) -> None:
         options = self.gateway.new_array(self.jvm.org.apache.hadoop.fs.Options.Rename, 1)
-        options[0] = self.jvm.org.apache.hadoop.fs.Options.Rename.OVERWRITE
+        options[0] = getattr(self.jvm.org.apache.hadoop.fs.Options.Rename, how)
         qualified = self.system(source).makeQualified(self.path(source))
-        self.jvm.org.apache.hadoop.fs.FileContext.getFileContext(qualified.toUri(), self.conf).rename(qualified, self.system(target).makeQualified(to), options)
+        self.jvm.org.apache.hadoop.fs.FileContext.getFileContext(qualified.toUri(), self.conf).rename(qualified, self.system(target).makeQualified(self.path(target)), options)
 
     def walk(self, uri: str) -> list[str]:
         """All files below, sorted."""
@@ -74,5 +76,23 @@ class Files:
             stream.close()
         self.move(beside, uri)
 
+    def create(self, uri: str, text: str) -> bool:
+        """A new file, whole or not at all; False if there is one already."""
+        beside = f"{uri}.{uuid.uuid4().hex}.tmp"
+        stream = self.system(uri).create(self.path(beside), True)
+        try:
+            stream.write(text.encode())
+        finally:
+            stream.close()
+        try:
+            self._rename(beside, uri, "NONE")
+            return True
+        except Exception:
+            if not self.exists(uri):
+                raise
+            return False
+        finally:
+            self.delete(beside)
+
     def write_json(self, uri: str, value: dict[str, Any]) -> None:
         self.write(uri, json.dumps(value, indent=2, sort_keys=True))

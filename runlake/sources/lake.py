@@ -3,14 +3,17 @@
 from __future__ import annotations
 
 import fnmatch
+from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from runlake import schemas
 from runlake.functions.columns import run_id_of, whole_number
+from runlake.sources import publish
 from runlake.sources.files import Files
-from runlake.sources.manifest import Run
+from runlake.sources.ledger import Ledger, State
+from runlake.sources.manifest import READERS, Run
 
 CHUNKS = "*.jsonl"
 
@@ -31,7 +34,9 @@ def observations(spark: SparkSession, runs: list[Run], pattern: str = CHUNKS) ->
     values that can't be cast fail.
     """
     files = Files(spark)
-    folders = [r.folder for r in runs if any(not folder and size and fnmatch.fnmatch(name, pattern) for name, folder, size in files.names(r.folder))]
+    with ThreadPoolExecutor(READERS) as readers:
+        listed = list(readers.map(files.names, [r.folder for r in runs]))
+    folders = [r.folder for r, names in zip(runs, listed, strict=True) if any(not folder and size and fnmatch.fnmatch(name, pattern) for name, folder, size in names)]
     if not folders:
         return empty_observations(spark)
     raw = spark.read.schema(schemas.RAW).option("mode", "FAILFAST").option("pathGlobFilter", pattern).json(folders)
@@ -44,8 +49,16 @@ def observations(spark: SparkSession, runs: list[Run], pattern: str = CHUNKS) ->
 
 
 def has_table(spark: SparkSession, path: str) -> bool:
-    """A folder without Parquet files is no table."""
-    return any(p.endswith(".parquet") for p in Files(spark).walk(path))
+    """A folder without Parquet files is no table; what lies in folders that begin with ``_`` is none of it."""
+    files, todo = Files(spark), [path.rstrip("/")]
+    while todo:
+        at = todo.pop()
+        for name, folder, _ in files.names(at):
+            if not folder and name.endswith(".parquet"):
+                return True
+            if folder and not name.startswith("_"):
+                todo.append(f"{at}/{name}")
+    return False
 
 
 def read_t1(spark: SparkSession, path: str) -> DataFrame:
@@ -58,9 +71,11 @@ def read_t2(spark: SparkSession, path: str) -> DataFrame:
 
 
 def processed_run_ids(spark: SparkSession, path: str) -> set[str]:
-    """The runs in T1, from its folders' names: no data is read."""
+    """The runs in T1: those that its ledger has and whose folder is there. One listing, a few small reads, no data. A table without a ledger goes by its folders."""
     names = [name for name, folder, _ in Files(spark).names(path) if folder and name.startswith("run_id=")]
-    return {spark.sparkContext._jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils.unescapePathName(n.partition("=")[2]) for n in names if has_table(spark, f"{path}/{n}")}
+    state = Ledger(spark, path).state() if names else State()
+    done = [n for n in names if n in state.values] if state.version else [n for n in names if has_table(spark, f"{path}/{n}")]
+    return {publish.unescaped(spark, n.partition("=")[2]) for n in done}
 
 
 def markers(spark: SparkSession, raw: str) -> DataFrame:

@@ -71,21 +71,33 @@ def parsed(path: str, text: str, strict: bool = False, keys: Keys = KEYS) -> Run
     return Run(run_id, value[keys.location], value[keys.status], path.rpartition("/")[0])
 
 
+def run_folders(files: Files, raw: str) -> list[str]:
+    """The run folders below ``raw``, at any depth, but none within another: a listing for each folder above them."""
+    found, todo = [], [raw.rstrip("/")]
+    while todo:
+        at = todo.pop()
+        for name, folder, _ in files.names(at):
+            if folder:
+                (found if name.startswith("run_id=") else todo).append(f"{at}/{name}")
+    return sorted(found)
+
+
 def runs(spark: SparkSession, raw: str, name: str = MANIFEST_NAME, strict: bool = False, keys: Keys = KEYS, done: Collection[str] = ()) -> list[Run]:
     """The runs below ``raw`` that aren't ``done``, oldest first. Each one's manifest is read and checked, whatever its status.
 
-    A run that is done was checked when it was taken over, so a lake that grows run by run is read once, not once for each run."""
+    A run that is done was checked when it was taken over: of it only the folder's name is read. A manifest lies directly in its run's
+    folder; a folder without one is no run yet."""
     files = Files(spark)
-    paths = [p for p in files.walk(raw) if p.rpartition("/")[2] == name]
-    seen: set[str] = set()
-    for run_id in map(run_in, paths):
-        if run_id in seen:
-            raise LakeError(f"{run_id} is there twice")
-        seen.add(run_id)
-    due = [p for p in paths if run_in(p) not in done]
+    folders: dict[str, list[str]] = {}
+    for folder in run_folders(files, raw):
+        folders.setdefault(run_in(f"{folder}/"), []).append(folder)
+    read = [f"{folder}/{name}" for run_id, own in folders.items() if run_id not in done or len(own) > 1 for folder in own]
     with ThreadPoolExecutor(READERS) as readers:
-        texts = list(readers.map(files.read, due))
-    return sorted((parsed(p, text, strict, keys) for p, text in zip(due, texts, strict=True)), key=lambda r: r.run_id)
+        texts = {p: text for p, text in zip(read, readers.map(lambda p: files.read(p) if files.exists(p) else None, read), strict=True) if text is not None}
+    for run_id, own in folders.items():
+        if sum(f"{folder}/{name}" in texts for folder in own) > 1:
+            raise LakeError(f"{run_id} is there twice")
+    return sorted((parsed(p, text, strict, keys) for p, text in texts.items() if run_in(p) not in done), key=lambda r: r.run_id)
 
 
 def successful(every: list[Run], status: str = SUCCESS) -> list[Run]:

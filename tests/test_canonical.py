@@ -63,10 +63,31 @@ def test_sentinels_of_both_plans(spark):
     assert tabulate.oldest(tabulate.unprocessed(runs.where("run_id = '1'"), obs)).first().run_id == ""
 
 
-@pytest.mark.parametrize("most", [2, 3])
-def test_a_hot_key_takes_the_join_form(spark, most):
+def test_a_hot_key_is_summed_before_each_shuffle(spark):
     rows = [("A", datetime(2024, 1, 1), k, f"2024010{k}T000000Z") for k in (1, 2, 3)] + [("B", datetime(2024, 1, 1), 7, "20240101T000000Z"), (None, None, 1, None)]
-    out = canonical.consolidated(table(spark, rows), most)
+    out = canonical.consolidated(table(spark, rows))
     assert told(out) == [("A", datetime(2024, 1, 1), 3, True), ("B", datetime(2024, 1, 1), 7, False)]
-    assert ("Join" in out._jdf.queryExecution().optimizedPlan().toString()) == (most == 2)
-    assert told(canonical.consolidated(table(spark, []), most)) == []
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and "Window" not in plan
+    assert told(canonical.consolidated(table(spark, []))) == []
+    hot = spark.range(200_000, numPartitions=8).selectExpr("if(id % 3 = 0, 'hot', cast(id % 1000 as string)) location", "timestamp_ntz '2024-01-01 00:00:00' valid_time", "timestamp_ntz '2024-01-01 00:00:00' analysis_time", "cast(id % 7 as int) kindex", "cast(id % 5 as string) run_id")
+    want = told(canonical.build_t2(hot))
+    assert told(canonical.consolidated(hot)) == want and len(want) > 1000
+    assert canonical.states(hot).where("location = 'hot'").count() == 1
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_states_merge_in_any_order(spark, seed):
+    rng = random.Random(seed)
+    maybe = lambda x: None if rng.random() < 0.15 else x
+    rows = [(maybe(rng.choice("AB")), maybe(datetime(2024, 1, 1, rng.randrange(3))), maybe(rng.randrange(3)), maybe(str(rng.randrange(1, 6)))) for _ in range(80)]
+    want = told(canonical.build_t2(table(spark, rows)))
+    assert told(canonical.consolidated(table(spark, rows))) == want
+    runs = sorted({r[3] for r in rows}, key=str)
+    rng.shuffle(runs)
+    held = None
+    for run in runs:
+        own = canonical.states(table(spark, [r for r in rows if r[3] == run]))
+        held = own if held is None else canonical.merged(held.unionByName(own))
+    assert told(canonical.told(held)) == want
+

@@ -86,10 +86,47 @@ def test_chunks_are_fetched_one_at_a_time():
     assert len(seen) == 1
 
 
-def test_data_source_reads_the_same_rows():
-    reader = feed.FeedReader({"config": json.dumps(with_(sleep_seconds=0)), "location": "x", "start": "2024-01-01 00:00:00", "end": "2024-01-03 00:00:00"}, answering()[0])
+def reader_of(config, transport, start="2024-01-01 00:00:00", end="2024-01-05 00:00:00", **more):
+    return feed.FeedReader({"config": json.dumps(config), "location": "x", "start": start, "end": end} | more, transport, lambda: 100.0, more_sleep.append)
+
+
+more_sleep: list[float] = []
+
+
+def test_data_source_reads_the_same_rows_chunk_by_chunk():
+    more_sleep.clear()
+    transport, seen = answering()
+    reader = reader_of(CONFIG, transport)
+    parts = reader.partitions()
+    rows = [row for p in parts for row in reader.read(p)]
+    assert len(parts) == len(seen) == 4 and rows == [("x", "2024-01-01 00:00:00", "2024-01-01 03:00:00", "3")] * 4
+    want = [c for c in feed.chunks(with_(sleep_seconds=0), "x", "2024-01-01 00:00:00", "2024-01-05 00:00:00", transport)]
+    assert [(p.start, p.end) for p in parts] == [(c.start, c.end) for c in want]
+    assert [b["options"] for _, b, _ in seen[:4]] == [b["options"] for _, b, _ in seen[4:]]
+    assert more_sleep == [0.5, 1.0, 1.5]  # each chunk waits for its turn, whoever reads it
+
+
+def test_a_failing_chunk_alone_is_asked_for_again():
+    asked = []
+
+    def transport(url, body, timeout):
+        asked.append(body["options"]["start"])
+        return (503, "busy") if asked.count("2024-01-02 00:00:00") in (1, 2) and asked[-1].startswith("2024-01-02") else (200, '{"data": [{"index": 1}]}')
+
+    reader = reader_of(with_(sleep_seconds=0), transport)
+    assert [row for p in reader.partitions() for row in reader.read(p)] == [("x", None, None, "1")] * 4
+    assert asked.count("2024-01-02 00:00:00") == 3 and len(asked) == 6
+    asked.clear()
+    reader = reader_of(with_(sleep_seconds=0), transport, tries="2")
+    with pytest.raises(RuntimeError, match="busy"):
+        list(reader.read(reader.partitions()[1]))
+
+
+def test_open_range_is_one_partition_without_pause():
+    more_sleep.clear()
+    reader = feed.FeedReader({"config": json.dumps(with_(sleep_seconds=-1)), "location": "x"}, answering()[0], sleep=more_sleep.append)
     (part,) = reader.partitions()
-    assert list(reader.read(part)) == [("x", "2024-01-01 00:00:00", "2024-01-01 03:00:00", "3")] * 2
+    assert len(list(reader.read(part))) == 1 and not more_sleep
 
 
 def test_data_source_in_spark(spark):
@@ -101,5 +138,7 @@ def test_data_source_in_spark(spark):
             return "canned_feed"
 
     spark.dataSource.register(Canned)
+    bounded = spark.read.format("canned_feed").options(config=json.dumps(with_(sleep_seconds=0)), location="x", start="2024-01-01 00:00:00", end="2024-01-08 00:00:00").load()
+    assert bounded.rdd.getNumPartitions() == 7 and bounded.count() == 14
     rows = spark.read.format("canned_feed").option("config", json.dumps(CONFIG)).option("location", "x").load().collect()
     assert [tuple(r) for r in rows] == [("x", None, None, "3"), ("x", "t", None, None)]
