@@ -9,7 +9,7 @@ from collections.abc import Callable
 from datetime import UTC, datetime, timedelta
 from zoneinfo import ZoneInfo
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 TOKEN = "%Y%m%dT%H%M%SZ"
@@ -83,6 +83,42 @@ def local_column(c: Column, zone: str = LOCAL_ZONE) -> Column:
     return F.convert_timezone(F.lit("UTC"), F.lit(zone), c)
 
 
+def zone_changes(zone: str = LOCAL_ZONE, first: int = 1970, last: int = 2100) -> list[tuple[datetime, str]]:
+    """(UTC time from which it holds, short name) of a zone's times in these years, in order; found to the second by halving days."""
+    name = lambda t: t.replace(tzinfo=UTC).astimezone(ZoneInfo(zone)).strftime("%Z")
+    at, end = datetime(first, 1, 1), datetime(last + 1, 1, 1)
+    out = [(at, name(at))]
+    while at < end:
+        after = at + timedelta(days=1)
+        if name(after) != out[-1][1]:
+            low, high = at, after
+            while high - low > timedelta(seconds=1):
+                middle = low + timedelta(seconds=int((high - low).total_seconds()) // 2)
+                low, high = (low, middle) if name(middle) != out[-1][1] else (middle, high)
+            out.append((high, name(after)))
+        at = after
+    return out
+
+
+def with_zone_name(df: DataFrame, column: str, name: str, zone: str = LOCAL_ZONE, first: int = 1970, last: int = 2100) -> DataFrame:
+    """``df`` with the short name of ``zone``'s time at a naive UTC time; null outside these years.
+
+    The zone's times are a small table with a row for each month that they touch, so the look-up is a broadcast hash join on the month
+    with the bounds as its condition."""
+    changes = zone_changes(zone, first, last)
+    ends = [*(at for at, _ in changes[1:]), datetime(last + 1, 1, 1)]
+    rows = []
+    for (low, told), high in zip(changes, ends, strict=True):
+        months = range(low.year * 12 + low.month, (high - timedelta(microseconds=1)).year * 12 + (high - timedelta(microseconds=1)).month + 1)
+        rows += [(m, low, high, told) for m in months]
+    taken = {c.lower() for c in df.columns}
+    month, low_, high_ = (next(x for x in (base + "_" * k for k in range(len(taken) + 1)) if x not in taken) for base in ("month", "low", "high"))
+    table = df.sparkSession.createDataFrame(rows, f"`{month}` int, `{low_}` timestamp_ntz, `{high_}` timestamp_ntz, `{name}` string")
+    t = F.col(f"`{column}`")
+    within = (F.year(t) * 12 + F.month(t) == table[month]) & (t >= table[low_]) & (t < table[high_])
+    return df.join(F.broadcast(table), within, "left").drop(month, low_, high_)
+
+
 def steps_column(start: Column, end: Column, days: int) -> Column:
     """The parts of a range as an array of structs (chunk_start, chunk_end)."""
     width = F.expr(f"interval {int(days)} days")

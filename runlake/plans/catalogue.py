@@ -12,8 +12,8 @@ from pyspark.sql import functions as F
 from runlake import schemas
 from runlake.functions import columns, timefmt
 from runlake.operators import canonical, tabulate
-from runlake.plans import pipeline
-from runlake.plans.views import OBS_SQL, RUNS_SQL, T2_SQL, obs, read, runs
+from runlake.plans import maintain, pipeline
+from runlake.plans.views import OBS_SQL, RUNS_SQL, T2_SQL, obs, read, run_id, runs
 from runlake.sources import lake, publish
 from runlake.sources.files import Files
 from runlake.sources.ingest import ingest_run
@@ -39,10 +39,24 @@ def oracle_sql() -> dict[str, str]:
     return {name: sql for name, (_, sql) in _FOUND.items() if sql}
 
 
+def scratch_root(spark: SparkSession) -> str:
+    """The place that driver and executors share: ``spark.checkpoint.dir``; on one machine, where that is unset, the warehouse."""
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        root = spark.conf.get("spark.sql.warehouse.dir")
+    return f"{root.rstrip('/')}/runlake-tables/{spark.sparkContext.applicationId}"
+
+
 def scratch(spark: SparkSession, name: str) -> str:
-    """A new folder in the place that driver and executors share."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
-    return f"{root.rstrip('/')}/runlake-tables/{name}-{uuid.uuid4().hex}"
+    """A new folder for a table of this application."""
+    return f"{scratch_root(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def sweep(spark: SparkSession) -> None:
+    """Delete the tables that this application's queries have made; results that still read them must be written before."""
+    Files(spark).delete(scratch_root(spark))
 
 
 @query(f"WITH {OBS_SQL}, {T2_SQL} SELECT * FROM t2")
@@ -55,6 +69,29 @@ def t2_join_form(spark, d):
     return canonical.build_t2_by_join(obs(spark, d))
 
 
+@query(f"WITH {OBS_SQL}, {T2_SQL} SELECT * FROM t2")
+def t2_merged(spark, d):
+    """T2 by one mergeable aggregate, as ``transform`` makes it."""
+    return canonical.consolidated(obs(spark, d))
+
+
+@query(f"WITH {OBS_SQL}, {T2_SQL} SELECT * FROM t2")
+def t2_incremental(spark, d):
+    """T2 from states of keys, into which five runs are merged one by one, not in order."""
+    t1, states = scratch(spark, "t1"), scratch(spark, "states")
+    for n in (3, 0, 4, 1, 2):
+        publish.write_t1(obs(spark, d).where(F.col("run_id") == run_id(F.lit(n))), t1)
+        maintain.refresh(spark, t1, states)
+    return maintain.read_t2(spark, states)
+
+
+@query(f"""WITH {OBS_SQL}, {T2_SQL} SELECT location, valid_time, k.latest, count(DISTINCT f.kindex) FILTER (WHERE f.run_id = k.latest) + CAST(bool_or(f.run_id = k.latest AND f.kindex IS NULL) AS BIGINT) AS n_values, min(f.kindex) AS low, max(f.kindex) AS high
+FROM filtered f JOIN keys k USING (location, valid_time) GROUP BY location, valid_time, k.latest""")
+def states_per_key(spark, d):
+    """What T2's maintenance keeps of each key."""
+    return canonical.states(obs(spark, d)).select("location", "valid_time", "latest", F.size("values").cast("long").alias("n_values"), "low", "high")
+
+
 @query(f"WITH {OBS_SQL} SELECT location, valid_time, max(run_id) AS latest_run_id FROM obs WHERE valid_time IS NOT NULL GROUP BY ALL")
 def latest_run_per_key(spark, d):
     return canonical.latest_runs(obs(spark, d))
@@ -157,6 +194,13 @@ def duplicate_runs(spark, d):
     return runs(spark, d).groupBy("location").agg(F.count("*").alias("n")).where("n > 1")
 
 
+@query("SELECT user_id AS run, count(DISTINCT event_type) AS n_places FROM events GROUP BY user_id HAVING n_places > 1")
+def runs_in_several_places(spark, d):
+    """Runs that are there more than once, when each user of each place counts as one."""
+    each = read(spark, d, "events").select(F.col("user_id").alias("run"), "event_type").distinct()
+    return each.groupBy("run").agg(F.count("*").alias("n_places")).where("n_places > 1")
+
+
 @query("SELECT event_id, regexp_extract('/lake/run_id=' || CAST(user_id AS VARCHAR) || '/chunk_' || CAST(event_id AS VARCHAR) || '.jsonl', '.*/run_id=([^/]+)/.*', 1) AS run_id FROM events")
 def run_id_from_path(spark, d):
     path = F.concat(F.lit("/lake/run_id="), F.col("user_id").cast("string"), F.lit("/chunk_"), F.col("event_id").cast("string"), F.lit(".jsonl"))
@@ -186,6 +230,12 @@ def melbourne_wall_time(spark, d):
     return read(spark, d, "events").select("event_id", timefmt.text_column(timefmt.local_column(F.col("ts").cast("timestamp_ntz"))).alias("wall_time"))
 
 
+@query("SELECT event_id, CASE WHEN timezone('Australia/Melbourne', timezone('UTC', ts)) = ts + INTERVAL 11 HOUR THEN 'AEDT' ELSE 'AEST' END AS zone FROM events")
+def melbourne_zone_name(spark, d):
+    """The short name of the zone's time then: a range look-up in a broadcast table of its changes."""
+    return timefmt.with_zone_name(read(spark, d, "events").select("event_id", F.col("ts").cast("timestamp_ntz").alias("ts")), "ts", "zone").select("event_id", "zone")
+
+
 @query("WITH r AS (SELECT event_type, date_trunc('hour', min(ts)) AS low, date_trunc('hour', max(ts)) AS high FROM events GROUP BY event_type) SELECT event_type, s AS chunk_start, least(s + INTERVAL 3 DAY, high) AS chunk_end FROM r, LATERAL (SELECT unnest(generate_series(low, greatest(low, high - INTERVAL 1 MICROSECOND), INTERVAL 3 DAY)) AS s)")
 def chunk_grid(spark, d):
     ranges = read(spark, d, "events").groupBy("event_type").agg(timefmt.hour_column(F.min("ts")).alias("low"), timefmt.hour_column(F.max("ts")).alias("high"))
@@ -207,6 +257,12 @@ def typed_empty_relation(spark, d):
     return lake.empty_observations(spark)
 
 
+@query(f"WITH {OBS_SQL} SELECT run_id, valid_time, analysis_time, kindex FROM obs WHERE kindex IS NULL")
+def typed_empty_union(spark, d):
+    """An empty table of observations takes rows without a cast."""
+    return lake.empty_observations(spark).unionByName(obs(spark, d).where("kindex is null").drop("location"))
+
+
 @query("SELECT event_id, CAST(event_id AS VARCHAR) AS as_text, CAST(event_id % 2 AS BOOLEAN) AS as_bool, CAST(NULL AS TIMESTAMP) AS none FROM events")
 def casts_and_typed_nulls(spark, d):
     return read(spark, d, "events").select("event_id", F.col("event_id").cast("string").alias("as_text"), (F.col("event_id") % 2).cast("boolean").alias("as_bool"), F.lit(None).cast("timestamp_ntz").alias("none"))
@@ -224,6 +280,12 @@ def inline_values(spark, d):
     return spark.sql("SELECT * FROM VALUES (1, 'a', CAST(NULL AS INT)), (2, CAST(NULL AS STRING), 3) AS t(id, name, n)")
 
 
+@query(f"WITH {RUNS_SQL} SELECT run_id, status, told FROM runs JOIN (VALUES ('SUCCESS', 'counts', 1), ('FAILED', 'does not', NULL), ('RUNNING', NULL, 3)) AS v(status, told, n) USING (status)")
+def inline_values_joined(spark, d):
+    told = spark.sql("SELECT * FROM VALUES ('SUCCESS', 'counts', 1), ('FAILED', 'does not', CAST(NULL AS INT)), ('RUNNING', CAST(NULL AS STRING), 3) AS v(status, told, n)")
+    return runs(spark, d).join(F.broadcast(told), "status").select("run_id", "status", "told")
+
+
 @query(f"WITH {OBS_SQL} SELECT location, CASE WHEN valid_time IS NULL THEN NULL ELSE strftime(valid_time, '%Y-%m-%d %H:%M:%S') END AS told, kindex FROM obs")
 def case_formatted(spark, d):
     return obs(spark, d).select("location", F.when(F.col("valid_time").isNull(), F.lit(None)).otherwise(timefmt.text_column(F.col("valid_time"))).alias("told"), "kindex")
@@ -284,6 +346,32 @@ def lake_to_t1_by_increments(spark, d):
     return lake.read_t1(spark, path)
 
 
+@query(f"WITH {_LAKE_SQL} SELECT * FROM obs")
+def lake_to_t1_caught_up(spark, d):
+    """All runs that are due at once, two in a job."""
+    raw, path = raw_lake(spark, d), scratch(spark, "t1")
+    pipeline.catch_up(spark, raw, path, pattern="*.json", at_once=2)
+    return lake.read_t1(spark, path)
+
+
+@query(f"WITH {RUNS_SQL} SELECT run_id FROM runs WHERE status = 'SUCCESS'")
+def processed_runs(spark, d):
+    """What T1's ledger has after increments."""
+    raw, path = raw_lake(spark, d), scratch(spark, "t1")
+    while pipeline.increment(spark, raw, path, pattern="*.json"):
+        pass
+    return spark.createDataFrame([(r,) for r in sorted(lake.processed_run_ids(spark, path))], "run_id string")
+
+
+@query(f"WITH {_LAKE_SQL}, {T2_SQL} SELECT * FROM t2")
+def lake_to_t2_by_increments(spark, d):
+    """Raw runs to T1 and to T2's states, one at a time."""
+    raw, t1, states = raw_lake(spark, d), scratch(spark, "t1"), scratch(spark, "states")
+    while pipeline.increment(spark, raw, t1, pattern="*.json"):
+        maintain.refresh(spark, t1, states)
+    return maintain.read_t2(spark, states)
+
+
 @query(f"WITH {_LAKE_SQL}, {T2_SQL} SELECT * FROM t2")
 def lake_to_t2(spark, d):
     t1 = pipeline.rebuild(spark, raw_lake(spark, d), scratch(spark, "t1"), pattern="*.json")
@@ -296,6 +384,13 @@ def run_status_from_marker(spark, d):
     return lake.markers(spark, raw_lake(spark, d)).select("run_id", F.regexp_extract("marker", "^_(SUCCESS|FAILED)$", 1).alias("status"))
 
 
+@query(f"WITH {RUNS_SQL} SELECT run_id, status FROM runs WHERE status = 'FAILED'")
+def failed_runs(spark, d):
+    """Status derived from the marker's name, and filtered."""
+    told = lake.markers(spark, raw_lake(spark, d)).withColumn("status", F.regexp_extract("marker", "^_(SUCCESS|FAILED)$", 1))
+    return told.where("status = 'FAILED'").select("run_id", "status")
+
+
 @query(f"WITH {RUNS_SQL} SELECT run_id, location, status FROM runs")
 def runs_by_other_keys(spark, d):
     """Manifests that call id, location and status otherwise."""
@@ -316,22 +411,30 @@ def t2_described(spark, d):
 INGESTED = "20240301T000000Z"
 
 
-def ingested_lake(spark: SparkSession, d: str) -> str:
-    """A raw lake landed by ``ingest_run`` from a feed that answers from ``events``, chunk by chunk, with their bounds."""
+def ingested_lake(spark: SparkSession, d: str, fails_at: int | None = None) -> str:
+    """A raw lake landed by ``ingest_run`` from a feed that answers from ``events``, a day at a time, with the bounds it is asked for.
+
+    With ``fails_at`` the feed gives out at that request, and the run ends as failed."""
     lines = obs(spark, d).where("valid_time is not null")
     low, high = lines.agg(timefmt.text_column(F.min("valid_time")), timefmt.text_column(F.max("valid_time"))).first()
-    fmt, root = "%Y-%m-%d %H:%M:%S", scratch(spark, "ingested")
-    span = timefmt.parse(high, fmt) - timefmt.parse(low, fmt)
+    fmt, root, asked = "%Y-%m-%d %H:%M:%S", scratch(spark, "ingested"), []
 
     def answer(url, body, timeout):
         ask = body["options"]
+        asked.append(ask)
+        if len(asked) == fails_at:
+            return 503, "busy"
         until = F.col("valid_time") <= F.lit(ask["end"]).cast("timestamp_ntz") if ask["end"] == high else F.col("valid_time") < F.lit(ask["end"]).cast("timestamp_ntz")
         part = lines.where((F.col("valid_time") >= F.lit(ask["start"]).cast("timestamp_ntz")) & until)
         told = part.select(timefmt.text_column(F.col("valid_time")).alias("valid_time"), timefmt.text_column(F.col("analysis_time")).alias("analysis_time"), F.col("kindex").alias("index"))
-        return 200, json.dumps({"data": [r.asDict() for r in told.collect()]})  # one chunk, as an HTTP feed sends it
-
-    config = {"api_key": "none", "base_url": "https://feed.example", "endpoints": {"k_index": "k"}, "date_fmt": fmt, "ingestion": {"k_index": {"chunk_days": span.days // 4 + 1, "sleep_seconds": 0}}}
-    ingest_run(spark, config, "site", low, high, root, transport=answer, clock=lambda: timefmt.parse(INGESTED, timefmt.TOKEN), sleep=lambda s: None)
+        return 200, json.dumps({"data": [r.asDict() for r in told.collect()]})  # one answer, as an HTTP feed sends it
+
+    config = {"api_key": "none", "base_url": "https://feed.example", "endpoints": {"k_index": "k"}, "date_fmt": fmt, "ingestion": {"k_index": {"chunk_days": 1, "sleep_seconds": 0}}}
+    try:
+        ingest_run(spark, config, "site", low, high, root, transport=answer, clock=lambda: timefmt.parse(INGESTED, timefmt.TOKEN), sleep=lambda s: None)
+    except RuntimeError:
+        if fails_at is None:
+            raise
     return root
 
 
@@ -352,3 +455,13 @@ def ingest_manifest(spark, d):
     root, files = ingested_lake(spark, d), Files(spark)
     told = json.loads(files.read(f"{root}/run_id={INGESTED}/{MANIFEST_NAME}"))
     return spark.createDataFrame([(told["run_id"], told["status"], told["location"], told["total_rows"])], "run_id string, status string, location string, total_rows long")
+
+
+@query(f"""WITH {OBS_SQL}, low AS (SELECT min(valid_time) AS low FROM obs)
+SELECT '{INGESTED}' AS run_id, 'FAILED' AS status, count(*) AS n_landed FROM obs, low WHERE valid_time >= low AND valid_time < low + INTERVAL 2 DAY""")
+def ingest_failed(spark, d):
+    """A feed that gives out at the third request: the run's marker, and what had landed by then."""
+    root = ingested_lake(spark, d, fails_at=3)
+    marker = lake.markers(spark, root).select("run_id", F.regexp_extract("marker", "^_(SUCCESS|FAILED)$", 1).alias("status"))
+    landed = lake.observations(spark, lake_runs(spark, root)).groupBy("run_id").agg(F.count("*").alias("n_landed"))
+    return marker.join(landed, "run_id")

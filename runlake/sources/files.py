@@ -4,10 +4,13 @@ from __future__ import annotations
 
 import json
 import uuid
+from collections.abc import Iterable, Iterator
 from typing import Any
 
 from pyspark.sql import SparkSession
 
+PIECE = 1 << 18
+
 
 class Files:
     def __init__(self, spark: SparkSession) -> None:
@@ -68,12 +71,34 @@ class Files:
 
     def write(self, uri: str, text: str) -> None:
         """Whole or not at all: written beside, then moved over."""
+        self._write(uri, [text])
+
+    def write_lines(self, uri: str, lines: Iterable[str]) -> None:
+        """The same, a line at a time, of which some ``PIECE`` characters are held."""
+
+        def pieces() -> Iterator[str]:
+            held, size = [], 0
+            for line in lines:
+                held.append(line + "\n")
+                size += len(line)
+                if size > PIECE:
+                    yield "".join(held)
+                    held, size = [], 0
+            yield "".join(held)
+
+        self._write(uri, pieces())
+
+    def _write(self, uri: str, pieces: Iterable[str]) -> None:
         beside = f"{uri}.{uuid.uuid4().hex}.tmp"
         stream = self.system(uri).create(self.path(beside), True)
         try:
-            stream.write(text.encode())
-        finally:
+            for piece in pieces:
+                stream.write(piece.encode())
+        except BaseException:
             stream.close()
+            self.delete(beside)
+            raise
+        stream.close()
         self.move(beside, uri)
 
     def create(self, uri: str, text: str) -> bool:

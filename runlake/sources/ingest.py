@@ -28,7 +28,7 @@ def chunk_name(start: datetime | None, end: datetime | None) -> str:
 def write_chunk(files: Files, folder: str, chunk: feed.Chunk) -> str:
     """One JSON object a line, as it came; an empty chunk is an empty file."""
     name = chunk_name(chunk.start, chunk.end)
-    files.write(f"{folder}/{name}", "".join(json.dumps(row, ensure_ascii=False) + "\n" for row in chunk.rows))
+    files.write_lines(f"{folder}/{name}", (json.dumps(row, ensure_ascii=False) for row in chunk.rows))
     return name
 
 
@@ -36,6 +36,7 @@ def manifest(config: dict[str, Any], location: str, start: Any, end: Any, run_id
     """What is known of a run. The API key is never part of it; ``extra`` overrides."""
     fmt, own = config["date_fmt"], feed.settings(config)
     low, high = timefmt.api_text(start, fmt), timefmt.api_text(end, fmt)
+    #: What the lake's readers call things.
     return {
         "source": "space_weather", "dataset": "k_index",
         "run_id": run_id, "created_at_utc": run_id, "status": status, "location": location,
