@@ -112,12 +112,21 @@ def _matrix(column: pa.Array) -> np.ndarray:
     return flat.reshape(len(column), -1) if len(column) else np.empty((0, 0))
 
 
+def _scaled(m: np.ndarray) -> np.ndarray:
+    """Rows divided by the power of two that brings their largest component to between a half and 1: exact, and no square underflows or overflows."""
+    return np.ldexp(m, -np.frexp(np.abs(m).max(axis=1, keepdims=True))[1])
+
+
 def _unit(m: np.ndarray) -> np.ndarray:
+    if not len(m):
+        return m
+    m = _scaled(m)
     return m / np.sqrt((m * m).sum(axis=1, keepdims=True))
 
 
 def cosine(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Row by row, in double precision and always in the same order of additions."""
+    a, b = _scaled(a), _scaled(b)
     return (a * b).sum(axis=1) / (np.sqrt((a * a).sum(axis=1)) * np.sqrt((b * b).sum(axis=1)))
 
 
@@ -217,7 +226,7 @@ def visits(tree: Tree, queries: list[tuple[int, bytes, np.ndarray]], leaves: dic
     ranks = []
     for q, own in leaves.items():
         v = queries[q][2]
-        place = {leaf: n for n, leaf in enumerate(tree.order((v / np.sqrt((v * v).sum())).astype(np.float32)))}
+        place = {leaf: n for n, leaf in enumerate(tree.order(_unit(v[None, :])[0].astype(np.float32)))}
         ranks += [place[leaf] for leaf in own]
     ranks = np.array(ranks)
     enough = lambda n: not len(ranks) or (ranks < n).mean() >= recall

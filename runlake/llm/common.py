@@ -13,6 +13,7 @@ import io
 import os
 import shutil
 import tempfile
+import threading
 import uuid
 import zipfile
 from collections.abc import Callable, Iterator
@@ -23,7 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 _LOCAL_ROOT: list[str] = []
-_MADE: list[str] = []  # places given out by fresh_uri, in order
+_MADE = threading.local()  # the places that fresh_uri gave out to this thread's queries, in order
 #: Rows of an Arrow batch on its way to a Python worker, at most: buffers outside the heap grow with it.
 BATCH_ROWS = 2_000
 
@@ -53,22 +54,28 @@ def shared_root(spark: SparkSession) -> str:
 def fresh_uri(spark: SparkSession, name: str) -> str:
     """A new place for a table of this application."""
     uri = f"{shared_root(spark)}/runlake/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
-    _MADE.append(uri)
+    _places().append(uri)
     return uri
 
 
+def _places() -> list[str]:
+    if not hasattr(_MADE, "uris"):
+        _MADE.uris = []
+    return _MADE.uris
+
+
 def made() -> int:
-    """How many places have been given out so far, for ``tidy``."""
-    return len(_MADE)
+    """How many places this thread has been given so far, for ``tidy``."""
+    return len(_places())
 
 
 def tidy(spark: SparkSession, since: int, keep: DataFrame) -> None:
-    """Delete the tables made after ``since`` but for ``keep``, when nothing else reads them any more."""
-    left = getattr(keep, "_runlake_uri", None)
-    for uri in _MADE[since:]:
+    """Delete the tables that this thread made after ``since`` but for ``keep``, when nothing else reads them any more. Queries that run meanwhile in other threads keep theirs."""
+    left, own = getattr(keep, "_runlake_uri", None), _places()
+    for uri in own[since:]:
         if uri != left:
             discard(spark, uri)
-    _MADE[since:] = [left] if left else []
+    own[since:] = [left] if left else []
 
 
 def sweep(spark: SparkSession) -> None:

@@ -41,6 +41,18 @@ def test_many_scaled_copies_tie_by_id(spark):
     assert [i for q, _, i, _ in got if q == 50] == [0, 1, 2, 3, 4]
 
 
+@pytest.mark.parametrize("part", [10, 4096])
+def test_vectors_of_extreme_length_cost_nobody_a_neighbour(spark, part):
+    rng = np.random.default_rng(21)
+    plain = [(k, rng.normal(size=8).tolist()) for k in range(102)]
+    scale = {k: (-565, 565, -1040, 1000)[k % 4] for k in range(0, 102, 3)}  # about 1e-170, 1e170, and near the ends of what a double holds
+    rows = [(k, np.ldexp(v, scale.get(k, 0)).tolist()) for k, v in plain]
+    table = spark.createDataFrame([(i, v, 1, "x") for i, v in rows], "vec_id long, embedding array<double>, label int, leaf string")
+    got = told(ann_tree.search(table, QUERY, recall=1.0, sample=200, leaf=16, branch=4, calibrate=64, part=part))
+    exact = [(k, np.ldexp(v, -scale.get(k, 0)).tolist()) for k, v in rows]  # what rounding near zero has left of them
+    assert got == sorted((q, n, i, round(s, 9)) for q, n, i, s in brute.neighbours(exact)) and len(got) == 15
+
+
 def test_ties_are_settled_by_id_in_any_order():
     rng = np.random.default_rng(17)
     v = rng.normal(size=8)
