@@ -13,7 +13,7 @@ from runlake.functions.columns import run_id_of, whole_number
 from runlake.sources import publish
 from runlake.sources.files import Files
 from runlake.sources.ledger import Ledger, State
-from runlake.sources.manifest import READERS, Run
+from runlake.sources.manifest import READERS, Run, run_folders, run_in
 
 CHUNKS = "*.jsonl"
 
@@ -79,8 +79,12 @@ def processed_run_ids(spark: SparkSession, path: str) -> set[str]:
 
 
 def markers(spark: SparkSession, raw: str) -> DataFrame:
-    """(run_id, marker, content) of the runs' marker files. They are for people: status is the manifest's."""
+    """(run_id, marker, content) of the runs' marker files, read many at a time. They are for people: status is the manifest's."""
     files = Files(spark)
-    found = [p for p in files.walk(raw) if "/run_id=" in p and p.rpartition("/")[2] in ("_SUCCESS", "_FAILED")]
-    rows = [(p.rpartition("/run_id=")[2].partition("/")[0], p.rpartition("/")[2], files.read(p)) for p in found]
+    folders = run_folders(files, raw)
+    with ThreadPoolExecutor(READERS) as readers:
+        names = list(readers.map(files.names, folders))
+        found = [(at, name) for at, own in zip(folders, names, strict=True) for name, folder, _ in own if not folder and name in ("_SUCCESS", "_FAILED")]
+        texts = list(readers.map(lambda x: files.read(f"{x[0]}/{x[1]}"), found))
+    rows = [(run_in(f"{at}/"), name, text) for (at, name), text in zip(found, texts, strict=True)]
     return spark.createDataFrame(rows, "run_id string, marker string, content string")

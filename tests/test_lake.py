@@ -261,3 +261,25 @@ def test_runs_that_are_done_are_not_read_again(spark, tmp_path):
     assert (left.run_id, left.location) == ("20240102T000000Z", "x") and manifest.successful([left], "done") == [left]
     with pytest.raises(manifest.LakeError):
         manifest.runs(spark, str(tmp_path), "about.json", keys=keys)
+
+
+def test_chunks_are_written_in_pieces_whole_or_not_at_all(spark, tmp_path):
+    lines = [f"{k:07d}" * 10 for k in range(20_000)]
+    Files(spark).write_lines(str(tmp_path / "all"), iter(lines))
+    assert (tmp_path / "all").read_text() == "".join(x + "\n" for x in lines)
+
+    def breaks():
+        yield from lines
+        raise OSError("gone")
+
+    with pytest.raises(OSError, match="gone"):
+        Files(spark).write_lines(str(tmp_path / "half"), breaks())
+    assert [p.name for p in tmp_path.iterdir()] == ["all"]
+
+
+def test_markers_of_many_runs(spark, tmp_path):
+    for k in range(40):
+        folder = run(tmp_path / "deep" / str(k % 3), f"2024010100{k:04d}Z", "SUCCESS")
+        (folder / ("_SUCCESS" if k % 2 else "_FAILED")).write_text(str(k))
+    got = sorted(tuple(r) for r in lake.markers(spark, str(tmp_path)).collect())
+    assert got == sorted((f"2024010100{k:04d}Z", "_SUCCESS" if k % 2 else "_FAILED", str(k)) for k in range(40))

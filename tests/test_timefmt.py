@@ -58,3 +58,19 @@ def test_column_forms_agree_with_the_driver_ones(spark):
     assert row.local == timefmt.local_text(row.text, FMT).rsplit(" ", 1)[0]
     assert [tuple(s) for s in row.steps] == timefmt.steps(t, t + timedelta(days=5), 2)
     assert [tuple(s) for s in row.one] == [(t, t)]
+
+
+def test_zone_names_around_every_change(spark):
+    from zoneinfo import ZoneInfo
+
+    changes = timefmt.zone_changes(first=1990, last=2030)
+    assert len(changes) > 75 and {name for _, name in changes} == {"AEST", "AEDT"}
+    times = [at + timedelta(seconds=s) for at, _ in changes for s in (-1, 0, 1)][1:] + [datetime(2024, 6, 30, 23, 59, 59, 999_999), datetime(2024, 7, 1)]
+    df = spark.createDataFrame([(t, "clash", 1) for t in times] + [(None, "x", 2), (datetime(1989, 12, 31), "x", 3), (datetime(2031, 1, 1), "x", 4)], "t timestamp_ntz, month string, low int")
+    told = timefmt.with_zone_name(df, "t", "zone", first=1990, last=2030)
+    assert told.columns == ["t", "month", "low", "zone"]
+    got = {r.t: r.zone for r in told.collect()}
+    want = {t: t.replace(tzinfo=UTC).astimezone(ZoneInfo("Australia/Melbourne")).strftime("%Z") for t in times}
+    assert got == want | {None: None, datetime(1989, 12, 31): None, datetime(2031, 1, 1): None} and told.count() == df.count()
+    plan = told._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and "NestedLoop" not in plan
