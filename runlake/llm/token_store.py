@@ -149,18 +149,28 @@ def opened(uri: str, write: bool = False):
     return fs.open_output_stream(path, compression=None)
 
 
-def ranges(keys: DataFrame, part_bytes: int, sample: int = 20_000) -> list[tuple[bool, int, int]]:
+def ranges(keys: DataFrame, part_bytes: int, sample: int = 20_000, per_range: int = 20, most: int = 2_000_000) -> list[tuple[bool, int, int]]:
     """Ascending (doc_id isn't null, doc_id, tie) at which ranges of about ``part_bytes`` of text begin, but for the first.
 
-    Taken from a random sample: ``sample`` rows, more beyond 10,000 times as many, a million at most."""
+    Taken from a random sample of ``sample`` rows, or, where that isn't ``per_range`` for each range that the text needs, of so many
+    (``most`` in all: beyond 3 TB at 32 MB a range, ranges grow). Ranges are even in the sample's bytes, not its rows; a range has a row of the sample at least."""
     n = keys.count()
-    share = min(max(sample, n // 10_000), 1_000_000) / max(1, n)
-    seen = (keys if share >= 1 else keys.sample(share, 7)).select("doc_id", "tie", F.coalesce(F.octet_length("text"), F.lit(0)).alias("size")).toArrow().to_pydict()
-    found = sorted((x is not None, x or 0, tie) for x, tie in zip(seen["doc_id"], seen["tie"], strict=True))
-    if not found:
-        return []
-    parts = min(-(-int(sum(seen["size"]) / len(found) * n) // part_bytes), max(1, len(found) // 10))
-    return sorted({found[k * len(found) // parts] for k in range(1, parts)})
+
+    def drawn(rows: int) -> list[tuple[bool, int, int, int]]:
+        share = rows / max(1, n)
+        seen = (keys if share >= 1 else keys.sample(share, 7)).select("doc_id", "tie", F.coalesce(F.octet_length("text"), F.lit(0)).alias("size")).toArrow().to_pydict()
+        return sorted((x is not None, x or 0, tie, size) for x, tie, size in zip(seen["doc_id"], seen["tie"], seen["size"], strict=True))
+
+    def needed(found: list[tuple[bool, int, int, int]]) -> int:
+        return -(-int(sum(x[3] for x in found) / max(1, len(found)) * n) // part_bytes)
+
+    found = drawn(sample)
+    if needed(found) * per_range > len(found) < n:
+        found = drawn(min(most, needed(found) * per_range))
+    parts = min(needed(found), max(1, len(found) // per_range)) if len(found) < n else needed(found)
+    ends = np.cumsum([x[3] for x in found])
+    at = np.searchsorted(ends, [ends[-1] * k // parts for k in range(1, parts)], "right") if parts > 1 else []
+    return sorted({found[k][:3] for k in at if 0 < k < len(found)})
 
 
 def encoded(docs: DataFrame, tokenizer: str, end_id: int, part_bytes: int = 32 << 20) -> DataFrame:
@@ -169,7 +179,7 @@ def encoded(docs: DataFrame, tokenizer: str, end_id: int, part_bytes: int = 32 <
     ``ids`` are bytes, ``id_bytes`` wide each. Ranges hold about ``part_bytes`` of text; rows alike in id and text stay in one."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("tie"), "text")
     begins = ranges(rows, part_bytes)
-    shared = docs.sparkSession.sparkContext.broadcast(begins)  # a tenth of the sample at most
+    shared = docs.sparkSession.sparkContext.broadcast(begins)  # a twentieth of the sample at most
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc, begins = encoder(tokenizer), shared.value

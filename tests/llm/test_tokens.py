@@ -78,6 +78,18 @@ def test_ranges_are_even_whole_and_in_order(spark, docs):
     assert sum(f.n_docs for f in files) == len(rows) and sum(f.null_ids for f in files) == 60
 
 
+def test_the_number_of_ranges_follows_the_bytes(spark):
+    F, n = token_store.F, 200_000
+    keys = spark.range(n).select(F.col("id").alias("doc_id"), F.xxhash64("id").alias("tie"), F.expr(f"repeat('x', if(id < {n // 10}, 3000, 300))").alias("text"))
+    total, part = n // 10 * 3_000 + n * 9 // 10 * 300, 1 << 19
+    begins = token_store.ranges(keys, part, sample=1_000)  # 50 ranges' worth; some 220 are needed, so more is drawn
+    edges = [0, *(b[1] for b in begins), n]
+    assert abs(len(begins) - total / part) < 20
+    below = lambda x: min(x, n // 10) * 3_000 + max(0, x - n // 10) * 300
+    assert max(below(b) - below(a) for a, b in zip(edges, edges[1:], strict=False)) < 3 * part
+    assert len(token_store.ranges(keys, part, sample=1_000, most=1_200)) <= 60  # a documented bound of the sample
+
+
 def test_only_the_frames_asked_for_are_read_and_damage_is_noticed(tmp_path):
     import pyarrow.fs as pafs
 
