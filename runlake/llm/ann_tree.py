@@ -114,19 +114,16 @@ def _matrix(column: pa.Array) -> np.ndarray:
 
 def _scaled(m: np.ndarray) -> np.ndarray:
     """Rows divided by the power of two that brings their largest component to between a half and 1: exact, and no square underflows or overflows."""
-    return np.ldexp(m, -np.frexp(np.abs(m).max(axis=1, keepdims=True))[1])
+    return np.ldexp(m, -np.frexp(np.abs(m).max(axis=1, keepdims=True))[1]) if len(m) else m
 
 
 def _unit(m: np.ndarray) -> np.ndarray:
-    if not len(m):
-        return m
     m = _scaled(m)
     return m / np.sqrt((m * m).sum(axis=1, keepdims=True))
 
 
 def cosine(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Row by row, in double precision and always in the same order of additions."""
-    a, b = _scaled(a), _scaled(b)
+    """Row by row, in double precision and always in the same order of additions. Of rows as ``_scaled`` gives them: their squares are sound."""
     return (a * b).sum(axis=1) / (np.sqrt((a * a).sum(axis=1)) * np.sqrt((b * b).sum(axis=1)))
 
 
@@ -203,11 +200,11 @@ def exact(found: DataFrame, queries: list[tuple[int, bytes, np.ndarray]], k: int
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids, own = shared.value
-        unit = _unit(own)
+        own, unit = _scaled(own), _unit(own)
         for batch in batches:
             if not batch.num_rows:
                 continue
-            theirs = _matrix(batch.column(1))
+            theirs = _scaled(_matrix(batch.column(1)))
             near = unit @ _unit(theirs).T
             members, leaf = batch.column(2).to_pylist(), np.asarray(batch.column(0))
             rows = [(q, -s, x, int(leaf[c])) for q in range(len(ids)) for s, x, c in nearest(near[q], own[q], theirs, members, ids[q], k)]
@@ -301,11 +298,11 @@ def search(embeddings: DataFrame, is_query: F.Column | str, k: int = 5, recall:
                 if not held:
                     continue
                 if theirs is None:
-                    theirs = np.concatenate([_matrix(b.column(5)) for b in held])
+                    theirs = _scaled(np.concatenate([_matrix(b.column(5)) for b in held]))
                     members, unit = [x for b in held for x in b.column(6).to_pylist()], _unit(theirs)
                 for k_ in range(0, piece.num_rows, 512):
                     block = piece.slice(k_, 512)
-                    own, ids, kinds = _matrix(block.column(5)), block.column(3).to_pylist(), block.column(4).to_pylist()
+                    own, ids, kinds = _scaled(_matrix(block.column(5))), block.column(3).to_pylist(), block.column(4).to_pylist()
                     near = _unit(own) @ unit.T
                     out = [(ids[q], kinds[q], x, -s) for q in range(len(own)) for s, x, _ in nearest(near[q], own[q], theirs, members, ids[q], k)]
                     yield pa.RecordBatch.from_pydict({"query_id": pa.array([r[0] for r in out], pa.int64()), "query_class": pa.array([r[1] for r in out], pa.binary()), "vec_id": pa.array([r[2] for r in out], pa.int64()), "score": pa.array([r[3] for r in out], pa.float64())})
