@@ -98,7 +98,7 @@ def test_against_sql(spark, name):
     import duckdb
 
     con = duckdb.connect()
-    for table in ("documents", "benchmark", "conversations", "pages"):
+    for table in ("documents", "benchmark", "conversations", "pages", "embeddings"):
         con.execute(f"create view {table} as select * from '{DATA}/{table}.parquet'")
     want = con.execute(queries.oracle_sql()[name])
     columns = [c[0] for c in want.description]
