@@ -8,8 +8,10 @@ language is the sum over its words; the prediction is the largest (ties: the sma
 the softmax share. Words are runs of letters (Unicode categories L), so numerals and marks are none.
 
 The model is fitted on a bounded sample: ``docs_per_lang`` documents of each language, by a hash of
-doc_id, and fewer where there are so many languages that it would be over ``most_docs`` in all. Every word and n-gram of
-the sample is in the model. Prediction reads whole texts of all documents, and nothing but the text: the words of a batch
+doc_id, and fewer where there are so many languages that it would be over ``most_docs`` in all. Units are counted in Spark;
+if they and their frequencies would take over ``most_bytes``, the documents of a language are halved and counted again, down
+to one, so the driver gets more only where one document a language has more; the smaller sample is part of the larger. Every word and n-gram of
+the sample is in the model, which is arrays only. Prediction reads whole texts of all documents, and nothing but the text: the words of a batch
 are numbered, the new ones among them scored together, and a text's score is a sum over its numbers.
 
 N-grams form a trie: the key of a longer one is its beginning's place and its last letter, so those
@@ -29,12 +31,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from runlake.llm import common
 
 LONGEST, BACKOFF = 4, 0.7
+ROW_BYTES = 64  #: what a unit's row takes while the model is built, its name and frequencies aside
 PREDICTED = "doc_id long, held_out boolean, lang_pred string, score double"
 
 
@@ -75,39 +80,65 @@ def _units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield out()
 
 
+def _hash(word: str) -> int:
+    return xxhash.xxh64_intdigest(word.encode("utf-8", "surrogatepass"))
+
+
+def _column(values: pa.ChunkedArray | list) -> pa.Array:
+    return values.combine_chunks() if isinstance(values, pa.ChunkedArray) else pa.array(values)
+
+
 class Model:
-    """Log frequencies by language of words (a table and its rows by word) and of n-grams (a trie: keys and frequencies of each size)."""
+    """Log frequencies by language of words (by their hashes in order, with the words to tell equal hashes apart) and of n-grams (a trie: keys and frequencies of each size)."""
 
-    def __init__(self, langs: list[str], words: dict[str, int], table: np.ndarray, levels: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> None:
-        self.langs, self.words, self.table, self.levels = langs, words, table, levels
+    def __init__(self, langs: list[str], hashes: np.ndarray, words: pa.Array, table: np.ndarray, levels: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> None:
+        self.langs, self.hashes, self.words, self.table, self.levels = langs, hashes, words, table, levels
 
     @classmethod
-    def of(cls, lang: list[str], size: list[int], unit: list[str], n: list[int]) -> "Model":
+    def of(cls, lang: pa.ChunkedArray | list, size: pa.ChunkedArray | list, unit: pa.ChunkedArray | list, n: pa.ChunkedArray | list) -> "Model":
         """From the units' counts, column by column; a unit has a row for each language that has it."""
-        langs = sorted(set(lang))
-        at = {name: k for k, name in enumerate(langs)}
-        rows: list[dict[str, int]] = [{} for _ in range(LONGEST + 1)]
-        cells: list[list[tuple[int, int, int]]] = [[] for _ in rows]
-        for name, s, u, count in zip(lang, size, unit, n, strict=True):
-            cells[s].append((rows[s].setdefault(u, len(rows[s])), at[name], count))
-
-        def log_frequencies(s: int) -> np.ndarray:
-            counts = np.zeros((len(rows[s]), len(langs)))
-            if cells[s]:
-                row, column, count = np.array(cells[s]).T
-                np.add.at(counts, (row, column), count)
-            return np.log((counts + 0.5) / (counts.sum(axis=0) + 0.5 * len(counts))) if len(counts) else counts
-
-        levels, places = [], {"": 0}
-        begun = [{u[:s] for own in rows[s:] for u in own} for s in range(LONGEST + 1)]
+        names, units = _column(lang).cast(pa.string()).dictionary_encode(), _column(unit).cast(pa.string())
+        langs = sorted(names.dictionary.to_pylist())
+        column = np.array([langs.index(name) for name in names.dictionary.to_pylist()], np.int64)[names.indices.to_numpy()]
+        sizes, counted = (_column(c).cast(pa.int64()).to_numpy() for c in (size, n))
+
+        def log_frequencies(rows: int, row: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+            counts = np.zeros((rows, len(langs)))
+            np.add.at(counts, (row, column[at]), counted[at])
+            own = counts.any(axis=1)
+            return own, np.log((counts + 0.5) / (counts.sum(axis=0) + 0.5 * max(1, own.sum())))
+
+        at = np.flatnonzero(sizes == 0)
+        words = units.take(pa.array(at)).dictionary_encode()
+        hashes = np.fromiter((_hash(w.as_py()) for w in words.dictionary), np.uint64, len(words.dictionary))
+        order = np.argsort(hashes)
+        table = log_frequencies(len(hashes), words.indices.to_numpy(), at)[1]
+        levels, at = [], np.flatnonzero(sizes > 0)
+        place = np.zeros(len(at), np.int64)
         for s in range(1, LONGEST + 1):
-            units = sorted(begun[s], key=lambda u: (places[u[:-1]], u[-1]))
-            keys = np.array([places[u[:-1]] << 21 | ord(u[-1]) for u in units], np.int64)
-            own = np.array([rows[s].get(u, -1) for u in units], np.int64)
-            frequencies = log_frequencies(s)
-            levels.append((keys, own >= 0, frequencies[np.maximum(own, 0)] if len(frequencies) else np.zeros((len(units), len(langs)))))
-            places = {u: k for k, u in enumerate(units)}
-        return cls(langs, rows[0], log_frequencies(0), levels)
+            longer = sizes[at] >= s
+            at, place = at[longer], place[longer]
+            letters = pc.utf8_slice_codeunits(units.take(pa.array(at)), s - 1, s).dictionary_encode()
+            codes = np.array([ord(c) for c in letters.dictionary.to_pylist()], np.int64)[letters.indices.to_numpy()]
+            keys, place = np.unique(place << 21 | codes, return_inverse=True)
+            ends = sizes[at] == s
+            levels.append((keys, *log_frequencies(len(keys), place[ends], at[ends])))
+        return cls(langs, hashes[order], words.dictionary.take(pa.array(order)), table[order], levels)
+
+    def rows_of(self, words: list[str]) -> np.ndarray:
+        """Each word's row in the table, -1 where it has none."""
+        hashes = np.fromiter(map(_hash, words), np.uint64, len(words))
+        row, at, told = np.full(len(words), -1, np.int64), np.searchsorted(self.hashes, hashes), pa.array(words, pa.string())
+        left = np.arange(len(words))
+        while True:
+            left = left[at[left] < len(self.hashes)]
+            left = left[self.hashes[at[left]] == hashes[left]]
+            if not len(left):
+                return row
+            same = pc.equal(self.words.take(pa.array(at[left])), told.take(pa.array(left))).to_numpy(zero_copy_only=False)
+            row[left[same]] = at[left[same]]
+            left = left[~same]
+            at[left] += 1
 
     def unseen(self, words: list[str]) -> np.ndarray:
         """Scores of words by their n-grams alone."""
@@ -137,7 +168,7 @@ class Model:
 
     def score(self, words: list[str]) -> np.ndarray:
         """A row of scores for each word."""
-        row = np.array([self.words.get(w, -1) for w in words], np.int64)
+        row = self.rows_of(words)
         out = np.zeros((len(words), len(self.langs)))
         out[row >= 0] = self.table[row[row >= 0]]
         new = np.flatnonzero(row < 0)
@@ -178,21 +209,30 @@ class Rows(dict):
         return out
 
 
-def fit(docs: DataFrame, docs_per_lang: int = 2_000, most_docs: int = 100_000) -> Model:
+def fit(docs: DataFrame, docs_per_lang: int = 2_000, most_docs: int = 100_000, most_bytes: int = 128 << 20) -> Model:
     """From (doc_id, text, lang), all of which may be learned from."""
+    spark = docs.sparkSession
     usable = docs.where("lang is not null and text is not null").select("doc_id", "text", "lang")
     sizes = usable.groupBy("lang").count().collect()  # one short row a language
     each = min(docs_per_lang, max(1, most_docs // max(1, len(sizes))))
-    shares = docs.sparkSession.createDataFrame([(r.lang, int((1 << 30) * min(1.0, each / r["count"]))) for r in sizes], "_lang string, _share long")
-    sample = usable.join(F.broadcast(shares), F.col("lang") == F.col("_lang")).where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < F.col("_share")).select("lang", "text")
-    counts = common.map_arrow(sample, _units, "lang string, size int, unit string, n long").groupBy("lang", "size", "unit").agg(F.sum("n").alias("n"))
-    units = counts.toArrow()  # the units of at most about most_docs documents
-    return Model.of(*(units.column(c).to_pylist() for c in ("lang", "size", "unit", "n")))
+    while True:
+        shares = spark.createDataFrame([(r.lang, int((1 << 30) * min(1.0, each / r["count"]))) for r in sizes], "_lang string, _share long")
+        sample = usable.join(F.broadcast(shares), F.col("lang") == F.col("_lang")).where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < F.col("_share")).select("lang", "text")
+        counts = common.map_arrow(sample, _units, "lang string, size int, unit string, n long").groupBy("lang", "size", "unit").agg(F.sum("n").alias("n"))
+        held = common.materialise(spark, counts, "language-units")
+        rows, letters = held.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("unit")), F.lit(0))).first()
+        if each == 1 or rows * (ROW_BYTES + 8 * len(sizes)) + letters <= most_bytes:
+            break
+        common.discard(spark, held)
+        each //= 2
+    units = held.toArrow()  # of at most most_bytes
+    common.discard(spark, held)
+    return Model.of(*(units.column(c) for c in ("lang", "size", "unit", "n")))
 
 
 def predict(docs: DataFrame, model: Model) -> DataFrame:
     """Per row of ``docs`` (doc_id, held_out, text): doc_id, held_out, lang_pred, score."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # bounded by the sample
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # of at most fit's most_bytes
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = shared.value

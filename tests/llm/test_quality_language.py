@@ -234,6 +234,28 @@ def test_every_word_scores_as_in_a_plain_version(spark):
     assert all(np.allclose(s, plain_score(flat, w)) for s, w in zip(model.score(words), words, strict=True))
 
 
+def test_words_of_one_hash_are_told_apart(monkeypatch):
+    monkeypatch.setattr(langid, "_hash", lambda w: len(w))
+    counts = [(lang, 0, w, n) for n, (lang, w) in enumerate([("aa", "ab"), ("bb", "cd"), ("aa", "ef"), ("bb", "ef"), ("aa", "long"), ("bb", "lung")], 1)]
+    model = model_of(counts)
+    words = ["ef", "cd", "lung", "ab", "no", "long", "ling", "x", "longer", "cd"]
+    assert all(np.allclose(s, plain_score(counts, w)) for s, w in zip(model.score(words), words, strict=True))
+    assert model.rows_of([]).tolist() == [] and model_of([counts[0]]).rows_of(["ab", "zz"]).tolist() == [0, -1]
+
+
+def test_model_stays_within_its_bytes(spark):
+    rng = random.Random(31)
+    texts = [(k, " ".join("".join(rng.choice("abcdefghij") for _ in range(6)) for _ in range(30)), "xy"[k % 2]) for k in range(200)]
+    frame = spark.createDataFrame([*texts, (200, None, "x"), (201, "qq", None)], "doc_id long, text string, lang string")
+    whole, small, one = langid.fit(frame), langid.fit(frame, most_bytes=400_000), langid.fit(frame, most_bytes=1)
+
+    def size(model):
+        return model.table.nbytes + model.hashes.nbytes + model.words.nbytes + sum(a.nbytes for level in model.levels for a in level)
+
+    assert size(small) <= 400_000 < size(whole) and len(one.words) < len(small.words) < len(whole.words)
+    assert set(one.words.to_pylist()) <= set(small.words.to_pylist()) <= set(whole.words.to_pylist()) == {w for _, t, _ in texts for w in t.split()}
+
+
 def test_letters_are_of_category_l():
     assert langid.words_of("Ab½c ²x Ⅷ ④ e\u0301 ᵃ 東京_7ß") == ["ab", "c", "x", "e", "ᵃ", "東京", "ß"]
     assert not any(map(langid.words_of, ["½ ² Ⅷ", "④", "12 _ ٣", "\u0301", "", None]))
