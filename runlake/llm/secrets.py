@@ -223,7 +223,7 @@ def scan(docs: DataFrame, q: float = 0.01) -> DataFrame:
     """Per row of ``docs`` (doc_id, text): the base counts and digest, and ``found``, all spans as structs (at, kind, stop) by start, then kind."""
     spark = docs.sparkSession
     scanned = common.materialise(spark, common.map_arrow(docs.select(F.col("doc_id").cast("long"), "text"), _scan, SCANNED), "secrets")
-    least = limits(scanned.select(F.explode("maybe").alias("c")).select("c.family", "c.bin"), q)
+    least = limits(scanned.select(F.explode("maybe").alias("c")).select("c.family", "c.bin", F.lit(1).alias("n")), q)
     limit = F.create_map(*[F.lit(x) for pair in least.items() for x in pair]) if least else F.lit(None).cast("map<string,int>")
     random = F.transform(F.filter("maybe", lambda c: c["bin"] >= F.element_at(limit, c["family"])), lambda c: F.struct(c["at"].alias("at"), F.lit(KINDS.index("random")).alias("kind"), c["stop"].alias("stop")))
     return scanned.withColumn("found", F.array_sort(F.concat("base", random))).drop("base", "maybe")
@@ -235,10 +235,10 @@ def spans_text() -> F.Column:
 
 
 def limits(histogram: DataFrame, q: float) -> dict[str, int]:
-    """From candidates (family, bin): each family's smallest bin that counts, if any."""
+    """From candidates (family, bin, n of them): each family's smallest bin that counts, if any."""
     counts: dict[str, dict[int, int]] = {}
-    for row in histogram.groupBy("family", "bin").count().collect():  # encodings times length classes times bins at most
-        counts.setdefault(row.family, {})[row.bin] = row["count"]
+    for row in histogram.groupBy("family", "bin").agg(F.sum("n").alias("n")).collect():  # encodings times length classes times bins at most
+        counts.setdefault(row.family, {})[row.bin] = row.n
     return discoveries(counts, q)
 
 
@@ -253,10 +253,9 @@ def redact(docs: DataFrame, mark: str = "[SECRET]", q: float = 0.01) -> DataFram
                 if text:
                     raw = text.encode("utf-8", "surrogatepass")
                     seen.update(c[2:] for c in candidates(text, raw, base_spans(text, raw)))
-        flat = list(seen.elements())
-        yield pa.RecordBatch.from_pydict({"family": pa.array([f for f, _ in flat], pa.string()), "bin": pa.array([b for _, b in flat], pa.int32())})
+        yield pa.RecordBatch.from_pydict({"family": pa.array([f for f, _ in seen], pa.string()), "bin": pa.array([b for _, b in seen], pa.int32()), "n": pa.array(seen.values(), pa.int64())})
 
-    least = limits(common.map_arrow(docs.select("text"), histogram, "family string, bin int"), q)
+    least = limits(common.map_arrow(docs.select("text"), histogram, "family string, bin int, n long"), q)
 
     def replace(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in common.slices(batches):
