@@ -63,31 +63,51 @@ def numbered(texts: list[str | None], vocabulary: Vocabulary) -> tuple[np.ndarra
     return np.concatenate(numbers) if numbers else np.empty(0, np.int32), np.array(ends)
 
 
+def _alike(words: np.ndarray, window: int) -> np.ndarray:
+    """For each place a number below 2^31 that equal windows of ``window`` words from there, and no others, share (the last ``window`` - 1 places have none).
+
+    Stretches of a power of two are numbered in pairs of half their length; the window is put together from them."""
+    out, done, stretch, size = None, 0, words.astype(np.int64), 1
+    while done < window:
+        if window & size:
+            own = stretch[done:]
+            out = own if out is None else np.unique(out[: len(own)] << 32 | own, return_inverse=True)[1]
+            done += size
+        if done < window:
+            stretch = np.unique(stretch[: max(0, len(stretch) - size)] << 32 | stretch[size:], return_inverse=True)[1]
+            size *= 2
+    return out
+
+
 class Index:
     """Windows by their rarest word."""
 
     def __init__(self, items: list[tuple[str, list[bytes]]], window: int = WINDOW) -> None:
-        self.vocabulary = Vocabulary()
-        rows: dict[tuple[int, tuple[int, ...]], None] = {}
+        self.vocabulary, self.width = Vocabulary(), window
         self.names = sorted({name for name, _ in items})
         number = {name: k for k, name in enumerate(self.names)}
-        for name, own in items:
-            ids = [self.vocabulary.setdefault(w, len(self.vocabulary) + 1) for w in own]
-            for at in range(max(1, len(ids) - window + 1) if ids else 0):
-                rows[(number[name], tuple(ids[at : at + window]))] = None
-        self.item = np.array([k for k, _ in rows], np.int64)
-        self.length = np.array([len(w) for _, w in rows], np.int64)
-        self.word = np.zeros((len(rows), window), np.int32)
-        for k, (_, w) in enumerate(rows):
-            self.word[k, : len(w)] = w
+        owner, sizes = np.array([number[name] for name, own in items if own], np.int64), np.array([len(own) for _, own in items if own], np.int64)
+        room = np.maximum(sizes, window)  # short items are filled up with 0, which is no word's number
+        begin = np.cumsum(room) - room
+        #: All items' words in a row; a window is where it begins.
+        self.words = np.zeros(int(room.sum()), np.int32)
+        for at, own in zip(begin.tolist(), (own for _, own in items if own), strict=True):
+            self.words[at : at + len(own)] = [self.vocabulary.setdefault(w, len(self.vocabulary) + 1) for w in own]
+        times = room - window + 1
+        start = np.repeat(begin, times) + np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
+        item = np.repeat(owner, times)
+        _, once = np.unique(item << 32 | _alike(self.words, window)[start], return_index=True)
+        once.sort()
+        self.item, self.begin, self.length = item[once], start[once], np.repeat(np.minimum(sizes, window), times)[once]
 
     def order(self, counts: np.ndarray) -> "Index":
         """Choose each window's prefix by the corpus counts of the words (indexed by number)."""
         n = len(self.item)
-        within = np.arange(self.word.shape[1]) < self.length[:, None]
-        rank = np.where(within, counts[self.word], np.iinfo(np.int64).max)
-        self.offset = rank.argmin(axis=1) if n else np.empty(0, np.int64)
-        prefix = self.word[np.arange(n), self.offset]
+        self.offset, least = np.zeros(n, np.int64), np.full(n, np.iinfo(np.int64).max)
+        for k in range(self.width if n else 0):
+            rarer = np.flatnonzero((k < self.length) & (counts[self.words[self.begin + k]] < least))
+            self.offset[rarer], least[rarer] = k, counts[self.words[self.begin[rarer] + k]]
+        prefix = self.words[self.begin + self.offset]
         self.sorted = np.argsort(prefix, kind="stable")
         self.first = np.searchsorted(prefix[self.sorted], np.arange(len(self.vocabulary) + 2))
         return self
@@ -108,8 +128,8 @@ class Index:
             doc = np.searchsorted(ends, position, "right") - 1
             fits = (start >= ends[doc]) & (start + self.length[window] <= ends[doc + 1])
             window, start = window[fits], start[fits]
-            for k in range(self.word.shape[1]):
-                same = (self.length[window] <= k) | (ids[np.minimum(start + k, len(ids) - 1)] == self.word[window, k])
+            for k in range(self.width):
+                same = (self.length[window] <= k) | (ids[np.minimum(start + k, len(ids) - 1)] == self.words[self.begin[window] + k])
                 window, start = window[same], start[same]
             if len(start):
                 yield window, start

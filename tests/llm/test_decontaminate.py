@@ -3,6 +3,7 @@ from __future__ import annotations
 import random
 
 import brute
+import numpy as np
 import pytest
 from brute import edge_texts
 
@@ -55,3 +56,18 @@ def test_long_document_with_many_hits(spark, docs):
     text = " ".join(f"w{k % 3}" for k in range(20_000))
     (r,) = decontaminate.judge(docs([(1, text)]), bench(spark, items)).collect()
     assert (r.n_words, r.n_hit, r.contaminated) == (20_000, 20_000, True)
+
+
+def test_index_holds_each_window_once_behind_its_rarest_word():
+    rng = random.Random(17)
+    for _ in range(60):
+        width = rng.choice([1, 2, 3, 5, 13])
+        items = [(rng.choice("abc"), [b"w%d" % rng.randrange(4) for _ in range(rng.choice([0, 1, 3, 14, 30]))]) for _ in range(rng.randrange(6))]
+        index = decontaminate.Index(items, width)
+        names = {n: w for w, n in index.vocabulary.items()}
+        rows = [(index.names[i], tuple(names[n] for n in index.words[b : b + k].tolist())) for i, b, k in zip(index.item, index.begin, index.length, strict=True)]
+        plain = {(name, tuple(own[at : at + width])) for name, own in items for at in range(max(1, len(own) - width + 1)) if own}
+        assert len(rows) == len(plain) and set(rows) == plain
+        counts = np.array([0] + [rng.randrange(3) for _ in names])
+        index.order(counts)
+        assert all(counts[index.vocabulary[w[k]]] == min(counts[index.vocabulary[x]] for x in w) for (_, w), k in zip(rows, index.offset, strict=True))
