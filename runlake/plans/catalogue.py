@@ -14,7 +14,7 @@ from runlake.functions import columns, timefmt
 from runlake.operators import canonical, tabulate
 from runlake.plans import maintain, pipeline
 from runlake.plans.views import OBS_SQL, RUNS_SQL, T2_SQL, obs, read, run_id, runs
-from runlake.sources import lake, publish
+from runlake.sources import lake, manifest, publish, spread
 from runlake.sources.files import Files
 from runlake.sources.ingest import ingest_run
 from runlake.sources.manifest import MANIFEST_NAME, Keys, runs as lake_runs
@@ -401,6 +401,39 @@ def runs_by_other_keys(spark, d):
     return spark.createDataFrame([(r.run_id, r.location, r.status) for r in found], schemas.MANIFEST)
 
 
+def lake_of_users(spark: SparkSession, d: str) -> str:
+    """A raw lake with a run a user of ``events``: the run's manifest, and its values, one a line, as a chunk."""
+    root, events = scratch(spark, "raw"), read(spark, d, "events").withColumn("run_id", F.concat(F.lit("u"), F.col("user_id").cast("string")))
+    per_run = events.groupBy("run_id").agg(F.min("event_type").alias("location"), F.when(F.count("*") % 3 == 0, "FAILED").otherwise("SUCCESS").alias("status"))
+    told = per_run.select("run_id", F.to_json(F.struct(F.col("run_id").alias("created_at_utc"), "location", "status")).alias("value"))
+    told.repartition("run_id").write.partitionBy("run_id").text(root)
+    line = F.to_json(F.struct(timefmt.text_column(F.col("ts").cast("timestamp_ntz")).alias("valid_time"), F.floor("value").cast("int").alias("index")))
+    events.where("event_id % 2 = 0").select("run_id", line.alias("value")).repartition("run_id").write.mode("append").option("compression", "none").partitionBy("run_id").json(root)
+    return root
+
+
+_USERS_SQL = "users AS (SELECT 'u' || CAST(user_id AS VARCHAR) AS run_id, min(event_type) AS location, CASE WHEN count(*) % 3 = 0 THEN 'FAILED' ELSE 'SUCCESS' END AS status, count(*) FILTER (WHERE event_id % 2 = 0) AS n FROM events GROUP BY user_id)"
+
+
+@query(f"WITH {_USERS_SQL} SELECT run_id, location, status FROM users")
+def manifests_by_tasks(spark, d):
+    """The manifests of a run a user, read and checked by tasks."""
+    return manifest.table(spark, lake_of_users(spark, d), "*.txt").select("run_id", "location", "status")
+
+
+@query(f"WITH {_USERS_SQL} SELECT location, status, count(*) AS n_runs FROM users GROUP BY ALL")
+def runs_by_location(spark, d):
+    return manifest.table(spark, lake_of_users(spark, d), "*.txt").groupBy("location", "status").agg(F.count("*").alias("n_runs"))
+
+
+@query(f"WITH {_USERS_SQL} SELECT run_id, CAST(1 AS BIGINT) AS n_chunks FROM users WHERE n > 0")
+def chunks_by_tasks(spark, d):
+    """How many chunks each run has, by listings that tasks make."""
+    raw = lake_of_users(spark, d)
+    found = spread.listed(spark, manifest.run_folders(spark, raw, spread.reached(spark, raw)), ("*.json",)).where("bytes > 0")
+    return found.groupBy(columns.run_id_of(F.concat("folder", F.lit("/"))).alias("run_id")).agg(F.count("*").alias("n_chunks"))
+
+
 @query(f"WITH {OBS_SQL}, {T2_SQL} SELECT column_name AS name, CASE column_type WHEN 'VARCHAR' THEN 'string' WHEN 'INTEGER' THEN 'int' WHEN 'TIMESTAMP' THEN 'timestamp_ntz' ELSE lower(column_type) END AS type FROM (DESCRIBE SELECT * FROM t2)")
 def t2_described(spark, d):
     """The columns and types of T2 as written and read again."""

@@ -10,10 +10,10 @@ from pyspark.sql import functions as F
 
 from runlake import schemas
 from runlake.functions.columns import run_id_of, whole_number
-from runlake.sources import publish
+from runlake.sources import publish, spread
 from runlake.sources.files import Files
 from runlake.sources.ledger import Ledger, State
-from runlake.sources.manifest import READERS, Run, run_folders, run_in
+from runlake.sources.manifest import READERS, SPREAD, Run, run_folders, run_in
 
 CHUNKS = "*.jsonl"
 
@@ -27,16 +27,25 @@ def empty_observations(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame([], schemas.OBSERVATIONS)
 
 
+def with_chunks(spark: SparkSession, runs: list[Run], pattern: str = CHUNKS, spread_from: int = SPREAD) -> list[str]:
+    """The folders of those runs that have a chunk with something in it. From ``spread_from`` runs on, tasks list them."""
+    every = [r.folder for r in runs]
+    if len(every) >= spread_from and all(spread.reached(spark, at) for at in every[:1]):
+        found = spread.listed(spark, every, (pattern,)).where("bytes > 0").select("folder").distinct()
+        return sorted(r.folder for r in found.collect())  # a folder a run
+    files = Files(spark)
+    with ThreadPoolExecutor(READERS) as readers:
+        listed = list(readers.map(files.names, every))
+    return [at for at, names in zip(every, listed, strict=True) if any(not folder and size and fnmatch.fnmatch(name, pattern) for name, folder, size in names)]
+
+
 def observations(spark: SparkSession, runs: list[Run], pattern: str = CHUNKS) -> DataFrame:
     """(run_id, valid_time, analysis_time, kindex) of the runs' chunks; a typed empty table if they have none.
 
     Only folders of the given runs are read. Missing keys are null, others are dropped; malformed lines and
     values that can't be cast fail.
     """
-    files = Files(spark)
-    with ThreadPoolExecutor(READERS) as readers:
-        listed = list(readers.map(files.names, [r.folder for r in runs]))
-    folders = [r.folder for r, names in zip(runs, listed, strict=True) if any(not folder and size and fnmatch.fnmatch(name, pattern) for name, folder, size in names)]
+    folders = with_chunks(spark, runs, pattern)
     if not folders:
         return empty_observations(spark)
     raw = spark.read.schema(schemas.RAW).option("mode", "FAILFAST").option("pathGlobFilter", pattern).json(folders)
@@ -79,9 +88,14 @@ def processed_run_ids(spark: SparkSession, path: str) -> set[str]:
 
 
 def markers(spark: SparkSession, raw: str) -> DataFrame:
-    """(run_id, marker, content) of the runs' marker files, read many at a time. They are for people: status is the manifest's."""
+    """(run_id, marker, content) of the runs' marker files, read by tasks where they reach the store, else on the driver, many at a time.
+    They are for people: status is the manifest's."""
+    reached = spread.reached(spark, raw)
+    folders = run_folders(spark, raw, reached)
+    if reached:
+        found = spread.texts(spark, folders, ("_SUCCESS", "_FAILED"))
+        return found.select(run_id_of(F.concat("folder", F.lit("/"))).alias("run_id"), F.col("name").alias("marker"), "content")
     files = Files(spark)
-    folders = run_folders(files, raw)
     with ThreadPoolExecutor(READERS) as readers:
         names = list(readers.map(files.names, folders))
         found = [(at, name) for at, own in zip(folders, names, strict=True) for name, folder, _ in own if not folder and name in ("_SUCCESS", "_FAILED")]

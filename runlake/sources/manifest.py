@@ -1,13 +1,14 @@
 """Run manifests: the authority on which runs count.
 
-They are read on the driver, since Spark's readers skip names that begin with ``_``, but many at a time.
+Spark's readers skip names that begin with ``_``. A few manifests are read on the driver, many at a time; from ``SPREAD`` on, Spark's tasks
+read and check them (``spread``), where they reach the store.
 """
 
 from __future__ import annotations
 
 import json
 import re
-from collections.abc import Collection
+from collections.abc import Collection, Iterable
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
@@ -15,11 +16,14 @@ from pyspark.sql import DataFrame, SparkSession
 
 from runlake import schemas
 from runlake.functions.timefmt import RUN_ID
+from runlake.sources import spread
 from runlake.sources.files import Files
 
 SUCCESS, FAILED, RUNNING = "SUCCESS", "FAILED", "RUNNING"
 MANIFEST_NAME = "_manifest.json"
 READERS = 16
+SPREAD = 1_000  #: manifests from which on a job costs less than the driver's own reads
+CHECKED = "run_id string, location string, status string, folder string, fault string"
 
 
 @dataclass(frozen=True)
@@ -71,9 +75,11 @@ def parsed(path: str, text: str, strict: bool = False, keys: Keys = KEYS) -> Run
     return Run(run_id, value[keys.location], value[keys.status], path.rpartition("/")[0])
 
 
-def run_folders(files: Files, raw: str) -> list[str]:
+def run_folders(spark: SparkSession, raw: str, reached: str | None = None) -> list[str]:
     """The run folders below ``raw``, at any depth, but none within another: a listing for each folder above them."""
-    found, todo = [], [raw.rstrip("/")]
+    if reached:
+        return spread.run_folders(reached)
+    files, found, todo = Files(spark), [], [raw.rstrip("/")]
     while todo:
         at = todo.pop()
         for name, folder, _ in files.names(at):
@@ -82,22 +88,72 @@ def run_folders(files: Files, raw: str) -> list[str]:
     return sorted(found)
 
 
-def runs(spark: SparkSession, raw: str, name: str = MANIFEST_NAME, strict: bool = False, keys: Keys = KEYS, done: Collection[str] = ()) -> list[Run]:
+def checked(spark: SparkSession, folders: list[str], name: str = MANIFEST_NAME, strict: bool = False, keys: Keys = KEYS) -> DataFrame:
+    """The manifests in these folders, read by tasks: what each says, or its fault. ``name`` may be a pattern. Folders without one give no row."""
+
+    def row(folder: str, file: str, _: int, held: bytes) -> tuple:
+        try:
+            found = parsed(f"{folder}/{file}", held.decode(), strict, keys)
+        except ValueError as e:  # also what isn't UTF-8
+            return run_in(f"{folder}/"), None, None, folder, str(e)
+        return found.run_id, _text(found.location), _text(found.status), folder, None
+
+    return spread.for_files(spark, folders, (name,), row, CHECKED)
+
+
+def _text(value: object) -> str | None:
+    return value if value is None or isinstance(value, str) else json.dumps(value)
+
+
+def table(spark: SparkSession, raw: str, name: str = MANIFEST_NAME, strict: bool = False, keys: Keys = KEYS) -> DataFrame:
+    """(run_id, location, status, folder) of all runs below ``raw``, as a table: nothing but folder names passes through the driver.
+
+    A manifest that breaks a rule, or a run that is there twice, fails the read. Where tasks don't reach the store, ``runs`` reads."""
+    reached = spread.reached(spark, raw)
+    if not reached:
+        return spark.createDataFrame([(r.run_id, r.location, r.status, r.folder) for r in runs(spark, raw, name, strict, keys)], CHECKED.rpartition(",")[0])
+    folders = run_folders(spark, raw, reached)
+    own = [f for of in _by_run(folders).values() if len(of) > 1 for f in of]
+    if own:
+        _no_doubles((r.run_id, r.folder) for r in checked(spark, own, name, strict, keys).collect())  # of runs with several folders only
+    return spread.strict(checked(spark, folders, name, strict, keys), "fault")
+
+
+def _by_run(folders: list[str]) -> dict[str, list[str]]:
+    by_run: dict[str, list[str]] = {}
+    for folder in folders:
+        by_run.setdefault(run_in(f"{folder}/"), []).append(folder)
+    return by_run
+
+
+def _no_doubles(found: Iterable[tuple[str, str]]) -> None:
+    seen = set()
+    for run_id, _ in found:
+        if run_id in seen:
+            raise LakeError(f"{run_id} is there twice")
+        seen.add(run_id)
+
+
+def runs(spark: SparkSession, raw: str, name: str = MANIFEST_NAME, strict: bool = False, keys: Keys = KEYS, done: Collection[str] = (), spread_from: int = SPREAD) -> list[Run]:
     """The runs below ``raw`` that aren't ``done``, oldest first. Each one's manifest is read and checked, whatever its status.
 
     A run that is done was checked when it was taken over: of it only the folder's name is read. A manifest lies directly in its run's
-    folder; a folder without one is no run yet."""
+    folder; a folder without one is no run yet. From ``spread_from`` manifests on, tasks read them."""
+    reached = spread.reached(spark, raw)
+    by_run = _by_run(run_folders(spark, raw, reached))
+    read = [folder for run_id, own in by_run.items() if run_id not in done or len(own) > 1 for folder in own]
+    if reached and len(read) >= spread_from:
+        found = checked(spark, read, name, strict, keys).collect()  # a short row a run that is due
+        _no_doubles((r.run_id, r.folder) for r in found)
+        due = [r for r in found if r.run_id not in done]
+        if faults := sorted((r.folder, r.fault) for r in due if r.fault is not None):
+            raise LakeError(faults[0][1])
+        return sorted((Run(r.run_id, r.location, r.status, r.folder) for r in due), key=lambda r: r.run_id)
     files = Files(spark)
-    folders: dict[str, list[str]] = {}
-    for folder in run_folders(files, raw):
-        folders.setdefault(run_in(f"{folder}/"), []).append(folder)
-    read = [f"{folder}/{name}" for run_id, own in folders.items() if run_id not in done or len(own) > 1 for folder in own]
     with ThreadPoolExecutor(READERS) as readers:
-        texts = {p: text for p, text in zip(read, readers.map(lambda p: files.read(p) if files.exists(p) else None, read), strict=True) if text is not None}
-    for run_id, own in folders.items():
-        if sum(f"{folder}/{name}" in texts for folder in own) > 1:
-            raise LakeError(f"{run_id} is there twice")
-    return sorted((parsed(p, text, strict, keys) for p, text in texts.items() if run_in(p) not in done), key=lambda r: r.run_id)
+        texts = {f: text for f, text in zip(read, readers.map(lambda f: files.read(f"{f}/{name}") if files.exists(f"{f}/{name}") else None, read), strict=True) if text is not None}
+    _no_doubles((run_in(f"{f}/"), f) for f in texts)
+    return sorted((parsed(f"{f}/{name}", text, strict, keys) for f, text in texts.items() if run_in(f"{f}/") not in done), key=lambda r: r.run_id)
 
 
 def successful(every: list[Run], status: str = SUCCESS) -> list[Run]:

@@ -10,7 +10,7 @@ import pytest
 from test_feed import CONFIG, answering, with_
 
 from runlake.plans import pipeline
-from runlake.sources import feed, ingest, lake, manifest, publish
+from runlake.sources import feed, ingest, lake, manifest, publish, spread
 from runlake.sources.files import Files
 
 
@@ -283,3 +283,89 @@ def test_markers_of_many_runs(spark, tmp_path):
         (folder / ("_SUCCESS" if k % 2 else "_FAILED")).write_text(str(k))
     got = sorted(tuple(r) for r in lake.markers(spark, str(tmp_path)).collect())
     assert got == sorted((f"2024010100{k:04d}Z", "_SUCCESS" if k % 2 else "_FAILED", str(k)) for k in range(40))
+
+
+def both(spark, raw, **more):
+    """The runs as the driver reads them and as tasks do: what is found, or what is said of it."""
+    out = []
+    for spread_from in (10**9, 0):
+        try:
+            out.append([(r.run_id, r.location, r.status, r.folder.removeprefix("file:")) for r in manifest.runs(spark, str(raw), spread_from=spread_from, **more)])
+        except manifest.LakeError as e:
+            out.append(str(e).removeprefix("file:"))
+    return out
+
+
+def test_tasks_read_manifests_as_the_driver_does(spark, tmp_path):
+    for k in range(30):
+        run(tmp_path / "a%20b" / str(k % 3), f"2024010100{k:04d}Z", "FAILED" if k % 4 == 0 else "SUCCESS", location=None if k == 7 else "Site Ä", start=None)
+    (tmp_path / "a%20b" / "run_id=later").mkdir()  # no manifest yet
+    driver, tasks = both(spark, tmp_path)
+    assert driver == tasks and len(tasks) == 30
+    driver, tasks = both(spark, tmp_path, done={f"2024010100{k:04d}Z" for k in range(29)})
+    assert driver == tasks and len(tasks) == 1
+    told = manifest.table(spark, str(tmp_path))
+    assert sorted(r.run_id for r in told.collect()) == [f"2024010100{k:04d}Z" for k in range(30)] and told.columns == ["run_id", "location", "status", "folder"]
+
+
+@pytest.mark.parametrize("spoil", [b"{", b"[]", b'{"location": "x", "status": "SUCCESS"}', b'{"created_at_utc": "other", "location": "x", "status": "SUCCESS"}', b"\xff", b""])
+def test_tasks_refuse_what_the_driver_refuses(spark, tmp_path, spoil):
+    run(tmp_path, OLD)
+    (run(tmp_path, BAD) / "_manifest.json").write_bytes(spoil)
+    if spoil != b"\xff":
+        driver, tasks = both(spark, tmp_path)
+        assert isinstance(driver, str) and driver == tasks
+    with pytest.raises(manifest.LakeError):
+        manifest.runs(spark, str(tmp_path), spread_from=0)
+    assert [r.run_id for r in manifest.runs(spark, str(tmp_path), done={BAD}, spread_from=0)] == [OLD]
+    with pytest.raises(Exception, match="_manifest.json|utf-8"):
+        manifest.table(spark, str(tmp_path)).count()
+
+
+def test_tasks_see_runs_that_are_there_twice(spark, tmp_path):
+    run(tmp_path / "a", OLD)
+    run(tmp_path / "b", OLD)
+    run(tmp_path, NEW)
+    for done in ((), {OLD}):
+        with pytest.raises(manifest.LakeError, match="twice"):
+            manifest.runs(spark, str(tmp_path), done=done, spread_from=0)
+    with pytest.raises(manifest.LakeError, match="twice"):
+        manifest.table(spark, str(tmp_path))
+    (tmp_path / "b" / f"run_id={OLD}" / "_manifest.json").unlink()  # no run any more
+    assert sorted(r.run_id for r in manifest.table(spark, str(tmp_path)).collect()) == [OLD, NEW] == [r.run_id for r in manifest.runs(spark, str(tmp_path), spread_from=0)]
+
+
+def test_an_empty_lake_and_one_out_of_reach(spark, tmp_path, monkeypatch):
+    assert manifest.runs(spark, str(tmp_path), spread_from=0) == [] and manifest.table(spark, str(tmp_path)).collect() == []
+    assert spread.reached(spark, str(tmp_path / "none")) is None and manifest.runs(spark, str(tmp_path / "none")) == []
+    (run(tmp_path, OLD) / "_SUCCESS").write_text("fine")
+    seen = lake.markers(spark, str(tmp_path)).collect()
+    with monkeypatch.context() as m:
+        m.setattr(spread, "reached", lambda *_: None)
+        assert [tuple(r)[:3] for r in manifest.table(spark, str(tmp_path)).collect()] == [(OLD, "Site A", "SUCCESS")]
+        assert lake.markers(spark, str(tmp_path)).collect() == seen
+    with pytest.raises(ValueError):
+        spread.store("ftp://host/lake")
+
+
+def test_tasks_list_chunks_as_the_driver_does(spark, tmp_path):
+    for k in range(12):
+        folder = run(tmp_path, f"2024010100{k:04d}Z", chunks=[[line(0, k)]] if k % 3 else [])
+        (folder / "chunk-0009.jsonl.tmp").write_text("{}")
+        if k % 3 == 0:
+            (folder / "chunk-0001.jsonl").touch()  # empty
+    every = manifest.runs(spark, str(tmp_path))
+    driver, tasks = (lake.with_chunks(spark, every, spread_from=n) for n in (10**9, 0))
+    assert driver == tasks and len(tasks) == 8
+    assert lake.observations(spark, every).count() == 8
+
+
+def test_small_files_are_taken_many_a_task(spark, tmp_path):
+    for k in range(450):
+        folder = tmp_path / f"run_id={k:04d}"
+        folder.mkdir()
+        (folder / "_note").write_text(str(k))
+    folders = spread.run_folders(f"file:{tmp_path}")
+    rows = spread.texts(spark, folders, ("_note",))
+    assert rows.rdd.getNumPartitions() == 3
+    assert sorted((r.folder, r.content) for r in rows.collect()) == [(f, str(k)) for k, f in enumerate(folders)]
