@@ -81,7 +81,8 @@ def read_t2(spark: SparkSession, path: str) -> DataFrame:
 
 def processed_run_ids(spark: SparkSession, path: str) -> set[str]:
     """The runs in T1: those that its ledger has and whose folder is there. One listing, a few small reads, no data. A table without a ledger goes by its folders."""
-    names = [name for name, folder, _ in Files(spark).names(path) if folder and name.startswith("run_id=")]
+    reached = spread.reached(spark, path)
+    names = spread.run_names(reached) if reached else [name for name, folder, _ in Files(spark).names(path) if folder and name.startswith("run_id=")]
     state = Ledger(spark, path).state() if names else State()
     done = [n for n in names if n in state.values] if state.version else [n for n in names if has_table(spark, f"{path}/{n}")]
     return {publish.unescaped(spark, n.partition("=")[2]) for n in done}

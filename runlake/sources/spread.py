@@ -68,6 +68,12 @@ def run_folders(root: str) -> list[str]:
     return sorted(root.rstrip("/") + f for f in found)
 
 
+def run_names(table: str) -> list[str]:
+    """The names of the run folders that lie directly in a table's folder."""
+    system, path = store(table)
+    return [i.base_name for i in _within(system, path) if i.type == fs.FileType.Directory and i.base_name.startswith("run_id=")]
+
+
 def for_files(spark: SparkSession, folders: list[str], patterns: tuple[str, ...], make: Callable[[str, str, int, bytes | None], tuple], schema: str, content: bool = True) -> DataFrame:
     """A row ``make(folder, name, bytes, content)`` for each file that lies directly in one of the folders and fits one of the patterns."""
     ship(spark)
