@@ -1,4 +1,4 @@
-"""Many small files of a lake, listed and read by Spark's tasks instead of the driver.
+"""Many small files of a lake, listed, read and written by Spark's tasks instead of the driver.
 
 Spark's own readers skip names that begin with ``_``, as those of manifests and markers do, so tasks use pyarrow's file systems: local
 folders, HDFS and the object stores below, with the credentials that the workers' surroundings give (Hadoop's settings don't reach
@@ -6,12 +6,17 @@ Python workers). ``reached`` says whether that works for a lake; where it doesn'
 
 The driver lists the folders above the runs', in one call each. Tasks take ``AT_ONCE`` run folders each, look into
 ``READERS`` of them at a time, and hold no more than ``READERS`` folders' files. A folder that has gone since gives no rows.
+
+Spark's writers take a folder a key too, but their committer moves every file once more, on the driver, one after the other.
+``write_lines`` has each task put its files in their places.
 """
 
 from __future__ import annotations
 
 import fnmatch
-from collections.abc import Callable, Iterator
+import itertools
+import uuid
+from collections.abc import Callable, Iterable, Iterator
 from concurrent.futures import ThreadPoolExecutor
 from urllib.parse import urlsplit
 
@@ -25,6 +30,7 @@ from runlake.session import ship
 from runlake.sources.files import Files
 
 AT_ONCE, READERS = 200, 8
+LINES = 4_096  #: of a file that is being written, held at once
 _ARROW = {"string": pa.string(), "bigint": pa.int64()}
 
 #: What pyarrow calls the stores of these Hadoop schemes.
@@ -117,3 +123,46 @@ def texts(spark: SparkSession, folders: list[str], patterns: tuple[str, ...]) ->
 def strict(rows: DataFrame, fault: str) -> DataFrame:
     """The rows without the column ``fault``; reading one in which it isn't null fails with what it says."""
     return rows.where(F.when(F.col(fault).isNull(), F.lit(True)).otherwise(F.raise_error(F.col(fault)).cast("boolean"))).drop(fault)
+
+
+def _put(system: fs.FileSystem, path: str, name: str, lines: Iterable[str]) -> None:
+    """A file, whole or not at all: written beside, then moved over."""
+    beside = f"{path}/.{name}.{uuid.uuid4().hex}.tmp"
+    try:
+        with system.open_output_stream(beside) as stream:
+            for some in itertools.batched(lines, LINES):
+                stream.write("".join(line + "\n" for line in some).encode())
+        system.move(beside, f"{path}/{name}")
+    except BaseException:
+        if system.get_file_info(beside).type == fs.FileType.File:
+            system.delete_file(beside)
+        raise
+
+
+def write_lines(spark: SparkSession, rows: DataFrame, root: str) -> int:
+    """The files ``folder/name`` below ``root`` with the lines of ``rows`` (folder, name, line: text, none null), in any order; how many.
+
+    One task writes all of a folder's files, each from its sorted rows as they come, so a file may be of any size. A file that is there is replaced, so a
+    task that runs again leaves the same. Files appear one by one: who needs all or none looks at the lake after this has returned."""
+    ship(spark)
+    Files(spark).make(root)
+    whole = reached(spark, root)
+    if whole is None:
+        raise ValueError(f"no tasks write to {root}")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        (system, top), at, files = store(whole), None, 0
+        told = (row for batch in batches for row in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True))
+        for (folder, name), own in itertools.groupby(told, key=lambda row: row[:2]):
+            if folder is None or name is None:
+                raise ValueError(f"a file without a name: {folder}/{name}")
+            path = f"{top.rstrip('/')}/{folder}"
+            if folder != at:
+                system.create_dir(path)
+                at = folder
+            _put(system, path, name, (line for _, _, line in own))
+            files += 1
+        yield pa.RecordBatch.from_arrays([pa.array([files], pa.int64())], names=["files"])
+
+    ordered = rows.select("folder", "name", "line").repartition("folder").sortWithinPartitions("folder", "name")
+    return ordered.mapInArrow(run, "files long").agg(F.coalesce(F.sum("files"), F.lit(0))).first()[0]

@@ -9,7 +9,7 @@ from pathlib import Path
 import pytest
 from test_feed import CONFIG, answering, with_
 
-from runlake.plans import pipeline
+from runlake.plans import catalogue, pipeline
 from runlake.sources import feed, ingest, lake, manifest, publish, spread
 from runlake.sources.files import Files
 
@@ -369,3 +369,36 @@ def test_small_files_are_taken_many_a_task(spark, tmp_path):
     rows = spread.texts(spark, folders, ("_note",))
     assert rows.rdd.getNumPartitions() == 3
     assert sorted((r.folder, r.content) for r in rows.collect()) == [(f, str(k)) for k, f in enumerate(folders)]
+
+
+def test_tasks_write_files_in_their_places(spark, tmp_path):
+    n = 3 * spread.LINES + 7
+    rows = spark.range(n).selectExpr("'run_id=a%20b' as folder", "'chunk' as name", "lpad(id, 6, '0') as line")  # a file longer than what is held
+    rows = rows.unionByName(spark.range(40).selectExpr("concat('run_id=', id % 20) as folder", "if(id < 20, '_manifest.json', 'chunk') as name", "concat('ä', id) as line"))
+    for _ in range(2):  # again: the same files
+        assert spread.write_lines(spark, rows, f"file:{tmp_path}/raw") == 41
+        assert sorted(p.relative_to(tmp_path / "raw").as_posix() for p in (tmp_path / "raw").rglob("*") if p.is_file()) == sorted(["run_id=a%20b/chunk"] + [f"run_id={k}/{name}" for k in range(20) for name in ("_manifest.json", "chunk")])
+        assert sorted((tmp_path / "raw" / "run_id=a%20b" / "chunk").read_text().splitlines()) == [f"{k:06d}" for k in range(n)]
+        assert [(tmp_path / "raw" / "run_id=7" / name).read_text() for name in ("_manifest.json", "chunk")] == ["ä7\n", "ä27\n"]
+    assert spread.write_lines(spark, rows.limit(0), f"{tmp_path}/none") == 0
+
+
+def test_tasks_leave_no_part_of_a_file(spark, tmp_path, monkeypatch):
+    one = spark.range(1)
+    for bad in ("string(null) as folder, 'a' as name, 'x' as line", "'f' as folder, string(null) as name, 'x' as line", "'f' as folder, 'a' as name, string(null) as line"):
+        with pytest.raises(Exception, match="without a name|NoneType"):
+            spread.write_lines(spark, one.selectExpr(*bad.split(", ")), str(tmp_path))
+    assert not [p for p in tmp_path.rglob("*") if p.is_file()]
+    monkeypatch.setattr(spread, "reached", lambda *_: None)
+    with pytest.raises(ValueError, match="no tasks write"):
+        spread.write_lines(spark, one.selectExpr("'f' as folder", "'a' as name", "'x' as line"), str(tmp_path))
+
+
+def test_the_lake_of_users_is_written_once(spark, tmp_path):
+    """Two files a run, and nothing that a committer moved: no sums of them, no marks above."""
+    spark.range(1000).selectExpr("id as event_id", "timestamp_ntz'2024-01-01 00:00:00' as ts", "id % 50 as user_id", "'click' as event_type", "double(id) as value").write.parquet(str(tmp_path / "events.parquet"))
+    raw = Path(catalogue.lake_of_users(spark, str(tmp_path)).removeprefix("file:"))
+    assert sorted(p.name for p in raw.iterdir()) == sorted(f"run_id=u{k}" for k in range(50))
+    assert {len(list(p.iterdir())) for p in raw.iterdir()} == {1, 2}  # odd users have no even events, thus no chunk
+    (chunk,) = (raw / "run_id=u4").glob("*.json")
+    assert len(chunk.read_text().splitlines()) == 20 and json.loads(chunk.read_text().splitlines()[0])["valid_time"] == "2024-01-01 00:00:00"
