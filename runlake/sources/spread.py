@@ -7,7 +7,7 @@ Python workers). ``reached`` says whether that works for a lake; where it doesn'
 The driver lists the folders above the runs', in one call each. Tasks take ``AT_ONCE`` run folders each, look into
 ``READERS`` of them at a time, and hold no more than ``READERS`` folders' files. A folder that has gone since gives no rows.
 
-Spark's writers take a folder a key too, but their committer moves every file once more, on the driver, one after the other.
+Spark's writers take a folder a key too, but their committer moves what they wrote once more, on the driver, a folder or file after the other.
 ``write_lines`` has each task put its files in their places.
 """
 

@@ -394,11 +394,22 @@ def test_tasks_leave_no_part_of_a_file(spark, tmp_path, monkeypatch):
         spread.write_lines(spark, one.selectExpr("'f' as folder", "'a' as name", "'x' as line"), str(tmp_path))
 
 
-def test_the_lake_of_users_is_written_once(spark, tmp_path):
-    """Two files a run, and nothing that a committer moved: no sums of them, no marks above."""
+@pytest.fixture
+def users(spark, tmp_path):
     spark.range(1000).selectExpr("id as event_id", "timestamp_ntz'2024-01-01 00:00:00' as ts", "id % 50 as user_id", "'click' as event_type", "double(id) as value").write.parquet(str(tmp_path / "events.parquet"))
-    raw = Path(catalogue.lake_of_users(spark, str(tmp_path)).removeprefix("file:"))
+    return catalogue.lake_of_users(spark, str(tmp_path))
+
+
+def test_the_lake_of_users_is_written_once(users):
+    """Two files a run, and nothing that a committer moved: no sums of them, no marks above."""
+    raw = Path(users.removeprefix("file:"))
     assert sorted(p.name for p in raw.iterdir()) == sorted(f"run_id=u{k}" for k in range(50))
     assert {len(list(p.iterdir())) for p in raw.iterdir()} == {1, 2}  # odd users have no even events, thus no chunk
     (chunk,) = (raw / "run_id=u4").glob("*.json")
     assert len(chunk.read_text().splitlines()) == 20 and json.loads(chunk.read_text().splitlines()[0])["valid_time"] == "2024-01-01 00:00:00"
+
+
+def test_a_listing_of_users_finds_what_was_written(spark, users):
+    """A chunk a run that has values, whole, and nothing beside it and the manifest."""
+    found = spread.listed(spark, manifest.run_folders(spark, users, spread.reached(spark, users))).collect()
+    assert sorted(r.name for r in found) == ["chunk-0000.json"] * 25 + ["manifest.txt"] * 50 and all(r.bytes for r in found)
