@@ -413,3 +413,10 @@ def test_a_listing_of_users_finds_what_was_written(spark, users):
     """A chunk a run that has values, whole, and nothing beside it and the manifest."""
     found = spread.listed(spark, manifest.run_folders(spark, users, spread.reached(spark, users))).collect()
     assert sorted(r.name for r in found) == ["chunk-0000.json"] * 25 + ["manifest.txt"] * 50 and all(r.bytes for r in found)
+
+
+def test_manifests_of_users_are_read_by_name_too(spark, users):
+    """What the driver reads, by the file's name, is what tasks read by a pattern."""
+    tasks = manifest.table(spark, users, "*.txt").select("run_id", "location", "status").collect()
+    driver = manifest.runs(spark, users, "manifest.txt", spread_from=10**9)
+    assert sorted(map(tuple, tasks)) == sorted((r.run_id, r.location, r.status) for r in driver) and len(driver) == 50
