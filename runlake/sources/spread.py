@@ -4,11 +4,12 @@ Spark's own readers skip names that begin with ``_``, as those of manifests and
 folders, HDFS and the object stores below, with the credentials that the workers' surroundings give (Hadoop's settings don't reach
 Python workers). ``reached`` says whether that works for a lake; where it doesn't, callers read through ``files`` on the driver.
 
-The driver lists the folders above the runs', in one call each. Tasks take ``AT_ONCE`` run folders each, look into
-``READERS`` of them at a time, and hold no more than ``READERS`` folders' files. A folder that has gone since gives no rows.
+The driver lists the folders above the runs', in one call each. Tasks take ``AT_ONCE`` run folders each, of many folders a hundredth, ``MOST`` at
+most, so that neither tasks nor their number cost more than the files. They look into ``READERS`` folders at a time (on local disks, where threads cost
+more than they save, into one) and hold their files, and rows of ``HELD`` bytes' files or ``LINES`` rows, no more. A folder that has gone since gives no rows.
 
 Spark's writers take a folder a key too, but their committer moves what they wrote once more, on the driver, a folder or file after the other.
-``write_lines`` has each task put its files in their places.
+``write_lines`` has each task put its files in their places. Lines go from Arrow's memory into a file as they lie there, many at once.
 """
 
 from __future__ import annotations
@@ -20,7 +21,9 @@ from collections.abc import Callable, Iterable, Iterator
 from concurrent.futures import ThreadPoolExecutor
 from urllib.parse import urlsplit
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -29,10 +32,12 @@ from pyspark.sql.types import StructType
 from runlake.session import ship
 from runlake.sources.files import Files
 
-AT_ONCE, READERS = 200, 8
-LINES = 4_096  #: of a file that is being written, held at once
+AT_ONCE, MOST, READERS = 200, 2_000, 8
+LINES = 4_096  #: rows of files that are being read or written, held at once
+HELD = 1 << 20
 _ARROW = {"string": pa.string(), "bigint": pa.int64()}
 
+LOCAL = ("", "file")
 #: What pyarrow calls the stores of these Hadoop schemes.
 SCHEMES = {"hdfs": "hdfs", "viewfs": "viewfs", "s3": "s3", "s3a": "s3", "s3n": "s3", "gs": "gs", "abfs": "abfs", "abfss": "abfss"}
 
@@ -40,7 +45,7 @@ SCHEMES = {"hdfs": "hdfs", "viewfs": "viewfs", "s3": "s3", "s3a": "s3", "s3n": "
 def store(uri: str) -> tuple[fs.FileSystem, str]:
     """The file system of a qualified path, and the path in it. Names are taken as they are: a ``%`` in them is no escape."""
     parts = urlsplit(uri)
-    if parts.scheme in ("", "file"):
+    if parts.scheme in LOCAL:
         return fs.LocalFileSystem(), "/" + uri.removeprefix("file:").lstrip("/")
     if parts.scheme not in SCHEMES:
         raise ValueError(f"no tasks read from {parts.scheme}")
@@ -87,27 +92,42 @@ def for_files(spark: SparkSession, folders: list[str], patterns: tuple[str, ...]
     fields = StructType.fromDDL(schema)
     labels, types = fields.names, [_ARROW[f.dataType.simpleString()] for f in fields]
 
-    def look(folder: str) -> list[tuple]:
+    def look(folder: str) -> tuple[list[tuple], int]:
         system, path = store(folder)
-        out = []
+        out, size = [], 0
         for info in _within(system, path):
             if info.type == fs.FileType.File and any(fnmatch.fnmatchcase(info.base_name, p) for p in patterns):
                 held = None
                 if content:
                     with system.open_input_stream(info.path) as stream:
                         held = stream.read()
+                    size += len(held)
                 out.append(make(folder, info.base_name, info.size, held))
-        return out
+        return out, size
+
+    def looked(own: list[str], readers: ThreadPoolExecutor) -> Iterator[tuple[list[tuple], int]]:
+        for at in range(0, len(own), READERS):
+            some = own[at : at + READERS]
+            local = all(urlsplit(folder).scheme in LOCAL for folder in some)
+            yield from (map if local else readers.map)(look, some)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def told() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(types)], names=labels)
+
+        rows, held = [], 0
         with ThreadPoolExecutor(READERS) as readers:
             for batch in batches:
-                own = batch.column(0).to_pylist()
-                for at in range(0, len(own), READERS):
-                    rows = [r for some in readers.map(look, own[at : at + READERS]) for r in some]
-                    yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(types)], names=labels)
+                for found, size in looked(batch.column(0).to_pylist(), readers):
+                    rows += found
+                    held += size
+                    if held >= HELD or len(rows) >= LINES:
+                        yield told()
+                        rows, held = [], 0
+        yield told()
 
-    return names.repartition(max(1, -(-len(folders) // AT_ONCE)), "folder").mapInArrow(run, fields)
+    at_once = min(MOST, max(AT_ONCE, len(folders) // 100))
+    return names.repartition(max(1, -(-len(folders) // at_once)), "folder").mapInArrow(run, fields)
 
 
 def listed(spark: SparkSession, folders: list[str], patterns: tuple[str, ...] = ("*",)) -> DataFrame:
@@ -125,13 +145,30 @@ def strict(rows: DataFrame, fault: str) -> DataFrame:
     return rows.where(F.when(F.col(fault).isNull(), F.lit(True)).otherwise(F.raise_error(F.col(fault)).cast("boolean"))).drop(fault)
 
 
-def _put(system: fs.FileSystem, path: str, name: str, lines: Iterable[str]) -> None:
+def _stretches(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple[str, str, pa.Buffer]]:
+    """Sorted rows (folder, name, line) as (folder, name, lines, each ended) of rows that follow each other in one file, up to ``LINES`` at once."""
+    for batch in (b.slice(at, LINES) for b in batches for at in range(0, b.num_rows, LINES)):
+        folder, name, line = batch.columns
+        if folder.null_count or name.null_count:
+            raise ValueError("a file without a name")
+        if line.null_count:
+            raise ValueError("a line of NoneType")
+        ended = pc.binary_join_element_wise(line, pa.scalar("", line.type), pa.scalar("\n", line.type))
+        kind = np.int64 if pa.types.is_large_string(line.type) else np.int32
+        ends = np.frombuffer(ended.buffers()[1], kind)[ended.offset : ended.offset + len(ended) + 1].tolist()
+        new = pc.or_(pc.not_equal(folder[1:], folder[:-1]), pc.not_equal(name[1:], name[:-1]))
+        starts = [0, *(np.flatnonzero(new.to_numpy(zero_copy_only=False)) + 1).tolist()]
+        for a, b in itertools.pairwise([*starts, len(ended)]):
+            yield folder[a].as_py(), name[a].as_py(), ended.buffers()[2].slice(ends[a], ends[b] - ends[a])
+
+
+def _put(system: fs.FileSystem, path: str, name: str, pieces: Iterable[pa.Buffer]) -> None:
     """A file, whole or not at all: written beside, then moved over."""
     beside = f"{path}/.{name}.{uuid.uuid4().hex}.tmp"
     try:
         with system.open_output_stream(beside) as stream:
-            for some in itertools.batched(lines, LINES):
-                stream.write("".join(line + "\n" for line in some).encode())
+            for piece in pieces:
+                stream.write(piece)
         system.move(beside, f"{path}/{name}")
     except BaseException:
         if system.get_file_info(beside).type == fs.FileType.File:
@@ -152,15 +189,12 @@ def write_lines(spark: SparkSession, rows: DataFrame, root: str) -> int:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         (system, top), at, files = store(whole), None, 0
-        told = (row for batch in batches for row in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True))
-        for (folder, name), own in itertools.groupby(told, key=lambda row: row[:2]):
-            if folder is None or name is None:
-                raise ValueError(f"a file without a name: {folder}/{name}")
+        for (folder, name), own in itertools.groupby(_stretches(batches), key=lambda row: row[:2]):
             path = f"{top.rstrip('/')}/{folder}"
             if folder != at:
                 system.create_dir(path)
                 at = folder
-            _put(system, path, name, (line for _, _, line in own))
+            _put(system, path, name, (piece for _, _, piece in own))
             files += 1
         yield pa.RecordBatch.from_arrays([pa.array([files], pa.int64())], names=["files"])
 

@@ -6,6 +6,7 @@ import json
 from datetime import UTC, datetime, timedelta
 from pathlib import Path
 
+import pyarrow as pa
 import pytest
 from test_feed import CONFIG, answering, with_
 
@@ -371,6 +372,23 @@ def test_small_files_are_taken_many_a_task(spark, tmp_path):
     assert sorted((r.folder, r.content) for r in rows.collect()) == [(f, str(k)) for k, f in enumerate(folders)]
 
 
+def test_tasks_grow_with_very_many_folders(spark):
+    """A hundredth of the folders a task, up to 2,000, so that tasks' own costs don't grow with the lake."""
+    for n, tasks in ((450, 3), (50_000, 100), (540_000, 270)):
+        rows = spread.listed(spark, [f"file:/none/run_id={k}" for k in range(n)])
+        assert rows.rdd.getNumPartitions() == tasks
+    assert spread.listed(spark, [f"file:/none/run_id={k}" for k in range(50_000)]).count() == 0  # gone since
+
+
+def test_lines_lie_as_they_go_into_files(monkeypatch):
+    rows = [("a", "x", "1"), ("a", "x", ""), ("a", "y", "ä"), ("b", "x", "3"), ("b", "x", "4"), ("b", "x", "5")]
+    monkeypatch.setattr(spread, "LINES", 2)
+    for kind in (pa.string(), pa.large_string()):
+        every = [pa.RecordBatch.from_arrays([pa.array(c, kind) for c in zip(*some, strict=True)], ["folder", "name", "line"]) for some in (rows[:4], rows[4:])]
+        told = [(f, n, piece.to_pybytes().decode()) for f, n, piece in spread._stretches([every[0].slice(0, 0), *every, every[1].slice(1, 1)])]
+        assert told == [("a", "x", "1\n\n"), ("a", "y", "ä\n"), ("b", "x", "3\n"), ("b", "x", "4\n5\n"), ("b", "x", "5\n")]
+
+
 def test_tasks_write_files_in_their_places(spark, tmp_path):
     n = 3 * spread.LINES + 7
     rows = spark.range(n).selectExpr("'run_id=a%20b' as folder", "'chunk' as name", "lpad(id, 6, '0') as line")  # a file longer than what is held
