@@ -1,7 +1,8 @@
 """Toxicity by a factorization machine over hashed terms.
 
 A text's terms are its words (runs of letters, lower-cased) and their beginnings of 4 to 7 letters, each known by a 64-bit
-hash and each present or not. With x the set of the model's terms that a text has, its score is the logistic function of
+hash and each present or not. Texts are read many at once: each different word of a batch is looked at once (``terms_in``, ``numbers_in``),
+terms are told apart by what they spell, and only those that may come into the model are hashed. With x the set of the model's terms that a text has, its score is the logistic function of
 
     bias + sum of w[i] + sum over pairs i < j of <v[i], v[j]>
 
@@ -35,6 +36,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -44,6 +46,8 @@ from runlake.llm import common
 BEGINNINGS = (4, 5, 6, 7)
 FAR, PRIOR, SURE, START, FADE, FLAT, LARGEST_STEP = 2.5, 0.6, 1.5, 0.05, 0.9, 0.02, 0.5
 _WORDS = re.compile(r"[^\W\d_]+")
+_NO_LETTERS = {c: " " for c in range(128) if not chr(c).isalpha()}
+_AT_ONCE, _ROWS = 1_000_000, 20_000  # words whose terms are counted at once; rows of a batch of counts
 
 
 def _hash(kind: str, text: str) -> int:
@@ -55,8 +59,57 @@ def terms_of(word: str) -> tuple[int, ...]:
     return (_hash("w", word), *(_hash("b", word[:n]) for n in BEGINNINGS if n <= len(word)))
 
 
+def words_of(text: str | None) -> set[str]:
+    """A text's different words."""
+    if not text:
+        return set()
+    return set(text.lower().translate(_NO_LETTERS).split()) if text.isascii() else set(_WORDS.findall(text.lower()))
+
+
+def words_in(texts: list[str | None]) -> tuple[pa.Array, np.ndarray]:
+    """The texts' different words, one text after the other, and how many each has."""
+    each = [words_of(t) for t in texts]
+    return pa.array([w for own in each for w in own], pa.large_string()), np.fromiter(map(len, each), np.int64, len(each))
+
+
+def _spelled(kind: str, words: pa.Array) -> pa.Array:
+    return pc.binary_join_element_wise(pa.scalar(kind, words.type), words, pa.scalar("", words.type))
+
+
+def _once(numbers: np.ndarray) -> np.ndarray:
+    """Sorted, each once. (numpy's ``unique`` hashes, at many times the cost.)"""
+    numbers = np.sort(numbers)
+    return numbers[np.r_[True, numbers[1:] != numbers[:-1]]] if len(numbers) else numbers
+
+
+def terms_in(words: pa.Array, sizes: np.ndarray) -> Iterator[tuple[pa.Array, np.ndarray, np.ndarray]]:
+    """Of texts by their different words: for each kind of term the different terms, spelled after their kind, and pairs of a text's number and a term's, each once."""
+    coded = words.dictionary_encode()
+    known, code, text = coded.dictionary, coded.indices.to_numpy(), np.repeat(np.arange(len(sizes)), sizes)
+    yield _spelled("w", known), text, code
+    lengths = pc.utf8_length(known)
+    for n in BEGINNINGS:
+        begun = pc.if_else(pc.greater_equal(lengths, n), pc.utf8_slice_codeunits(known, 0, n), pa.scalar(None, known.type)).dictionary_encode()
+        own = begun.indices.fill_null(-1).to_numpy()[code]
+        many = max(1, len(begun.dictionary))
+        pairs = _once((text * many + own)[own >= 0])
+        yield _spelled("b", begun.dictionary), pairs // many, pairs % many
+
+
+def numbers_in(words: pa.Array, sizes: np.ndarray, names: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Of texts by their different words: the numbers of their terms among ``names``, ascending in each text, and where each text begins (and the last ends)."""
+    coded = words.dictionary_encode()
+    known, code, text, many = coded.dictionary, coded.indices.to_numpy(), np.repeat(np.arange(len(sizes)), sizes), max(1, len(names))
+    found = [np.empty(0, np.int64)]
+    for spelled in (_spelled("w", known), *(_spelled("b", pc.utf8_slice_codeunits(known, 0, n)) for n in BEGINNINGS)):  # a shorter word's are none, or its own
+        own = pc.index_in(spelled, value_set=names).fill_null(-1).to_numpy()[code]
+        found.append((text * many + own)[own >= 0])
+    pairs = _once(np.concatenate(found))
+    return pairs % many, np.searchsorted(pairs, np.arange(len(sizes) + 1) * many)
+
+
 class Terms(dict):
-    """Word to its terms' hashes (or their numbers in the model), computed once a word. Starts afresh when full."""
+    """Word to its terms' hashes (or their numbers in the model), computed once a word. Starts afresh when full. The plain form of what ``terms_in`` and ``numbers_in`` do for many texts."""
 
     def __init__(self, numbers: dict[int, int] | None = None, most: int = 100_000) -> None:
         super().__init__()
@@ -94,7 +147,7 @@ def logistic(x: np.ndarray) -> np.ndarray:
 @dataclass
 class Machine:
     """hashes[term], weights[term], factors[term]; spread: the variance that chance gives a term's toxic documents; before: the weights
-    without their momentum; ``losses``: the log loss before each round."""
+    without their momentum; ``losses``: the log loss before each round; names: how the terms are spelled, after their kind."""
 
     hashes: np.ndarray
     spread: np.ndarray
@@ -104,6 +157,7 @@ class Machine:
     before: np.ndarray
     bias_before: float
     losses: list[float] = field(default_factory=list)
+    names: np.ndarray = field(default_factory=lambda: np.empty(0, object))
 
     @classmethod
     def start(cls, hashes: np.ndarray, counts: np.ndarray, toxic: int, n: int, rank: int, seed: int) -> "Machine":
@@ -151,18 +205,18 @@ class Machine:
                 g, curve, many = table[1 + f]
                 sure = np.sign(g) * np.maximum(0, np.abs(g) - SURE * np.sqrt(curve))
                 factors[:, f] = np.where(sure != 0, factors[:, f] + np.clip(3 * sure / (many + 1), -LARGEST_STEP, LARGEST_STEP), factors[:, f] * FADE)
-        return Machine(self.hashes, self.spread, ahead, weights, factors, now, float(bias), [*self.losses, float(sums[0])])
+        return Machine(self.hashes, self.spread, ahead, weights, factors, now, float(bias), [*self.losses, float(sums[0])], self.names)
 
     def finished(self) -> "Machine":
         """Without momentum, without factors that only faded, and without terms that weigh nothing."""
         telling = np.linalg.norm(self.factors, axis=1) >= START if self.factors.shape[1] else np.zeros(len(self.hashes), bool)
         kept = telling | (self.before != 0)
         factors = np.where(telling[:, None], self.factors, 0.0)[kept]
-        return Machine(self.hashes[kept], self.spread[kept], self.bias_before, self.before[kept], factors, self.before[kept], self.bias_before, self.losses)
+        return Machine(self.hashes[kept], self.spread[kept], self.bias_before, self.before[kept], factors, self.before[kept], self.bias_before, self.losses, self.names[kept] if len(self.names) else self.names)
 
-    def scores(self, each: list[set[int]]) -> np.ndarray:
-        """The scores of texts, given as sets of their terms' numbers."""
-        return logistic(self.logits(*csr(each))[0])
+    def scores(self, at: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """The scores of texts, given by their terms' numbers."""
+        return logistic(self.logits(at, ends)[0])
 
 
 def held_out() -> F.Column:
@@ -182,28 +236,28 @@ def labelled(docs: DataFrame, labels: DataFrame, most_labelled: int) -> DataFram
 
 def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(text, toxic) to how many documents, and toxic ones, have each term; flushed when large."""
-    held: list[np.ndarray] = []
-    known, size = Terms(), 0
+    held: list[tuple[pa.Array, np.ndarray, np.ndarray]] = []
 
-    def out() -> pa.RecordBatch:
-        every = np.concatenate([h for h, _ in held]) if held else np.empty(0, np.int64)
-        mark = np.concatenate([np.full(len(h), t) for h, t in held]) if held else np.empty(0, np.int64)
-        terms, at = np.unique(every, return_inverse=True)
-        return pa.RecordBatch.from_pydict({"term": pa.array(terms, pa.int64()), "n": pa.array(np.bincount(at, minlength=len(terms)), pa.int64()), "k": pa.array(np.bincount(at, mark, len(terms)).astype(np.int64), pa.int64())})
+    def out() -> Iterator[pa.RecordBatch]:
+        words, sizes, toxic = pa.concat_arrays([w for w, _, _ in held]), *(np.concatenate([h[k] for h in held]) for k in (1, 2))
+        for names, text, term in terms_in(words, sizes):
+            n, k = np.bincount(term, minlength=len(names)), np.bincount(term, toxic[text], len(names)).astype(np.int64)
+            whole = pa.RecordBatch.from_arrays([names.cast(pa.string()), pa.array(n, pa.int64()), pa.array(k, pa.int64())], ["name", "n", "k"])
+            yield from (whole.slice(at, _ROWS) for at in range(0, len(names), _ROWS))
 
     for batch in common.slices(batches):
-        for text, toxic in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            own = known.of(text)
-            held.append((np.fromiter(own, np.int64, len(own)), toxic))
-            size += len(own)
-            if size > 2_000_000:
-                yield out()
-                held, size = [], 0
-    yield out()
+        held.append((*words_in(batch.column(0).to_pylist()), batch.column(1).to_numpy()))
+        if sum(len(w) for w, _, _ in held) > _AT_ONCE:
+            yield from out()
+            held = []
+    if held:
+        yield from out()
 
 
-def _numbered(machine_hashes: np.ndarray) -> dict[int, int]:
-    return {h: k for k, h in enumerate(machine_hashes.tolist())}
+def _hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """With each term's hash."""
+    for batch in batches:
+        yield batch.append_column("term", pa.array([_hash(name[0], name[1:]) for name in batch.column(0).to_pylist()], pa.int64()))
 
 
 def fit(docs: DataFrame, labels: DataFrame, terms: int = 4_096, rank: int = 8, rounds: int = 30, few: int = 3, far: float = FAR, most_labelled: int = 100_000, shards: int = 8, seed: int = 7) -> Machine | float:
@@ -213,17 +267,20 @@ def fit(docs: DataFrame, labels: DataFrame, terms: int = 4_096, rank: int = 8, r
     n, toxic = marked.agg(F.count("*"), F.coalesce(F.sum("toxic"), F.lit(0))).first()
     if not 0 < toxic < n:
         return float(bool(toxic))
-    counts = common.map_arrow(marked.select("text", "toxic"), _counts, "term long, n long, k long").groupBy("term").agg(F.sum("n").alias("n"), F.sum("k").alias("k"))
+    counts = common.map_arrow(marked.select("text", "toxic"), _counts, "name string, n long, k long").groupBy("name").agg(F.sum("n").alias("n"), F.sum("k").alias("k"))
     part = toxic / n
     off = (F.abs(F.col("k") - F.col("n") * part) - 1) / F.sqrt(F.col("n") * part * (1 - part) + 1)
-    chosen = counts.where(F.col("n") >= few).withColumn("off", off).where(F.col("off") >= far).orderBy(F.desc("off"), "term").limit(terms).toArrow()  # the model's terms
+    telling = common.map_arrow(counts.where(F.col("n") >= few).withColumn("off", off).where(F.col("off") >= far), _hashed, "name string, n long, k long, off double, term long")
+    chosen = telling.orderBy(F.desc("off"), "term").limit(terms).toArrow()  # the model's terms
     machine = Machine.start(chosen.column("term").to_numpy(), chosen.column("n").to_numpy(), toxic, n, rank, seed)
-    hashes = machine.hashes
+    machine.names = np.array(chosen.column("name").to_pylist(), object)
+    names = pa.array(machine.names, pa.large_string())
 
     def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = Terms(_numbered(hashes))
         for batch in common.slices(batches):
-            own = [np.array(sorted(known.of(t)), "<i4").tobytes() for t in batch.column(0).to_pylist()]
+            at, ends = numbers_in(*words_in(batch.column(0).to_pylist()), names)
+            at = at.astype("<i4")
+            own = [at[a:b].tobytes() for a, b in zip(ends[:-1], ends[1:], strict=True)]
             yield pa.RecordBatch.from_arrays([pa.array(own, pa.binary()), batch.column(1), batch.column(2)], ["own", "toxic", "shard"])
 
     numbered = common.map_arrow(marked, number, "own binary, toxic long, shard long").repartition(shards, "shard").sortWithinPartitions("shard", "own", "toxic")
@@ -261,9 +318,9 @@ def score(docs: DataFrame, machine: Machine | float) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = shared.value
-        known = Terms(_numbered(own.hashes))
+        names = pa.array(own.names, pa.large_string())
         for batch in common.slices(batches):
-            scores = np.round(own.scores([known.of(t) for t in batch.column(2).to_pylist()]), 6)
+            scores = np.round(own.scores(*numbers_in(*words_in(batch.column(2).to_pylist()), names)), 6)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(scores), pa.array((scores >= 0.5).astype(np.int32))], ["doc_id", "held_out", "score", "predicted"])
 
     return common.map_arrow(slim, run, "doc_id long, held_out boolean, score double, predicted int")

@@ -5,10 +5,12 @@ from __future__ import annotations
 import hashlib
 import math
 import os
+import re
 import zlib
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from runlake.llm import ball_clusters, queries, toxicity, vector_codes, whole_vectors
@@ -266,3 +268,46 @@ def test_labels_beyond_the_bound_are_sampled(spark, docs):
     assert 300 < toxicity.labelled(docs(rows), labels, 400).count() < 500
     machine = toxicity.fit(docs(rows), labels, most_labelled=400)
     assert all(r.predicted == r.doc_id % 2 for r in toxicity.score(docs(rows), machine).collect())
+
+
+ODD = [None, "", "".join(map(chr, range(128))), "Numpty numptyish NUMPTY!! it's a_b 3rd x\x1cy\x1fz", "İstanbul straße ΣΑΣ ünïcødé_Wörter ４２ ǅ ퟿", "house Houses houseboat hous hou", "a", "ﬁne 日本語の文 ١٢ Ⅷ", "x" * 5000]
+
+
+def test_terms_of_many_texts_are_those_of_each():
+    assert [toxicity.words_of(t) for t in ODD] == [set(re.findall(r"[^\W\d_]+", t.lower())) if t else set() for t in ODD]
+    plain = toxicity.Terms()
+    found = [set() for _ in ODD]
+    for names, text, term in toxicity.terms_in(*toxicity.words_in(ODD)):
+        pairs = list(zip(text.tolist(), (names[t].as_py() for t in term.tolist()), strict=True))
+        assert len(set(pairs)) == len(pairs)
+        for at, name in pairs:
+            found[at].add(toxicity._hash(name[0], name[1:]))
+    assert found == [plain.of(t) for t in ODD]
+    names = ["bhous", "whouse", "wnumpty", "bnumpt", "bnumpty", "wa", "bstraß", "bhouses", "wabsent"]
+    numbered = toxicity.Terms({toxicity._hash(x[0], x[1:]): k for k, x in enumerate(names)})
+    for own, want in ((names, toxicity.csr([numbered.of(t) for t in ODD])), ([], toxicity.csr([set() for _ in ODD]))):
+        got = toxicity.numbers_in(*toxicity.words_in(ODD), pa.array(own, pa.large_string()))
+        assert all(np.array_equal(a, b) for a, b in zip(got, want, strict=True))
+
+
+def test_words_are_counted_without_a_hash_each(monkeypatch):
+    """The counts, flushed after each batch or at the end; nothing is hashed before it is chosen."""
+    toxic = [k % 2 for k in range(len(ODD))]
+    plain, want = toxicity.Terms(), {}
+    for text, mark in zip(ODD, toxic, strict=True):
+        for h in plain.of(text):
+            n, k = want.get(h, (0, 0))
+            want[h] = n + 1, k + mark
+    batch = pa.RecordBatch.from_pydict({"text": pa.array(ODD, pa.string()), "toxic": pa.array(toxic, pa.int64())})
+    for most in (0, 10**6):
+        with monkeypatch.context() as m:
+            m.setattr(toxicity, "_AT_ONCE", most)
+            m.setattr(toxicity, "_hash", None)
+            told = [r for b in toxicity._counts(iter([batch.slice(0, 4), batch.slice(4, 0), batch.slice(4)])) for r in b.to_pylist()]
+        got = {}
+        for r in told:
+            h = toxicity._hash(r["name"][0], r["name"][1:])
+            n, k = got.get(h, (0, 0))
+            got[h] = n + r["n"], k + r["k"]
+        assert got == want
+    assert list(toxicity._counts(iter([]))) == []
